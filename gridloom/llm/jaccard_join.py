@@ -7,8 +7,8 @@ order puts shingles of crowded hash buckets last (counted over all documents in
 size) and sorts the rest by a hash, another in each order.
 
 The first order makes candidates, in two rounds so that no group is ever spelled out as all its
-pairs. Round one links each member of a shingle's group with the group's smallest class; what is
-verified is merged into components. Round two looks only at groups that still hold several
+pairs. Round one takes each group's smallest class and holds every class against the one of these it
+meets in most groups; what is verified is merged into components. Round two looks only at groups that still hold several
 components, and at pairs across them: it is exact, as all other pairs are already joined. Pairs
 pass the length and position bounds, then must share a prefix shingle under every other order, and
 only then are whole sets compared.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import pieces_of, read, stored
 
-N, BUCKETS, CHUNK, ORDERS = 5, 1 << 20, 4096, 3
+N, BUCKETS, CHUNK, ORDERS, MOST_CHARS = 5, 1 << 20, 4096, 3, 1_000_000
 #: Rows up to which a side of a join is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 _M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -121,7 +121,7 @@ def features(documents: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
         id_type = None
         for batch in batches:
             texts, id_type = batch.column(1).to_pylist(), batch.column(0).type
-            for a, b in pieces_of([x or "" for x in texts]):
+            for a, b in pieces_of([x or "" for x in texts], MOST_CHARS):
                 sets = shingle_sets([x or "" for x in texts[a:b]], n)
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([_named(s) for s in sets], pa.int64()), none(b - a, pa.int32()), none(b - a, pa.int32()), none(b - a, pa.binary())], ["doc_id", "n", "c", "chunk", "salt", "counts"])
@@ -185,7 +185,7 @@ def jaccard_components(documents: DataFrame, n: int = N, orders: int = ORDERS) -
     def prefixes(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in pieces_of([x or "" for x in texts]):
+            for a, b in pieces_of([x or "" for x in texts], MOST_CHARS):
                 sets = [s for s in shingle_sets([x or "" for x in texts[a:b]], n) if len(s)]
                 pre = [prefix(s, 1, shared.value) for s in sets]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in pre]))).astype(np.int32)
@@ -199,7 +199,9 @@ def jaccard_components(documents: DataFrame, n: int = N, orders: int = ORDERS) -
     groups = stored(groups.select("t", "c", "n", "i", "lo"), "prefix-groups")
 
     first = groups.where("c <> lo.c").select(F.col("lo.c").alias("a"), F.col("c").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"), F.col("lo.i").alias("ia"), F.col("i").alias("ib"))
-    first = stored(first.where(_NEAR).select("a", "b").distinct(), "star-pairs")
+    # Of the groups' smallest classes each class is held against the one it meets most; round two sees to all other pairs.
+    first = first.where(_NEAR).groupBy("a", "b").agg(F.count("*").alias("met")).groupBy("b").agg(F.max_by("a", F.struct("met", F.negative("a"))).alias("a"))
+    first = stored(first.select("a", "b"), "star-pairs")
     sets = _sets(docs, feats, first, n, orders, crowded, None)
     edges = _verified(first, sets, orders)
     comp = components(edges)
@@ -238,13 +240,13 @@ def _sets(docs, feats, pairs, n, orders, crowded, had) -> DataFrame:
     def run(batches):
         for batch in batches:
             own = batch.column(0).to_pylist()
-            for a, b in pieces_of([x or "" for x in own]):
+            for a, b in pieces_of([x or "" for x in own], MOST_CHARS):
                 sets = shingle_sets([x or "" for x in own[a:b]], n)
                 columns = [pa.array([_named(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
                 columns += [pa.array([(prefix(s, k, shared.value) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())) for k in range(2, orders + 1)]
                 yield pa.RecordBatch.from_arrays(columns, ["c", "s", *names])
 
-    new = stored(texts.mapInArrow(run, "c long, s array<bigint>, " + ", ".join(f"{p} array<int>" for p in names)).dropDuplicates(["c"]), "sets")
+    new = stored(texts.mapInArrow(run, "c long, s array<bigint>, " + ", ".join(f"{p} array<int>" for p in names)), "sets")
     return new if had is None else new.unionByName(had)
 
 

@@ -10,8 +10,8 @@ The first order makes candidates, in two rounds so that no group is ever spelled
 pairs. Round one takes each group's smallest class and holds every class against the one of these it
 meets in most groups; what is verified is merged into components. Round two looks only at groups that still hold several
 components, and at pairs across them: it is exact, as all other pairs are already joined. Pairs
-pass the length and position bounds, then must share a prefix shingle under every other order, and
-only then are whole sets compared.
+pass the bounds on lengths, positions and prefix shingles shared, then the same count must hold
+under every other order, and only then are whole sets compared.
 
 Null, empty or blank text: an empty set, which links with nothing. Fewer words than n: their
 whole sequence is the one shingle. Repeated rows: each is returned. Null doc_id: kept as it is, never the name of a component it shares
@@ -172,7 +172,19 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(edges.select(F.col("a").alias("c"), F.col("b").alias("comp")).union(least.select(F.col("b"), F.col("b"))), "components")
 
 
-_NEAR = "4 * least(na, nb) >= 3 * greatest(na, nb) and 7 * least(na - ia, nb - ib) >= 3 * (na + nb)"
+_NEAR = "7 * least(na - ia, nb - ib) >= 3 * (na + nb)"
+_LENGTHS = "4 * least(na, nb) >= 3 * greatest(na, nb)"
+
+
+def _can_link(met: str, slack: int = 0) -> str:
+    """Whether sets that meet `met` times in their prefixes of one order can link: all else they share lies behind a prefix."""
+    return f"7 * ({met} + {slack} + greatest(na, nb) - (greatest(na, nb) div 4 + 1)) >= 3 * (na + nb)"
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, na, nb) of the pairs of classes of rows (a, b, na, nb, ia, ib), a row for each meeting, that the bounds on lengths, positions and meetings leave."""
+    met = rows.where(_LENGTHS).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"), F.max(F.expr(_NEAR)).alias("near"))
+    return met.where("near and " + _can_link("met"))
 
 
 def jaccard_components(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFrame:
@@ -199,9 +211,9 @@ def jaccard_components(documents: DataFrame, n: int = N, orders: int = ORDERS) -
     groups = stored(groups.select("t", "c", "n", "i", "lo"), "prefix-groups")
 
     first = groups.where("c <> lo.c").select(F.col("lo.c").alias("a"), F.col("c").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"), F.col("lo.i").alias("ia"), F.col("i").alias("ib"))
-    # Of the groups' smallest classes each class is held against the one it meets most; round two sees to all other pairs.
-    first = first.where(_NEAR).groupBy("a", "b").agg(F.count("*").alias("met")).groupBy("b").agg(F.max_by("a", F.struct("met", F.negative("a"))).alias("a"))
-    first = stored(first.select("a", "b"), "star-pairs")
+    # Each class against the one of the groups' smallest that it meets most; round two sees to all other pairs.
+    first = _pairs(first).groupBy("b", "nb").agg(F.max_by(F.struct("a", "na"), F.struct("met", F.negative("a"))).alias("x"))
+    first = stored(first.select("x.a", "b", "x.na", "nb"), "star-pairs")
     sets = _sets(docs, feats, first, n, orders, crowded, None)
     edges = _verified(first, sets, orders)
     comp = components(edges)
@@ -211,8 +223,10 @@ def jaccard_components(documents: DataFrame, n: int = N, orders: int = ORDERS) -
     few = g.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
     few = stored(few, "open-groups")
     g = stored(g.join(_checked(few), "t", "left_semi").distinct(), "open-rows")
-    pair = g.alias("x").join(g.alias("y"), "t").where("x.comp < y.comp").selectExpr("x.c as a", "y.c as b", "x.n as na", "y.n as nb", "x.i as ia", "y.i as ib")
-    second = stored(pair.where(_NEAR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross-pairs")
+    x, y = g.select("t", *(F.col(k).alias(f"x{k}") for k in ("c", "n", "i", "comp"))), g.select("t", *(F.col(k).alias(f"y{k}") for k in ("c", "n", "i", "comp")))
+    pair = x.join(y, "t").where("xcomp < ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn)")
+    pair = pair.select(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b"), F.expr("if(xc < yc, xn, yn)").alias("na"), F.expr("if(xc < yc, yn, xn)").alias("nb"), F.expr("if(xc < yc, xi, yi)").alias("ia"), F.expr("if(xc < yc, yi, xi)").alias("ib"))
+    second = stored(_pairs(pair).select("a", "b", "na", "nb"), "cross-pairs")
     if not second.isEmpty():
         sets = _sets(docs, feats, second, n, orders, crowded, sets)
         more = _verified(second, sets, orders)
@@ -253,13 +267,18 @@ def _sets(docs, feats, pairs, n, orders, crowded, had) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, orders: int) -> DataFrame:
     """The pairs (a, b) that link: first those that meet in the prefixes of every other order, then by their whole sets."""
     names = [f"p{k}" for k in range(2, orders + 1)]
-    side = lambda c, cols: sets.select(F.col("c").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in cols))
+
+    def side(of: DataFrame, c: str, cols: list[str]) -> DataFrame:
+        """The sets that of's column c names, and no others: those are few."""
+        own = sets.join(_checked(stored(of.select(F.col(c).alias("c")).distinct(), "side")), "c", "left_semi")
+        return own.select(F.col("c").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in cols))
+
     meet = F.lit(True)
-    for p in names:
-        meet = meet & F.arrays_overlap(f"a_{p}", f"b_{p}")
-    left = stored(pairs.join(side("a", names), "a").join(side("b", names), "b").where(meet).select("a", "b"), "filtered-pairs")
+    for p in names:  # prefixes hold 32 bits of a shingle: two that fall together must not lose a pair
+        meet = meet & F.expr(_can_link(f"size(array_intersect(a_{p}, b_{p}))", slack=2))
+    left = stored(pairs.join(side(pairs, "a", names), "a").join(side(pairs, "b", names), "b").where(meet).select("a", "b"), "filtered-pairs")
     both = F.size(F.array_intersect("a_s", "b_s"))
-    linked = left.join(side("a", ["s"]), "a").join(side("b", ["s"]), "b").where(7 * both >= 3 * (F.size("a_s") + F.size("b_s")))
+    linked = left.join(side(left, "a", ["s"]), "a").join(side(left, "b", ["s"]), "b").where(7 * both >= 3 * (F.size("a_s") + F.size("b_s")))
     return stored(linked.select("a", "b"), "links")
 
 

@@ -7,7 +7,7 @@ order puts shingles of crowded hash buckets last (counted over all documents in
 size) and sorts the rest by a hash, another in each order.
 
 The first order makes candidates, in two rounds so that no group is ever spelled out as all its
-pairs. Round one takes each group's smallest class and holds every class against the one of these it
+pairs. Round one takes each group's most central class and holds every class against the one of these it
 meets in most groups; what is verified is merged into components. Round two looks only at groups that still hold several
 components, and at pairs across them: it is exact, as all other pairs are already joined. Pairs
 pass the bounds on lengths, positions and prefix shingles shared, then the same count must hold
@@ -207,11 +207,13 @@ def jaccard_components(documents: DataFrame, n: int = N, orders: int = ORDERS) -
     # 48 bits of a shingle will do here: chance meetings are only candidates.
     rows = docs.select("text").mapInArrow(prefixes, "c long, n int, pre array<bigint>").select("c", "n", F.posexplode("pre").alias("i", "t"))
     group = "over (partition by t)"
-    groups = rows.select("t", "c", "n", "i", F.expr(f"min(struct(c, n, i)) {group}").alias("lo"), F.expr(f"max(c) {group}").alias("hi")).where("lo.c < hi")
-    groups = stored(groups.select("t", "c", "n", "i", "lo"), "prefix-groups")
-
-    first = groups.where("c <> lo.c").select(F.col("lo.c").alias("a"), F.col("c").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"), F.col("lo.i").alias("ia"), F.col("i").alias("ib"))
-    # Each class against the one of the groups' smallest that it meets most; round two sees to all other pairs.
+    groups = rows.select("t", "c", "n", "i", F.expr(f"min(c) {group}").alias("lo"), F.expr(f"max(c) {group}").alias("hi"), F.expr(f"count(1) {group}").alias("k")).where("lo < hi")
+    groups = stored(groups.select("t", "c", "n", "i", "k"), "prefix-groups")
+    # Copies of a text are nearer to it than to each other, so the class whose shingles have most company is the one to hold others against.
+    central = stored(groups.groupBy("c").agg((F.sum("k") / (F.max("n") / 4.0 + 1)).alias("company")), "company")
+    starred = groups.drop("k").join(_checked(central), "c").withColumn("lo", F.expr(f"max(struct(company, c, n, i)) {group}"))
+    first = starred.where("c <> lo.c").select(F.col("lo.c").alias("a"), F.col("c").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"), F.col("lo.i").alias("ia"), F.col("i").alias("ib"))
+    # Each class against the one of the groups' centres that it meets most; round two sees to all other pairs.
     first = _pairs(first).groupBy("b", "nb").agg(F.max_by(F.struct("a", "na"), F.struct("met", F.negative("a"))).alias("x"))
     first = stored(first.select("x.a", "b", "x.na", "nb"), "star-pairs")
     sets = _sets(docs, feats, first, n, orders, crowded, None)

@@ -176,7 +176,7 @@ _NEAR = "7 * least(na - ia, nb - ib) >= 3 * (na + nb)"
 _LENGTHS = "4 * least(na, nb) >= 3 * greatest(na, nb)"
 
 
-def _can_link(met: str, slack: int = 0) -> str:
+def _can_link(met: str, slack: int | str = 0) -> str:
     """Whether sets that meet `met` times in their prefixes of one order can link: all else they share lies behind a prefix."""
     return f"7 * ({met} + {slack} + greatest(na, nb) - (greatest(na, nb) div 4 + 1)) >= 3 * (na + nb)"
 
@@ -187,6 +187,16 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return met.where("near and " + _can_link("met"))
 
 
+def _met_enough(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) whose prefixes of the first order share enough; shingles of a that fall together in 48 bits count in full."""
+    named = stored(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "near-classes")
+    pre = groups.join(_checked(named), "c", "left_semi").groupBy("c").agg(F.collect_list("t").alias("pre"))  # a set's prefix each
+    pre = stored(pre, "near-prefixes")
+    a, b = pre.select(F.col("c").alias("a"), F.col("pre").alias("a_pre")), pre.select(F.col("c").alias("b"), F.col("pre").alias("b_pre"))
+    met = F.expr(_can_link("size(array_intersect(a_pre, b_pre))", slack="(size(a_pre) - size(array_distinct(a_pre)))"))
+    return pairs.join(a, "a").join(b, "b").where(met).select("a", "b", "na", "nb")
+
+
 def jaccard_components(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFrame:
     """(doc_id, n_shingles, component_id)."""
     spark = documents.sparkSession
@@ -226,9 +236,10 @@ def jaccard_components(documents: DataFrame, n: int = N, orders: int = ORDERS) -
     few = stored(few, "open-groups")
     g = stored(g.join(_checked(few), "t", "left_semi").distinct(), "open-rows")
     x, y = g.select("t", *(F.col(k).alias(f"x{k}") for k in ("c", "n", "i", "comp"))), g.select("t", *(F.col(k).alias(f"y{k}") for k in ("c", "n", "i", "comp")))
-    pair = x.join(y, "t").where("xcomp < ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn)")
-    pair = pair.select(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b"), F.expr("if(xc < yc, xn, yn)").alias("na"), F.expr("if(xc < yc, yn, xn)").alias("nb"), F.expr("if(xc < yc, xi, yi)").alias("ia"), F.expr("if(xc < yc, yi, xi)").alias("ib"))
-    second = stored(_pairs(pair).select("a", "b", "na", "nb"), "cross-pairs")
+    # The first shingle that linked sets share meets the bound on positions, so no other meeting need become a row.
+    pair = x.join(y, "t").where("xcomp < ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and 7 * least(xn - xi, yn - yi) >= 3 * (xn + yn)")
+    pair = pair.select(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b"), F.expr("if(xc < yc, xn, yn)").alias("na"), F.expr("if(xc < yc, yn, xn)").alias("nb")).distinct()
+    second = stored(_met_enough(stored(pair, "near-pairs"), groups), "cross-pairs")
     if not second.isEmpty():
         sets = _sets(docs, feats, second, n, orders, crowded, sets)
         more = _verified(second, sets, orders)

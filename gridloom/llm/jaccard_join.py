@@ -3,8 +3,8 @@
 A document is the set of its distinct 5-word shingles (64-bit hashes); two link at Jaccard >= 0.75.
 Documents of one set are one class, so copies cost nothing further. Every order of all shingles has
 the prefix property: classes that link share one of the first n // 4 + 1 shingles of each. Here an
-order puts shingles of crowded hash buckets last (counted over all documents in a sketch of fixed
-size) and sorts the rest by a hash, another in each order.
+order goes by how crowded a shingle's hash bucket is (counted over all documents in a sketch of
+fixed size), then by a hash, another in each order.
 
 The first order makes candidates, in two rounds so that no group is ever spelled out as all its
 pairs. Round one takes each group's most central class and holds every class against the one of these it
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import pieces_of, read, stored
 
 N, BUCKETS, CHUNK, ORDERS, MOST_CHARS = 5, 1 << 20, 4096, 3, 1_000_000
+#: A bucket's level is how many of these it exceeds: the median count, and so many times its square root and so many more.
+LEVELS = ((3, 4), (6, 16), (24, 256))
 #: Rows up to which a side of a join is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 _M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -100,8 +102,8 @@ def _named(s: np.ndarray) -> int:
 def prefix(s: np.ndarray, order: int, crowded: np.ndarray) -> np.ndarray:
     """The first shingles of s in this order."""
     with np.errstate(over="ignore"):
-        rank = mixed(s + np.uint64(order) * _ODD) >> np.uint64(1)
-    rank |= crowded[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+        rank = mixed(s + np.uint64(order) * _ODD) >> np.uint64(2)
+    rank |= crowded[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(62)
     k = len(s) // 4 + 1
     if k < len(s):
         at = np.argpartition(rank, k)[:k]
@@ -110,7 +112,7 @@ def prefix(s: np.ndarray, order: int, crowded: np.ndarray) -> np.ndarray:
 
 
 def features(documents: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, n, c), which hash buckets are crowded); the second has a fixed size at any size of the input."""
+    """((doc_id, n, c), how crowded each hash bucket is, from 0 to 3); the second has a fixed size at any size of the input."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -144,7 +146,9 @@ def features(documents: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
     for r in parts.collect():  # 4 MB at any size of the input
         total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += np.frombuffer(r["counts"], np.int64)
     mean = float(np.median(total))
-    return rows.where("chunk is null").select("doc_id", "n", "c"), total > mean + 6 * mean**0.5 + 16
+    excess = total - mean
+    levels = sum((excess > times * mean**0.5 + more).astype(np.uint8) for times, more in LEVELS)
+    return rows.where("chunk is null").select("doc_id", "n", "c"), levels
 
 
 def _checked(small: DataFrame) -> DataFrame:

@@ -98,3 +98,11 @@ def radius_box(lon: Column, lat: Column, km: float) -> dict[str, Column]:
     """The box around a point."""
     dy, dx = F.lit(km / KM_PER_DEGREE), F.lit(km / KM_PER_DEGREE) / F.cos(F.radians(lat))
     return {"min_lon": lon - dx, "min_lat": lat - dy, "max_lon": lon + dx, "max_lat": lat + dy}
+
+
+def box_issue(text: Column) -> Column:
+    """What is wrong with a box written as min_lon,min_lat,max_lon,max_lat: parts, number, lon, lat or order; null if nothing."""
+    p = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double"))
+    lon, lat = (F.abs(p[0]) > 180) | (F.abs(p[2]) > 180), (F.abs(p[1]) > 90) | (F.abs(p[3]) > 90)
+    odd = F.exists(p, lambda x: x.isNull() | F.isnan(x))
+    return F.when(text.isNull() | (F.size(p) != 4), "parts").when(odd, "number").when(lon, "lon").when(lat, "lat").when((p[0] >= p[2]) | (p[1] >= p[3]), "order")

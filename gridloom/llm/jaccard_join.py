@@ -30,7 +30,7 @@ from gridloom.llm.common import pieces_of, read, stored
 
 N, BUCKETS, CHUNK, ORDERS, MOST_CHARS = 5, 1 << 20, 4096, 3, 1_000_000
 #: A bucket's level is how many of these it exceeds: the median count, and so many times its square root and so many more.
-LEVELS = ((3, 4), (6, 16), (24, 256))
+LEVELS = ((1, 1), (2, 2), (3, 4), (4, 8), (6, 16), (12, 64), (24, 256))
 #: Rows up to which a side of a join is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 _M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -102,8 +102,8 @@ def _named(s: np.ndarray) -> int:
 def prefix(s: np.ndarray, order: int, crowded: np.ndarray) -> np.ndarray:
     """The first shingles of s in this order."""
     with np.errstate(over="ignore"):
-        rank = mixed(s + np.uint64(order) * _ODD) >> np.uint64(2)
-    rank |= crowded[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(62)
+        rank = mixed(s + np.uint64(order) * _ODD) >> np.uint64(3)
+    rank |= crowded[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(61)
     k = len(s) // 4 + 1
     if k < len(s):
         at = np.argpartition(rank, k)[:k]
@@ -112,7 +112,7 @@ def prefix(s: np.ndarray, order: int, crowded: np.ndarray) -> np.ndarray:
 
 
 def features(documents: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, n, c), how crowded each hash bucket is, from 0 to 3); the second has a fixed size at any size of the input."""
+    """((doc_id, n, c), how crowded each hash bucket is, from 0 to 7); the second has a fixed size at any size of the input."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -2,7 +2,10 @@
 
 The codec writes GIF89a files of 8-bit samples and reads any: it decodes LZW code streams of every
 code size, applies local and global palettes, interlacing, the four disposal rules and
-transparency, and gives timed frames. From frames come colour-histogram columns.
+transparency, and gives timed frames. Each frame is drawn on the canvas and kept as a row of column
+`frames`: number, start and delay in ms, disposal rule, and the colour histogram of the canvas as
+shown, clear pixels left out. The columns on the whole file are sums over these. Frames are drawn
+one at a time, so a task holds one canvas of a file and not all of them.
 
 store() turns a text into a GIF: its UTF-8 bytes, padded with spaces to a positive multiple of 192,
 are the samples of frames 192 wide and at most `rows` high. The encoder writes literal codes and
@@ -18,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,14 +128,23 @@ def write_gif(frames: list[np.ndarray], palette: np.ndarray, delay_cs: int = 10)
 
 def read_gif(data: bytes, draw: bool = True) -> list[Frame]:
     """Frames in order; with draw, each with its RGBA canvas as shown."""
+    return list(frames_of(data, draw))
+
+
+def frames_of(data: bytes, draw: bool = True) -> Iterator[Frame]:
+    """As read_gif(), but a frame is decoded and drawn when it is asked for."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
-    width, height, flags = struct.unpack_from("<HHB", data, 6)
-    at, shared = 13, None
+    width, height = struct.unpack_from("<HH", data, 6)
+    return _drawn(_decoded(data), width, height) if draw else _decoded(data)
+
+
+def _decoded(data: bytes) -> Iterator[Frame]:
+    flags, at, shared = data[10], 13, None
     if flags & 0x80:
         n = 2 << (flags & 7)
         shared, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
-    frames, delay, disposal, clear = [], 0, 0, None
+    delay, disposal, clear = 0, 0, None
 
     def blocks(at: int) -> tuple[bytes, int]:
         start = at
@@ -164,16 +177,18 @@ def read_gif(data: bytes, draw: bool = True) -> list[Frame]:
             if own & 0x40:
                 order = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
                 samples = samples[np.argsort(order)]
-            frames.append(Frame(left, top, samples, palette if palette is not None else np.zeros((256, 3), np.uint8), delay, disposal, clear))
+            yield Frame(left, top, samples, palette if palette is not None else np.zeros((256, 3), np.uint8), delay, disposal, clear)
             delay, disposal, clear = 0, 0, None
         else:
             raise ValueError("unknown block")
-    if draw:
-        _draw(frames, width, height)
-    return frames
 
 
 def _draw(frames: list[Frame], width: int, height: int) -> None:
+    for _ in _drawn(frames, width, height):
+        pass
+
+
+def _drawn(frames: Iterable[Frame], width: int, height: int) -> Iterator[Frame]:
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
@@ -184,20 +199,17 @@ def _draw(frames: list[Frame], width: int, height: int) -> None:
         area[shown, :3] = f.palette[np.minimum(samples[shown], len(f.palette) - 1)]
         area[shown, 3] = 255
         f.canvas = canvas.copy()
+        yield f
         if f.disposal == 2:
             area[:] = 0
         elif f.disposal == 3:
             canvas = before
 
 
-def histogram(frames: list[Frame], bins: int = BINS) -> np.ndarray:
-    """Counts of samples by colour, bins a channel: rows are red, green, blue."""
-    out = np.zeros((3, bins), np.int64)
-    for f in frames:
-        n = np.bincount(f.samples.ravel(), minlength=256)[: len(f.palette)]
-        for c in range(3):
-            out[c] += np.bincount(f.palette[: len(n), c].astype(np.int64) * bins // 256, weights=n, minlength=bins).astype(np.int64)
-    return out
+def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Counts of a canvas's opaque pixels by colour, bins a channel: rows are red, green, blue."""
+    seen = canvas[canvas[:, :, 3] > 0]
+    return np.stack([np.add.reduceat(np.bincount(seen[:, c], minlength=256), np.arange(bins) * 256 // bins) for c in range(3)])
 
 
 #: A fixed palette: every index another colour, so samples show text as colour bands.
@@ -230,23 +242,29 @@ def gif_column(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def frame_columns(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What is read back of column media: payload figures and features."""
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms", "histogram"]
+    """What is read back of column media: payload figures, features, and its timed frames as drawn."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms", "histogram", "frames"]
+    frame = pa.struct([("number", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("histogram", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             rows = []
             for m in batch.column(2):
                 m = m.as_py()
-                payload, frames = stored_payload(m)
-                h = histogram(frames)
-                feature = ";".join(",".join(map(str, c)) for c in h)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, len(frames), sum(f.delay_ms for f in frames), h.ravel().tolist()))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+                size, digest, tail, start, frames, total = 0, hashlib.sha256(), b"", 0, [], np.zeros((3, BINS), np.int64)
+                for f in frames_of(m):
+                    part, h = f.samples.tobytes(), histogram(f.canvas)
+                    digest.update(part)
+                    size, tail, total = size + len(part), (tail + part[-16:])[-16:], total + h
+                    frames.append({"number": len(frames), "start_ms": start, "delay_ms": f.delay_ms, "disposal": f.disposal, "histogram": h.ravel().tolist()})
+                    start += f.delay_ms
+                feature = ";".join(",".join(map(str, c)) for c in total)
+                rows.append((size, digest.hexdigest(), zlib.crc32(tail), len(m), hashlib.sha256(m).hexdigest(), feature, len(frames), start, total.ravel().tolist(), frames))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(frame)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [key, "n_bytes", *names])
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(f"`{key}`", "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms int, histogram array<bigint>")
+    return media.select(f"`{key}`", "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms int, histogram array<bigint>, frames array<struct<number:int,start_ms:bigint,delay_ms:int,disposal:int,histogram:array<bigint>>>")
 
 
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

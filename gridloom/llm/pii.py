@@ -2,16 +2,20 @@
 
 Base kinds (email, ip, card, phone) are the patterns below, leftmost and non-overlapping, and stay
 as they are. Beyond them, terms that give a protected entity away are found: over all documents,
-for each term within `reach` words of an entity, n(term, entity) documents hold both, n(term) the
-term and n(entity) the entity. The term discloses the entity by the information log2(n(term,
-entity) * n / (n(term) * n(entity))) once they met in at least `support` documents, and n(term,
-entity) / n(term) is the share of the entity's surprise that it reveals. Terms from both thresholds
-on become spans of kind term near the entity, in documents that hold it; sanitised() removes those
-that reveal at least `remove` and generalises the others, and masks base spans.
-
-Counts cover all documents. Entities and terms travel as hashes; term counts are summed per task
-first. Thresholds don't depend on the input's size. Null or empty text: no spans. Repeated rows
-count as documents of their own. Offsets are code points, ends exclusive.
+n(term, entity) documents hold both, at any distance, n(term) the term and n(entity) the entity.
+The term discloses the entity by the information log2(n(term, entity) * n / (n(term) * n(entity)))
+once they met in at least `support` documents, and n(term, entity) / n(term) is the share of the
+entity's surprise that it reveals. Every occurrence of a term from both thresholds on becomes a
+span of kind term in the documents that hold the entity, unless it overlaps a base span;
+sanitised() removes those that reveal at least `remove` and generalises the others, and masks base
+spans. Documents without the entity keep the term: there it stands beside nobody.
+
+Counts cover all documents. A pair can reach the thresholds only if entity and term are each in at
+least `support` documents and in at most n / 2**bits, so pairs are made of these alone; sketches of
+fixed size tell them, and what a sketch lets through beyond that is dropped by exact counts. Entities
+and terms travel as hashes; counts are summed per task first. Thresholds don't depend on the input's
+size. Null or empty text: no spans. Repeated rows count as documents of their own. Null doc_id: as
+any other. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -28,7 +33,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import pieces_of, read, stored
 
 KINDS = ("email", "ip", "card", "phone")
-REACH, SUPPORT, BITS, SHARE, REMOVE, FLUSH = 8, 2, 6.0, 0.5, 0.9, 300_000
+SUPPORT, BITS, SHARE, REMOVE, FLUSH = 2, 6.0, 0.5, 0.9, 300_000
+#: Bits of a sketch of hashes, and of one of its chunks.
+SKETCH, CHUNK = 1 << 26, 1 << 18
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -77,38 +84,62 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def _near(text: str, start: int, end: int, reach: int) -> list[tuple[int, int]]:
-    """Places of the terms within `reach` words on either side."""
-    left, right = max(0, start - 40 * reach), min(len(text), end + 40 * reach)
-    before = [(left + m.start(), left + m.end()) for m in _TERM.finditer(text[left:start]) if left == 0 or m.start()][-reach:]
-    after = [(end + m.start(), end + m.end()) for m in _TERM.finditer(text[end:right]) if right == len(text) or m.end() < right - end][:reach]
-    return before + after
-
-
 def _hash(x: str) -> int:
     return xxhash.xxh64_intdigest(x.lower()) - (1 << 63)
 
 
-def near_terms(text: str, spans: list, reach: int = REACH) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of all terms near the base spans; none overlaps a span."""
-    out = []
-    for kind, a, b in spans:
-        entity = _hash(kind + ":" + text[a:b])
-        out += [(entity, _hash(text[s:e]), s, e) for s, e in _near(text, a, b, reach) if not any(s < y and x < e for _, x, y in spans)]
+def _terms(text: str, spans: list) -> list[tuple[str, int, int]]:
+    """(lower-case term, start, end) of all terms that overlap none of the base spans."""
+    taken: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    at, out = 0, []
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        while at < len(taken) and taken[at][1] <= s:
+            at += 1
+        if at == len(taken) or taken[at][0] >= e:
+            out.append((m.group().lower(), s, e))
+    return out
+
+
+def _entities(text: str, spans: list) -> set[int]:
+    return {_hash(k + ":" + text[s:e]) for k, s, e in spans}
+
+
+def _sketch(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the low bits of column h: 8 MB at any size of the input."""
+
+    def packed(t: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(CHUNK, np.uint8)
+        bits[t["low"].to_numpy() % CHUNK] = 1
+        return pd.DataFrame({"chunk": t["chunk"][:1], "bits": [np.packbits(bits).tobytes()]})
+
+    low = hashes.select(F.col("h").bitwiseAND(F.lit(SKETCH - 1)).alias("low")).distinct()
+    out = np.zeros(SKETCH // 8, np.uint8)
+    for r in low.select(F.expr(f"low div {CHUNK}").alias("chunk"), "low").groupBy("chunk").applyInPandas(packed, "chunk long, bits binary").collect():
+        out[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def counts(documents: DataFrame, reach: int = REACH) -> DataFrame:
-    """(entity, term, n) of documents: both given, term only (entity null), entity only (term null), and neither: all documents."""
+def _held(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes & (SKETCH - 1)
+    return (sketch[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1 > 0
+
+
+def _longs(values) -> np.ndarray:
+    return np.fromiter(values, np.int64)
+
+
+def counts(documents: DataFrame) -> DataFrame:
+    """(entity, term, n) of documents: entity only (term null), term only (entity null), and neither: all documents."""
 
     def run(batches):
         seen: Counter = Counter()
         total = 0
-
-        def table():
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["entity", "term", "n"])
-
         for batch in batches:
             texts = batch.column(0).to_pylist()
             total += len(texts)
@@ -117,34 +148,89 @@ def counts(documents: DataFrame, reach: int = REACH) -> DataFrame:
                 for text in texts[a:b]:
                     if not text:
                         continue
-                    words.update(set(_TERM.findall(text.lower())))
+                    words.update({w.lower() for w in set(_TERM.findall(text))})
                     if spans := base_spans(text):
-                        near = near_terms(text, spans, reach)
-                        seen.update({(x[0], x[1]) for x in near})
-                        seen.update({(_hash(k + ":" + text[s:e]), None) for k, s, e in spans})
+                        seen.update((x, None) for x in _entities(text, spans))
                 for w, n in words.items():
                     seen[None, _hash(w)] += n
                 if len(seen) > FLUSH:
-                    yield table()
+                    yield _table(seen)
                     seen.clear()
         seen[None, None] += total
-        yield table()
+        yield _table(seen)
 
     return documents.select("text").mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
 
 
-def disclosures(documents: DataFrame, reach: int = REACH, support: int = SUPPORT, bits: float = BITS, share: float = SHARE) -> DataFrame:
+def _table(seen: Counter) -> pa.RecordBatch:
+    keys = list(seen)
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["entity", "term", "n"])
+
+
+def pair_counts(documents: DataFrame, entities: np.ndarray, terms: np.ndarray) -> DataFrame:
+    """(entity, term, n) of documents that hold both, of those in the sketches."""
+    shared = documents.sparkSession.sparkContext.broadcast((entities, terms))
+
+    def run(batches):
+        some, few = shared.value
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if not text or not (spans := base_spans(text)):
+                    continue
+                es = _longs(_entities(text, spans))
+                es = es[_held(some, es)]
+                if not len(es):
+                    continue
+                ts = _longs({_hash(w) for w in {t[0] for t in _terms(text, spans)}})
+                ts = ts[_held(few, ts)].tolist()
+                for e in es.tolist():
+                    seen.update((e, t) for t in ts)
+                    if len(seen) > FLUSH:
+                        yield _table(seen)
+                        seen.clear()
+        yield _table(seen)
+
+    return documents.select("text").mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+
+
+def disclosures(documents: DataFrame, support: int = SUPPORT, bits: float = BITS, share: float = SHARE) -> DataFrame:
     """(entity, term, bits, share) of the pairs from the thresholds on."""
-    c = stored(counts(documents, reach), "term-counts")
+    c = stored(counts(documents), "term-counts")
     total = c.where("entity is null and term is null").agg(F.sum("n")).first()[0] or 0
-    pairs = c.where(f"entity is not null and term is not null and n >= {support}")
-    t = c.where("entity is null and term is not null").select("term", F.col("n").alias("nt"))
-    e = c.where("entity is not null and term is null").select("entity", F.col("n").alias("ne"))
+    # n(term, entity) is at most n(term) and n(entity), so beyond these bounds neither can reach the thresholds.
+    able = (F.col("n") >= support) & (F.col("n") <= total / 2.0**bits * (1 + 1e-9))
+    t = c.where("entity is null and term is not null").where(able).select("term", F.col("n").alias("nt"))
+    e = c.where("entity is not null and term is null").where(able).select("entity", F.col("n").alias("ne"))
+    pairs = pair_counts(documents, _sketch(e.select(F.col("entity").alias("h"))), _sketch(t.select(F.col("term").alias("h")))).where(f"n >= {support}")
+    pairs = stored(pairs, "pair-counts")
     j = pairs.join(e, "entity").join(t, "term").select("entity", "term", F.log2(F.col("n") * float(total) / (F.col("nt") * F.col("ne"))).alias("bits"), (F.col("n") / F.col("nt")).alias("share"))
     return j.where((F.col("bits") >= bits) & (F.col("share") >= share))
 
 
-def spans(documents: DataFrame, reach: int = REACH, **thresholds) -> DataFrame:
+_SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
+
+
+def _marked(text: pd.Series, base: pd.Series, hits: pd.Series) -> pd.Series:
+    """Every occurrence of the terms in hits (term, share)."""
+    out = []
+    for x, bs, hs in zip(text, base, hits, strict=True):
+        if x is None or hs is None:
+            out.append([])
+            continue
+        share, known = {int(h["term"]): float(h["share"]) for h in hs}, {}
+        spans, found = [(b["kind"], b["start"], b["end"]) for b in bs], []
+        for w, s, e in _terms(x, spans):
+            h = known.get(w)
+            if h is None:
+                h = known[w] = _hash(w)
+            if h in share:
+                found.append({"start": s, "end": e, "share": share[h]})
+        out.append(found)
+    return pd.Series(out, dtype=object)
+
+
+def spans(documents: DataFrame, **thresholds) -> DataFrame:
     """(doc_id, text, base array<struct<kind,start,end>>, terms array<struct<start,end,share>>)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -153,25 +239,48 @@ def spans(documents: DataFrame, reach: int = REACH, **thresholds) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for a, b in pieces_of([x or "" for x in texts]):
                 base = [base_spans(x) for x in texts[a:b]]
-                near = [near_terms(x, s, reach) if s else [] for x, s in zip(texts[a:b], base, strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[a:b], batch.column(1)[a:b],
                     pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in base], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([[{"entity": x, "term": t, "start": s, "end": e} for x, t, s, e in n] for n in near], pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))),
-                ], ["doc_id", "text", "base", "near"])
+                ], ["doc_id", "text", "base"])
+
+    tell = stored(disclosures(documents, **thresholds), "disclosures")
+    # The sketch holds pairs, so a document gives rows for those of its pairs that disclose and hardly any other.
+    shared = documents.sparkSession.sparkContext.broadcast((_sketch(tell.select(F.col("entity").alias("h"))), _sketch(tell.select(F.col("entity").bitwiseXOR(F.col("term")).alias("h")))))
+
+    def telling(batches):
+        some, both = shared.value
+        for batch in batches:
+            texts, rows = batch.column(2).to_pylist(), []
+            for k, text in enumerate(texts):
+                if not text or not (base := base_spans(text)):
+                    continue
+                es = _longs(_entities(text, base))
+                es = es[_held(some, es)]
+                if not len(es):
+                    continue
+                ts = _longs({_hash(w) for w in {t[0] for t in _terms(text, base)}})
+                for e in es.tolist():
+                    rows += [(k, e, t) for t in ts[_held(both, ts ^ e)].tolist()]
+                if len(rows) > FLUSH or k + 1 == len(texts):
+                    yield _rows(batch, rows)
+                    rows = []
+            yield _rows(batch, rows)
+
+    def _rows(batch, rows):
+        at = pa.array([r[0] for r in rows], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "tag", "entity", "term"])
 
-    found = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, base array<struct<kind:string,start:bigint,end:bigint>>, near array<struct<entity:bigint,term:bigint,start:bigint,end:bigint>>")
-    tell = disclosures(documents, reach, **thresholds)
-    # Only the few terms near entities meet the disclosures, not the texts.
     key = ["doc_id", "tag"]
-    tagged = found.withColumn("tag", F.xxhash64("text"))
-    n = tagged.where(F.size("near") > 0).select(*key, F.explode("near").alias("x")).select(*key, "x.*")
-    n = n.join(tell, ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("share").alias("share"))
-    n = n.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    n = stored(n.where("doc_id is not null"), "term-spans")
-    side = F.broadcast(n) if n.count() <= 200_000 else n
-    none = F.lit([]).cast("array<struct<start:bigint,end:bigint,share:double>>")
-    return tagged.join(side, key, "left").select("doc_id", "text", "base", F.coalesce("terms", none).alias("terms"))
+    n = documents.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(telling, f"doc_id {kind}, tag long, entity long, term long")
+    n = n.join(tell, ["entity", "term"]).groupBy(*key, "term").agg(F.max("share").alias("share"))
+    n = n.groupBy(*key).agg(F.collect_list(F.struct("term", "share")).alias("hits"))
+    n = stored(n, "term-hits")
+    side = (F.broadcast(n) if n.count() <= 200_000 else n).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "hits")
+    found = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, base {_SPANS}").withColumn("tag", F.xxhash64("text"))
+    j = found.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
+    hit, marked = F.col("hits").isNotNull(), F.pandas_udf(_marked, "array<struct<start:bigint,end:bigint,share:double>>")
+    return j.select("doc_id", "text", "base", marked(F.when(hit, F.col("text")), F.when(hit, F.col("base")), F.col("hits")).alias("terms"))
 
 
 def sanitised(found: DataFrame, remove: float = REMOVE) -> DataFrame:

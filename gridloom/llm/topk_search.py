@@ -1,11 +1,11 @@
 """Operator 3, exact top-k search by columnar branch-and-bound.
 
-Vectors become integers, floor(scale * x). Rows are dealt by a hash of vec_id into blocks of about
-`block` candidates and the stated queries (vec_id divisible by `every`) into blocks of their own;
+Vectors become integers, floor(scale * x). Rows are dealt by a hash of vec_id, vector and a row salt
+into blocks of about `block` candidates, so repeated rows spread, and the stated queries (vec_id divisible by `every`) into blocks of their own;
 each pair of blocks is one group, so no task holds more than two blocks. A candidate block lies in
 vertical layout, a contiguous slab for each few dimensions. For each query the partial inner
 products grow slab by slab; what a candidate can still gain is at most the product of the norms of
-the remaining dimensions of both (the remaining mass), and those that can't reach the query's
+the remaining dimensions of both (the remaining mass); a query's own rows are taken out first, and those that can't reach the query's
 k-th best so far are compacted away. Blocks' winners meet in a window a query.
 
 Vectors null or with null or non-finite components take no part; missing dimensions count as 0.
@@ -65,37 +65,38 @@ def block_winners(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nda
     out = []
     for row, own in zip(q.astype(exact), range(len(q)), strict=True):
         alive, floor = None, -np.inf
-        part = np.zeros(len(c_ids), exact)
+        first, last = np.searchsorted(c_ids, q_ids[own], "left"), np.searchsorted(c_ids, q_ids[own], "right")
+        if first < last:  # the query's own rows, however many, must not raise the floor
+            alive = np.concatenate((np.arange(first), np.arange(last, len(c_ids))))
+        part = np.zeros(len(c_ids) if alive is None else len(alive), exact)
         for s, a in enumerate(cuts):
             data = slabs[s] if alive is None else slabs[s][:, alive]
             part = part + row[a : a + slab] @ data
-            if len(part) <= k + 1:
+            if len(part) <= k:
                 continue
             gain = q_tails[s, own] * (c_tails[s] if alive is None else c_tails[s][alive]) * (1 + 1e-9) + 1e-6
-            sure = np.partition(part - gain, len(part) - k - 1)[len(part) - k - 1]  # one more than k: the query itself may be among them
+            sure = np.partition(part - gain, len(part) - k)[len(part) - k]
             floor = max(floor, sure)
             stay = part + gain >= floor
             if stay.sum() < 0.7 * len(stay):
                 alive = np.flatnonzero(stay) if alive is None else alive[stay]
                 part = part[stay]
         ids = c_ids if alive is None else c_ids[alive]
-        other = ids != q_ids[own]
-        ids, score = ids[other], part[other]
-        best = np.lexsort((ids, -score))[:k]
-        out += [(int(q_ids[own]), int(i), int(s)) for i, s in zip(ids[best], score[best], strict=True)]
+        best = np.lexsort((ids, -part))[:k]
+        out += [(int(q_ids[own]), int(i), int(s)) for i, s in zip(ids[best], part[best], strict=True)]
     return out
 
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score)."""
-    ints = stored(integers(vectors, scale), "integer-vectors")
+    ints = stored(integers(vectors, scale).withColumn("salt", F.monotonically_increasing_id()), "integer-vectors")
     query = F.col("vec_id") % every == 0
     n, m = ints.agg(F.count("*"), F.coalesce(F.count_if(query), F.lit(0))).first()
     c_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-m // block))
-    dealt = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    dealt = lambda blocks, *by: F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")
     every_q, every_c = F.sequence(F.lit(0), F.lit(q_blocks - 1)), F.sequence(F.lit(0), F.lit(c_blocks - 1))
-    c = ints.select("vec_id", "v", dealt(c_blocks).alias("cb"), F.explode(every_q).alias("qb"))
-    q = ints.where(query).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", dealt(q_blocks).alias("qb"), F.explode(every_c).alias("cb"))
+    c = ints.select("vec_id", "v", dealt(c_blocks, "vec_id", "v", "salt").alias("cb"), F.explode(every_q).alias("qb"))
+    q = ints.where(query).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", dealt(q_blocks, "vec_id").alias("qb"), F.explode(every_c).alias("cb"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = block_winners(left["vec_id"].to_numpy(), _matrix(left["v"]), right["vec_id"].to_numpy(), _matrix(right["v"]), k) if len(left) and len(right) else []

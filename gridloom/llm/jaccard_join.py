@@ -1,7 +1,7 @@
 """Operator 1, n-gram Jaccard join with multiple-global-order filtering.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes); two link at Jaccard >= 0.75.
-Documents of one set are one class, so copies cost nothing further. Every order of all shingles has
+Documents of one set are one class, and one document stands for it from the prefixes on, so copies cost nothing further. Every order of all shingles has
 the prefix property: classes that link share one of the first n // 4 + 1 shingles of each. Here an
 order goes by how crowded a shingle's hash bucket is (counted over all documents in a sketch of
 fixed size), then by a hash, another in each order.
@@ -14,8 +14,8 @@ pass the bounds on lengths, positions and prefix shingles shared, then the same
 under every other order, and only then are whole sets compared.
 
 Null, empty or blank text: an empty set, which links with nothing. Fewer words than n: their
-whole sequence is the one shingle. Repeated rows: each is returned. Null doc_id: kept as it is, never the name of a component it shares
-with a document that has one. An empty table gives an empty result.
+whole sequence is the one shingle. Repeated rows: each is returned. Null doc_id: takes part, but never names a component it shares
+with a document that has one; a component of null ids alone has the null id, and one_of_each() keeps its rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def prefix(s: np.ndarray, order: int, crowded: np.ndarray) -> np.ndarray:
 
 
 def features(documents: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, n, c), how crowded each hash bucket is, from 0 to 7); the second has a fixed size at any size of the input."""
+    """((doc_id, tag, n, c) with tag a hash of the text, how crowded each hash bucket is, from 0 to 7); the second has a fixed size at any size of the input."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -122,17 +122,17 @@ def features(documents: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
         none = lambda k, t: pa.nulls(k, t)
         id_type = None
         for batch in batches:
-            texts, id_type = batch.column(1).to_pylist(), batch.column(0).type
+            texts, id_type = batch.column(2).to_pylist(), batch.column(0).type
             for a, b in pieces_of([x or "" for x in texts], MOST_CHARS):
                 sets = shingle_sets([x or "" for x in texts[a:b]], n)
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([_named(s) for s in sets], pa.int64()), none(b - a, pa.int32()), none(b - a, pa.int32()), none(b - a, pa.binary())], ["doc_id", "n", "c", "chunk", "salt", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([_named(s) for s in sets], pa.int64()), none(b - a, pa.int32()), none(b - a, pa.int32()), none(b - a, pa.binary())], ["doc_id", "tag", "n", "c", "chunk", "salt", "counts"])
         if id_type is not None and counts.any():
             k = BUCKETS // CHUNK
             salt = TaskContext.get().partitionId() // 1024
-            yield pa.RecordBatch.from_arrays([none(k, id_type), none(k, pa.int64()), none(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array([counts[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)], pa.binary())], ["doc_id", "n", "c", "chunk", "salt", "counts"])
+            yield pa.RecordBatch.from_arrays([none(k, id_type), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array([counts[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(k)], pa.binary())], ["doc_id", "tag", "n", "c", "chunk", "salt", "counts"])
 
-    rows = stored(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, c long, chunk int, salt int, counts binary"), "shingle-features")
+    rows = stored(_tagged(documents).mapInArrow(run, f"doc_id {kind}, tag long, n long, c long, chunk int, salt int, counts binary"), "shingle-features")
 
     def summed(t: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, np.int64)
@@ -148,7 +148,11 @@ def features(documents: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
     mean = float(np.median(total))
     excess = total - mean
     levels = sum((excess > times * mean**0.5 + more).astype(np.uint8) for times, more in LEVELS)
-    return rows.where("chunk is null").select("doc_id", "n", "c"), levels
+    return rows.where("chunk is null").select("doc_id", "tag", "n", "c"), levels
+
+
+def _tagged(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.xxhash64("text").alias("tag"), "text")
 
 
 def _checked(small: DataFrame) -> DataFrame:
@@ -201,36 +205,58 @@ def _met_enough(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(met).select("a", "b", "na", "nb")
 
 
+def _one_row(rows: DataFrame, repeats: bool) -> DataFrame:
+    """A row a class. Only repeated rows of a document still give several; tasks reduce them before the shuffle."""
+    return rows.groupBy("c").agg(*(F.first(x).alias(x) for x in rows.columns if x != "c")) if repeats else rows
+
+
 def jaccard_components(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFrame:
     """(doc_id, n_shingles, component_id)."""
+    return _labelled(documents, n, orders).drop("tag")
+
+
+def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFrame:
+    """jaccard_components() with column tag, a hash of the text."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text")
+    docs, kind = _tagged(documents), documents.schema["doc_id"].dataType.simpleString()
     feats, crowded = features(docs, n)
     shared = spark.sparkContext.broadcast(crowded)
+    # The document that stands for each class, and whether rows of it repeat.
+    same = feats.where("n > 0").groupBy("c", "doc_id", "tag").agg(F.count("*").alias("m"))
+    reps = stored(same.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "m")).alias("r"), F.count("*").alias("k")).select("c", "r.doc_id", "r.tag", "r.m", "k"), "class-documents")
+    repeats = not reps.where("m > 1").isEmpty()
 
     def prefixes(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in pieces_of([x or "" for x in texts], MOST_CHARS):
-                sets = [s for s in shingle_sets([x or "" for x in texts[a:b]], n) if len(s)]
+                sets = shingle_sets([x or "" for x in texts[a:b]], n)
+                some = [k for k, s in enumerate(sets) if len(s)]
+                sets = [sets[k] for k in some]
+                at = pa.array([a + k for k in some], pa.int64())
                 pre = [prefix(s, 1, shared.value) for s in sets]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in pre]))).astype(np.int32)
                 flat = (np.concatenate(pre) >> np.uint64(16)).astype(np.int64) if pre else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([_named(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["c", "n", "pre"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([_named(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "tag", "c", "n", "pre"])
 
     # 48 bits of a shingle will do here: chance meetings are only candidates.
-    rows = docs.select("text").mapInArrow(prefixes, "c long, n int, pre array<bigint>").select("c", "n", F.posexplode("pre").alias("i", "t"))
-    group = "over (partition by t)"
-    groups = rows.select("t", "c", "n", "i", F.expr(f"min(c) {group}").alias("lo"), F.expr(f"max(c) {group}").alias("hi"), F.expr(f"count(1) {group}").alias("k")).where("lo < hi")
-    groups = stored(groups.select("t", "c", "n", "i", "k"), "prefix-groups")
+    pre = docs.mapInArrow(prefixes, f"doc_id {kind}, tag long, c long, n int, pre array<bigint>")
+    copied = stored(reps.where("k > 1").select("c", F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "copied-classes")
+    pre = pre.join(_checked(copied), "c", "left").where("_tag is null or (doc_id <=> _id and tag = _tag)").select("c", "n", "pre")
+    pre = stored(_one_row(pre, repeats), "class-prefixes")
+    rows = pre.select("c", "n", F.posexplode("pre").alias("i", "t"))
+    met = stored(rows.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("t", "k"), "met")
+    groups = stored(rows.join(_checked(met), "t").select("t", "c", "n", "i", "k"), "prefix-groups")
     # Copies of a text are nearer to it than to each other, so the class whose shingles have most company is the one to hold others against.
     central = stored(groups.groupBy("c").agg((F.sum("k") / (F.max("n") / 4.0 + 1)).alias("company")), "company")
-    starred = groups.drop("k").join(_checked(central), "c").withColumn("lo", F.expr(f"max(struct(company, c, n, i)) {group}"))
+    led = groups.drop("k").join(_checked(central), "c")
+    centre = stored(led.groupBy("t").agg(F.max(F.struct("company", "c", "n", "i")).alias("lo")), "centres")
+    starred = led.join(_checked(centre), "t")
     first = starred.where("c <> lo.c").select(F.col("lo.c").alias("a"), F.col("c").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"), F.col("lo.i").alias("ia"), F.col("i").alias("ib"))
     # Each class against the one of the groups' centres that it meets most; round two sees to all other pairs.
     first = _pairs(first).groupBy("b", "nb").agg(F.max_by(F.struct("a", "na"), F.struct("met", F.negative("a"))).alias("x"))
     first = stored(first.select("x.a", "b", "x.na", "nb"), "star-pairs")
-    sets = _sets(docs, feats, first, n, orders, crowded, None)
+    sets = _sets(docs, reps, repeats, first, n, orders, crowded, None)
     edges = _verified(first, sets, orders)
     comp = components(edges)
 
@@ -245,7 +271,7 @@ def jaccard_components(documents: DataFrame, n: int = N, orders: int = ORDERS) -
     pair = pair.select(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b"), F.expr("if(xc < yc, xn, yn)").alias("na"), F.expr("if(xc < yc, yn, xn)").alias("nb")).distinct()
     second = stored(_met_enough(stored(pair, "near-pairs"), groups), "cross-pairs")
     if not second.isEmpty():
-        sets = _sets(docs, feats, second, n, orders, crowded, sets)
+        sets = _sets(docs, reps, repeats, second, n, orders, crowded, sets)
         more = _verified(second, sets, orders)
         if not more.isEmpty():
             comp = components(comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).where("a <> b").union(more))
@@ -254,17 +280,17 @@ def jaccard_components(documents: DataFrame, n: int = N, orders: int = ORDERS) -
     f = feats.join(_checked(comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = stored(f.where(whole).groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k"), "least-ids")
     f = f.join(_checked(least), "comp", "left")
-    return f.select("doc_id", F.col("n").alias("n_shingles"), F.when(whole, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return f.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.when(whole, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _sets(docs, feats, pairs, n, orders, crowded, had) -> DataFrame:
+def _sets(docs, reps, repeats, pairs, n, orders, crowded, had) -> DataFrame:
     """(c, s, p2, p3, ...) of the classes in pairs that `had` lacks, and had: the whole sets and their prefixes under the other orders."""
     spark = docs.sparkSession
     need = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     if had is not None:
         need = need.join(had.select("c"), "c", "left_anti")
-    need = feats.where("doc_id is not null").join(_checked(stored(need, "needed")), "c").groupBy("c").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    texts = docs.join(_checked(stored(need, "needed-ids")), "doc_id").select("text")
+    need = stored(reps.join(_checked(stored(need, "needed")), "c").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "needed-ids")
+    texts = docs.join(_checked(need), docs["doc_id"].eqNullSafe(need["_id"]) & (docs["tag"] == need["_tag"])).select("text")
     shared = spark.sparkContext.broadcast(crowded)
     names = [f"p{k}" for k in range(2, orders + 1)]
 
@@ -277,7 +303,7 @@ def _sets(docs, feats, pairs, n, orders, crowded, had) -> DataFrame:
                 columns += [pa.array([(prefix(s, k, shared.value) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())) for k in range(2, orders + 1)]
                 yield pa.RecordBatch.from_arrays(columns, ["c", "s", *names])
 
-    new = stored(texts.mapInArrow(run, "c long, s array<bigint>, " + ", ".join(f"{p} array<int>" for p in names)), "sets")
+    new = stored(_one_row(texts.mapInArrow(run, "c long, s array<bigint>, " + ", ".join(f"{p} array<int>" for p in names)), repeats), "sets")
     return new if had is None else new.unionByName(had)
 
 

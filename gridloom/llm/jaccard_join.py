@@ -326,10 +326,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, orders: int) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """documents, of each component only the one with the smallest doc_id."""
-    stay = jaccard_components(documents, **options).where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    keyed = documents.withColumn("_id", F.col("doc_id"))
-    return keyed.join(_checked(stored(stay, "stay")), "_id", "left_semi").drop("_id")
+    """documents, of each component only those with the smallest doc_id; rows of one doc_id are told apart by their texts."""
+    stay = _labelled(documents, **options).where("component_id <=> doc_id").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    stay, keyed = stored(stay, "stay"), documents.withColumn("_text_tag", F.xxhash64("text"))
+    return keyed.join(_checked(stay), keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_text_tag"] == stay["_tag"]), "left_semi").drop("_text_tag")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,8 @@ def _bucket(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), *parts)), 1, 12), 16, 10).cast("bigint")
 
 
-def sizes(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+def sizes(documents: DataFrame, *more: Column) -> DataFrame:
+    return documents.select("doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
@@ -71,35 +71,40 @@ def apportion(units: DataFrame, group: list[str], votes: str, seats: str, order:
     return q.groupBy(*group, order).agg(*keep, (F.first("_sure") + won).cast("bigint").alias("quota"))
 
 
-def mix(documents: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, **shape) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, whole, ranges): whole copies, and the word ranges [a, b) of one more."""
+def mix(documents: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, carry: Column | None = None, **shape) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, whole, ranges): whole copies, and the word ranges [a, b) of one more.
+
+    With carry, each row also has this value of its document, as column _d."""
     sized = stored(sizes(documents), "mix-sizes")
     t = targets(sized, **shape).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("bigint"))
     t = t.withColumn("all", F.lit(0)).withColumn("shards", F.least(F.lit(max_shards), F.ceil(F.col("source_size") / shard_words) + 1).cast("int"))
     t = stored(apportion(t, ["all"], "target", "seats", "source_no").drop("all", "seats").withColumnRenamed("quota", "seats"), "mix-sources")
     # One row a source; a source is a label, so this is small, and Spark broadcasts it by its measured size.
-    d = sized.join(t, sized["source"].eqNullSafe(t["source"])).drop(t["source"])
-    d = d.withColumn("key", F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")))).withColumn("shard", F.pmod(_bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("shards")).cast("int"))
-    units = d.groupBy("source_no", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"))
+    def dealt(rows: DataFrame) -> DataFrame:
+        d = rows.join(t, rows["source"].eqNullSafe(t["source"])).drop(t["source"])
+        return d.withColumn("key", F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")))).withColumn("shard", F.pmod(_bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("shards")).cast("int"))
+
+    d = dealt(sized if carry is None else sizes(documents, carry.alias("_d"), F.xxhash64("text").alias("tag")))
+    units = dealt(sized).groupBy("source_no", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"))
     units = apportion(units, ["source_no"], "words", "seats", "shard")
     units = units.withColumn("blocks", F.ceil(F.col("words") / block).cast("bigint")).withColumn("quota", F.least("quota", 2 * F.col("blocks")))
     units = units.withColumn("passes", F.when(F.col("blocks") > 0, F.expr("quota div blocks")).otherwise(0)).withColumn("extra", F.col("quota") - F.col("passes") * F.col("blocks"))
     units = units.withColumn("start", F.when(F.col("blocks") > 0, F.pmod(_bucket(F.col("source_no").cast("string"), F.col("shard").cast("string")), F.col("blocks"))).otherwise(0))
     units = units.select("source_no", "shard", "passes", F.least(F.col("start") * block, "words").alias("a1"), F.least((F.col("start") + F.col("extra")) * block, "words").alias("b1"), F.greatest((F.col("start") + F.col("extra") - F.col("blocks")) * block, F.lit(0)).alias("b2"))
-    end = Window.partitionBy("source_no", "shard").orderBy("key", "doc_id", "size")
+    end = Window.partitionBy("source_no", "shard").orderBy("key", "doc_id", "size", *(["tag"] if carry is not None else []))
     d = d.withColumn("upto", F.sum("size").over(end.rowsBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("upto") - F.col("size"))
     d = d.join(stored(units, "mix-shards"), ["source_no", "shard"])
     cut = lambda a, b: F.struct((F.greatest(a, "from") - F.col("from")).alias("a"), (F.least(b, "upto") - F.col("from")).alias("b"))
     ranges = F.filter(F.array(cut(F.lit(0), F.col("b2")), cut(F.col("a1"), F.col("b1"))), lambda r: r["a"] < r["b"])
     d = d.withColumn("ranges", ranges).withColumn("taken", F.col("passes") * F.col("size") + F.aggregate("ranges", F.lit(0).cast("bigint"), lambda s, r: s + r["b"] - r["a"]))
-    return d.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"), F.col("passes").cast("int").alias("whole"), "ranges")
+    return d.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"), F.col("passes").cast("int").alias("whole"), "ranges", *(["_d"] if carry is not None else []))
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each whole copy taken, and one with the words of a part; documents not taken are gone."""
     names = documents.columns
-    m = mix(documents, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "whole", "ranges")
-    j = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_d"), F.col("doc_id").alias("_id")).join(m, "_id")
+    # Each document goes through the mix with its columns: repeated and null ids couldn't be joined back to their rows.
+    j = mix(documents, carry=F.struct(*(F.col(f"`{c}`") for c in names)), **options).where("taken > 0").select("_d", "size", "whole", "ranges")
     full = F.array_repeat(F.lit(None).cast("array<struct<a:bigint,b:bigint>>"), F.col("whole"))
     part = F.when(F.size("ranges") > 0, F.array("ranges")).otherwise(F.expr("array()").cast("array<array<struct<a:bigint,b:bigint>>>"))
     j = j.withColumn("_take", F.explode(F.concat(full, part)))

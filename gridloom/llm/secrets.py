@@ -1,6 +1,9 @@
 """Operator 4, secret scans with a random forest that removes false positives.
 
-A candidate is a run of at least 16 of the characters that keys are made of, with a digit in it.
+Candidates are: runs of at least 16 of the characters that keys are made of, with a digit in them or of
+high entropy; values of any characters, from 6 on, that are assigned to or quoted after a name with
+a word like password, token, secret or key in it, or that follow "bearer"; and the headers of PEM
+private keys. Candidates of several kinds at one place are one.
 Its features are its length, character classes and the transitions between them, entropy,
 dictionary coverage (letters that lie in words of a public vocabulary), path signs, and the words
 beside it. The forest is trained on labelled findings (candidate's doc_id, start, label), at most
@@ -29,6 +32,11 @@ from gridloom.llm.common import pieces_of, read, stored
 
 MODEL, MOST_ROWS, TREES, DEPTH, SEED = "/opt/tokenizers/piece_bpe_32k.model", 4000, 24, 8, 11
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.\-]{16,}")
+ENTROPY, LEAST = 3.0, 6
+_SIGN, _BEARER = re.compile(r"=>|[=:]"), re.compile(r"(?i)\bbearer[ \t]+")
+_NAME = re.compile(r"(?i)(pass|pwd|token|secret|key|auth|credential)[A-Za-z0-9_.\-]{0,40}$")
+_VALUE = re.compile(r"\"([^\"\n]+)\"|'([^'\n]+)'|((?:[^\s&]|&(?![A-Za-z_]\w*=))+)")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
 _DIGIT, _LETTERS = re.compile("[0-9]"), re.compile("[A-Za-z]{4,}")
 NEIGHBOURS = ("password", "passwd", "secret", "token", "key", "api", "auth", "bearer", "sha", "id", "version", "commit")
 NAMES = (
@@ -36,7 +44,7 @@ NAMES = (
     "coverage", "slashes", "dots", "after_path", "assigned", "quoted", "hex", *(f"near_{w}" for w in NEIGHBOURS),
 )
 #: Formats of the weak labels: certain secrets, and certain others.
-SECRET = (re.compile(r"AKIA[0-9A-Z]{16}$"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36}$"), re.compile(r"sk_live_[A-Za-z0-9]{24,}$"))
+SECRET = (re.compile(r"AKIA[0-9A-Z]{16}$"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36}$"), re.compile(r"sk_live_[A-Za-z0-9]{24,}$"), _PEM)
 OTHER = (re.compile(r"[0-9.\-]+$"), re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), re.compile(r"(.)\1+$"))
 _ASSIGNED = re.compile(r"(?i)(password|token|secret|api_?key)[\"']?\s*[=:]\s*[\"']?$")
 
@@ -53,12 +61,16 @@ def _class(c: str) -> str:
     return "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o"
 
 
+def _entropy(s: str) -> float:
+    return -sum(k / len(s) * math.log2(k / len(s)) for k in Counter(s).values())
+
+
 def described(text: str, start: int, end: int, words: frozenset[str]) -> list[float]:
     s = text[start:end]
     kinds = [_class(c) for c in s]
     n, of = len(s), Counter(kinds)
     steps = Counter(zip(kinds, kinds[1:], strict=False))
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(s).values())
+    entropy = _entropy(s)
     covered = 0
     for m in _LETTERS.finditer(s):
         w, at = m.group().lower(), 0
@@ -78,8 +90,10 @@ def described(text: str, start: int, end: int, words: frozenset[str]) -> list[fl
 
 def weak_label(text: str, start: int, end: int) -> int | None:
     s = text[start:end]
-    if any(p.match(s) for p in SECRET) or _ASSIGNED.search(text[max(0, start - 24) : start]):
+    if any(p.match(s) for p in SECRET):
         return 1
+    if _ASSIGNED.search(text[max(0, start - 24) : start]):
+        return 1 if _DIGIT.search(s) else None  # a word after the name may be prose: the forest tells
     return 0 if any(p.match(s) for p in OTHER) else None
 
 
@@ -92,6 +106,43 @@ def split(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def _assigned(text: str):
+    """Places of the values after a telling name, or after "bearer"."""
+    done = 0
+    for m in _SIGN.finditer(text):
+        if m.start() >= done and _NAME.search(text[max(0, m.start() - 64) : m.start()].rstrip().rstrip("\"'")):
+            at = m.end()
+            while at < len(text) and text[at] in " \t":
+                at += 1
+            if found := _value(text, at):
+                yield found
+                done = found[1]
+    for m in _BEARER.finditer(text):
+        if found := _value(text, m.end()):
+            yield found
+
+
+def _value(text: str, at: int) -> tuple[int, int] | None:
+    m = _VALUE.match(text, at)
+    if not m:
+        return None
+    s, e = m.span(m.lastindex)
+    while m.lastindex == 3 and e > s and text[e - 1] in ".,;)\"'":
+        e -= 1
+    return (s, e) if e - s >= LEAST else None
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of all candidates, in order."""
+    out = {m.span() for m in _PEM.finditer(text)} | set(_assigned(text))
+    for m in _CANDIDATE.finditer(text):
+        if _DIGIT.search(m.group()) or _entropy(m.group()) >= ENTROPY:
+            s, e = split(text, m.start(), m.end())
+            if e - s >= 12:
+                out.add((s, e))
+    return sorted(out)
+
+
 def candidates(documents: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, start, end, weak, features...) of all candidates."""
     shared = documents.sparkSession.sparkContext.broadcast(dictionary(model))
@@ -104,11 +155,8 @@ def candidates(documents: DataFrame, model: str = MODEL) -> DataFrame:
                 rows = []
                 for k in range(a, b):
                     text = texts[k]
-                    for m in _CANDIDATE.finditer(text) if text else ():
-                        if _DIGIT.search(m.group()):
-                            s, e = split(text, m.start(), m.end())
-                            if e - s >= 12:
-                                rows.append((k, s, e, weak_label(text, s, e), described(text, s, e, shared.value)))
+                    for s, e in places(text) if text else ():
+                        rows.append((k, s, e, weak_label(text, s, e), described(text, s, e, shared.value)))
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()), *(pa.array([float(r[4][i]) for r in rows], pa.float64()) for i in range(len(NAMES)))],

@@ -4,8 +4,8 @@ A line's key is the line without SPACES at its ends, A-Z lower-cased; keys of at
 code points count. Of a key that at least two documents hold, all lines go but those in the
 document with the smallest doc_id. Keys travel as two 64-bit hashes. Hashes are dealt out by
 range together with doc_id, so that a line of a third of all documents lies in many partitions,
-and sorted by document and position; streaming over that order, each partition keeps one partial
-row a key. What comes back for a document is its dropped runs of lines, a run-length coded keep
+and each partition keeps one partial row a key: the smallest and largest doc_id by a hash aggregate,
+which replaces streaming over rows sorted by document and position (Spark drops that sort). What comes back for a document is its dropped runs of lines, a run-length coded keep
 bitmap, never text.
 
 Null or empty text: one empty line, kept. Repeated rows of a doc_id are one document (a key in two

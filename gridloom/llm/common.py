@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,9 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the cluster shares; /tmp only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/gridloom-checkpoints"
-    return f"{root.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
+    """A new folder of this application below spark.checkpoint.dir, which the cluster shares. Where that is unset, only a local master may fall back to a temp folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/gridloom-checkpoints"
+    return f"{root.rstrip('/')}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +38,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> bool:
+    """Removes this application's stored tables: to be called once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "x").rsplit("/", 1)[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """df, a stored table of columns of fixed width, to be broadcast if its rows times their width stay within most_bytes. Counting it reads footers only."""
+    width = sum(_WIDTHS[f.dataType.simpleString()] if f.dataType.simpleString() in _WIDTHS else 64 for f in df.schema.fields) + 16
+    return F.broadcast(df) if df.count() * width <= most_bytes else df
+
+
+_WIDTHS = {"bigint": 8, "double": 8, "int": 4, "boolean": 1}
+
+
+def sample_of(rows: DataFrame, most: int, by: list[str], keep: list[str]) -> DataFrame:
+    """About `most` of the distinct values of columns by, as rows (*by, *keep), chosen by a hash.
+
+    The share is of the estimated number of distinct values (within a few per cent) and meets all 64 bits of the hash,
+    so neither repeated rows nor the table's size change how many are kept. No rows at all give none."""
+    h = F.xxhash64(*(F.col(c) for c in by), F.lit(29))
+    n = rows.agg(F.approx_count_distinct(h, 0.02)).first()[0]
+    if n > most:
+        rows = rows.where(h < F.lit(int(most / n * 2**64) - 2**63))
+    return rows.groupBy(*by).agg(*(F.first(c).alias(c) for c in keep))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is. lower() is quicker, and the same where a text is ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -62,10 +94,12 @@ def factorized(words_of: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def sums_by_document(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of rows of values between the offsets; 0 for an empty range."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sums of rows of values between the offsets; 0 for an empty range. Each sum depends on its own rows alone."""
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]), np.float64)
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    if len(some):
+        out[some] = np.add.reduceat(values, offsets[some], axis=0)
+    return out
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -1,17 +1,21 @@
 """Operator 3, exact top-k search by columnar branch-and-bound.
 
-Vectors become integers, floor(scale * x). Rows are dealt by a hash of vec_id, vector and a row salt
-into blocks of about `block` candidates, so repeated rows spread, and the stated queries (vec_id divisible by `every`) into blocks of their own;
-each pair of blocks is one group, so no task holds more than two blocks. A candidate block lies in
-vertical layout, a contiguous slab for each few dimensions. For each query the partial inner
-products grow slab by slab; what a candidate can still gain is at most the product of the norms of
+Vectors become integers, floor(scale * x). Rows are dealt by a hash of vec_id, vector and a row salt into
+blocks of candidates, so repeated rows spread, and the stated queries (vec_id divisible by `every`) into blocks of their own;
+each pair of blocks is one group, so no task holds more than two blocks, whose rows follow from the
+bytes a vector takes. A candidate block lies in vertical layout, a contiguous slab for each few
+dimensions. For each query the partial inner products grow slab by slab; what a candidate can still gain is at most the product of the norms of
 the remaining dimensions of both (the remaining mass); a query's own rows are taken out first, and those that can't reach the query's
-k-th best so far are compacted away. Blocks' winners meet in a window a query.
+floor are compacted away. The floor is the k-th best lower bound so far. It doesn't start from nothing: all queries
+first meet a pilot, about `pilot` candidates that a hash chooses, and every block starts from the
+k-th best score found there, which can't be above the true one. Blocks' winners meet in a window a query.
 
 Vectors null or with null or non-finite components take no part; missing dimensions count as 0.
-Products are exact 64-bit integers, for components below 2**27 in size after scaling; a larger one
-fails with a message. Ties go to the smaller vec_id. A vec_id is one vector: repeated rows are candidates each, and a
-query is asked once (its first vector). Null vec_id: a candidate of no one. Empty table: empty result.
+Components of any size are exact: a block's products are float64 where 2**53 holds every sum, else 64-bit integers,
+else integers of any length; only a winning score that is itself no 64-bit integer fails, with a
+message. Ties go to the smaller vec_id. A vec_id is one vector: repeated rows are candidates each, and a
+query is asked once (its smallest vector). Null vec_id: a candidate of no one. Empty table: empty result. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,22 +27,20 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import read, stored
 
-K, EVERY, SCALE, BLOCK, SLAB, LIMIT = 5, 50, 256, 16384, 16, 1 << 27
+K, EVERY, SCALE, BLOCK_BYTES, PILOT, SLAB, TILE = 5, 50, 256, 16 << 20, 4096, 16, 64
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v array<bigint>) of the vectors that take part."""
-    x = F.transform("embedding", lambda c: c.cast("double"))
-    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    fits = F.forall(x, lambda c: F.abs(c * scale) < LIMIT)
+    """(vec_id, v) of the vectors that take part; v holds whole numbers as doubles, as floor() to a long would cut large ones."""
+    x = F.transform("embedding", lambda c: c.cast("double") * scale)
+    bad = F.exists("embedding", lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
     kept = vectors.where("vec_id is not null and embedding is not null").where(~bad)
-    v = F.when(fits, F.transform(x, lambda c: F.floor(c * scale).cast("bigint"))).otherwise(F.raise_error(F.lit("a component is too large for exact products")).cast("array<bigint>"))
-    return kept.select("vec_id", v.alias("v"))
+    return kept.select("vec_id", F.transform(x, lambda c: F.when(F.abs(c) < 2.0**53, F.floor(c).cast("double")).otherwise(c)).alias("v"))
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     width = max((len(x) for x in vectors), default=0)
-    m = np.zeros((len(vectors), width), np.int64)
+    m = np.zeros((len(vectors), width))
     for k, x in enumerate(vectors):
         m[k, : len(x)] = x
     return m
@@ -46,63 +48,82 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 def _tails(m: np.ndarray, cuts: range) -> np.ndarray:
     """Norms of what remains from each cut on."""
-    squares = (m.astype(np.float64) ** 2)[:, ::-1].cumsum(1)[:, ::-1]
+    squares = (m**2)[:, ::-1].cumsum(1)[:, ::-1]
     return np.stack([np.sqrt(squares[:, c]) if c < m.shape[1] else np.zeros(len(m)) for c in cuts])
 
 
-def block_winners(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int = K, slab: int = SLAB) -> list[tuple]:
-    """(query_id, vec_id, score) of each query's k best of the block's candidates, itself left out."""
-    width = max(q.shape[1], c.shape[1])
+def _whole(m: np.ndarray, kind) -> np.ndarray:
+    return np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) if kind is object else m.astype(kind)
+
+
+def block_winners(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int = K, slab: int = SLAB) -> list[tuple]:
+    """(query_id, vec_id, score) of those of each query's k best of the block's candidates that its floor leaves, itself left out."""
+    width = max(q.shape[1], c.shape[1], 1)
     q, c = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, c))
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     cuts = range(0, width, slab)
-    slabs = [np.ascontiguousarray(c[:, a : a + slab].T) for a in cuts]
-    # float64 holds the partial sums exactly when they stay below 2**53; else integers do.
-    exact = np.float64 if width * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) < 2.0**53 else np.int64
-    slabs = [s.astype(exact) for s in slabs]
+    most = width * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0))
+    kind = np.float64 if most < 2.0**53 else np.int64 if most < 2.0**62 else object
+    # What float64 can be off by when it stands for sums of integers of this size.
+    slack = 1e-6 if kind is np.float64 else most * 2.0**-50
+    slabs = [_whole(np.ascontiguousarray(c[:, a : a + slab].T), kind) for a in cuts]
     q_tails, c_tails = _tails(q, range(slab, width + slab, slab)), _tails(c, range(slab, width + slab, slab))
-    out = []
-    for row, own in zip(q.astype(exact), range(len(q)), strict=True):
-        alive, floor = None, -np.inf
+    rows, out = _whole(q, kind), []
+    for own in range(len(q)):
+        if own % TILE == 0:  # the first slab of many queries at once
+            tile = rows[own : own + TILE, :slab] @ slabs[0]
+        part, alive, floor = tile[own % TILE], None, floors[own]
         first, last = np.searchsorted(c_ids, q_ids[own], "left"), np.searchsorted(c_ids, q_ids[own], "right")
         if first < last:  # the query's own rows, however many, must not raise the floor
             alive = np.concatenate((np.arange(first), np.arange(last, len(c_ids))))
-        part = np.zeros(len(c_ids) if alive is None else len(alive), exact)
+            part = part[alive]
         for s, a in enumerate(cuts):
-            data = slabs[s] if alive is None else slabs[s][:, alive]
-            part = part + row[a : a + slab] @ data
-            if len(part) <= k:
-                continue
-            gain = q_tails[s, own] * (c_tails[s] if alive is None else c_tails[s][alive]) * (1 + 1e-9) + 1e-6
-            sure = np.partition(part - gain, len(part) - k)[len(part) - k]
-            floor = max(floor, sure)
-            stay = part + gain >= floor
+            if s:
+                part = part + rows[own, a : a + slab] @ (slabs[s] if alive is None else slabs[s][:, alive])
+            gain = q_tails[s, own] * (c_tails[s] if alive is None else c_tails[s][alive]) * (1 + 1e-9) + slack
+            about = part.astype(np.float64)
+            if len(part) > k:
+                floor = max(floor, np.partition(about - gain, len(part) - k)[len(part) - k])
+            stay = about + gain >= floor
             if stay.sum() < 0.7 * len(stay):
                 alive = np.flatnonzero(stay) if alive is None else alive[stay]
                 part = part[stay]
         ids = c_ids if alive is None else c_ids[alive]
-        best = np.lexsort((ids, -part))[:k]
-        out += [(int(q_ids[own]), int(i), int(s)) for i, s in zip(ids[best], part[best], strict=True)]
+        best = sorted(zip((-part).tolist(), ids.tolist(), strict=True))[:k] if kind is object else [(-part[i], ids[i]) for i in np.lexsort((ids, -part))[:k]]
+        out += [(int(q_ids[own]), int(i), -int(s)) for s, i in best]
+    if any(abs(s) >= 2**63 for _, _, s in out):
+        raise ValueError("a score is no 64-bit integer")
     return out
 
 
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK, scale: int = SCALE) -> DataFrame:
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, block_bytes: int = BLOCK_BYTES, pilot: int = PILOT) -> DataFrame:
     """(query_id, rank, vec_id, score)."""
     ints = stored(integers(vectors, scale).withColumn("salt", F.monotonically_increasing_id()), "integer-vectors")
     query = F.col("vec_id") % every == 0
-    n, m = ints.agg(F.count("*"), F.coalesce(F.count_if(query), F.lit(0))).first()
-    c_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-m // block))
+    n, m, width = ints.agg(F.count("*"), F.coalesce(F.count_if(query), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    block = max(1, block_bytes // (8 * max(1, width)))
+    c_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-m // (2 * block)))
     dealt = lambda blocks, *by: F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")
-    every_q, every_c = F.sequence(F.lit(0), F.lit(q_blocks - 1)), F.sequence(F.lit(0), F.lit(c_blocks - 1))
-    c = ints.select("vec_id", "v", dealt(c_blocks, "vec_id", "v", "salt").alias("cb"), F.explode(every_q).alias("qb"))
-    q = ints.where(query).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", dealt(q_blocks, "vec_id").alias("qb"), F.explode(every_c).alias("cb"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = block_winners(left["vec_id"].to_numpy(), _matrix(left["v"]), right["vec_id"].to_numpy(), _matrix(right["v"]), k) if len(left) and len(right) else []
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(run, "query_id long, vec_id long, score long")
+    upto = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = stored(ints.where(query).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", dealt(q_blocks, "vec_id").alias("qb")), "queries")
+
+    def winners(q: DataFrame, c: DataFrame) -> DataFrame:
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            rows = block_winners(left["vec_id"].to_numpy(), _matrix(left["v"]), left["floor"].to_numpy(np.float64), right["vec_id"].to_numpy(), _matrix(right["v"]), k) if len(left) and len(right) else []
+            return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+        return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(run, "query_id long, vec_id long, score long")
+
+    chance = F.xxhash64("salt", F.lit(5)) < F.lit(int(min(1.0, pilot / max(n, 1)) * (2**64 - 2048)) - 2**63)
+    some = ints.where(chance).select("vec_id", "v", F.lit(0).alias("cb"), upto(q_blocks).alias("qb"))
+    first = winners(asked.withColumns({"floor": F.lit(float("-inf")), "cb": F.lit(0)}), some)
+    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+    # The floor as a double may not be above the score: it goes down by more than rounding can lift it.
+    floors = stored(floors.select(F.col("query_id").alias("vec_id"), (F.col("least") - F.abs("least") * 1e-15).alias("floor")), "floors")
+    asked = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    c = ints.select("vec_id", "v", dealt(c_blocks, "vec_id", "v", "salt").alias("cb"), upto(q_blocks).alias("qb"))
+    found = winners(asked.withColumn("cb", upto(c_blocks)), c)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

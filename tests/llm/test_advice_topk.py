@@ -12,12 +12,45 @@ def test_repeated_rows_of_a_query(spark):
     rows = [(k, [float(x) for x in rnd.normal(size=40)]) for k in range(120)]
     rows += [(50, [9 * x for x in rows[50][1]])] * 9 + [(7, rows[7][1])] * 3
     got = defaultdict(list)
-    for block in (4096, 16):
+    for block in (1 << 20, 4096):
         got.clear()
-        for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=block).orderBy("query_id", "rank", "vec_id").collect():
+        for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block_bytes=block, pilot=30).orderBy("query_id", "rank", "vec_id").collect():
             got[r["query_id"]].append((r["vec_id"], r["score"]))
         ints = [(k, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for k, v in rows]
         for q in (0, 50, 100):
             v = min(x for k, x in ints if k == q)
             want = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), c) for c, x in ints if c != q)[:5]
             assert got[q] == [(c, -s) for s, c in want]
+
+
+def _brute(rows, every=50, k=5):
+    ints = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows]
+    out = {}
+    for q in sorted({i for i, _ in ints if i % every == 0}):
+        v = min(x for i, x in ints if i == q)
+        out[q] = [(c, -s) for s, c in sorted((-sum(a * b for a, b in zip(v, x, strict=False)), c) for c, x in ints if c != q)[:k]]
+    return out
+
+
+def _got(df):
+    got = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return dict(got)
+
+
+def test_components_of_any_size(spark):
+    rnd = np.random.default_rng(9)
+    for size in (1e6, 2e6, 3e6):
+        rows = [(k, [float(x) for x in np.round(rnd.normal(size=20) * size)]) for k in range(150)]
+        assert _got(topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pilot=40)) == _brute(rows)
+    # Sums on the way beyond 64 bits; the scores are not.
+    rows = [(0, [2.0**40, 2.0**40, 1.0]), (1, [2.0**20, -(2.0**20), 3.0]), (2, [2.0**21, -(2.0**21), 7.0])]
+    assert _got(topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == _brute(rows)
+
+
+def test_floors_lose_nothing(spark):
+    rows = [(k, [float(k % 7), float(k % 3), 1.0]) for k in range(400)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, score string, rank int")
+    assert _got(topk_search.search(docs, pilot=60, block_bytes=1600)) == _brute(rows)
+    assert topk_search.search(docs.where("false")).count() == 0

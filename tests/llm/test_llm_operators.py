@@ -108,7 +108,7 @@ def test_topk(spark):
     rnd = np.random.default_rng(3)
     rows = [(k, [float(x) for x in rnd.normal(size=20)]) for k in range(300)] + [(400, None), (450, [float("nan")] * 20), (301, [0.5]), (302, [0.5])]
     got = defaultdict(list)
-    for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=64).orderBy("query_id", "rank").collect():
+    for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block_bytes=64 * 160, pilot=50).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     ints = {k: [int(np.floor(256 * float(np.float32(x)))) for x in v] for k, v in rows if v and not np.isnan(v).any()}
     for q in (k for k in ints if k % 50 == 0):

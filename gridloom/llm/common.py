@@ -62,7 +62,7 @@ def sample_of(rows: DataFrame, most: int, by: list[str], keep: list[str]) -> Dat
     n = rows.agg(F.approx_count_distinct(h, 0.02)).first()[0]
     if n > most:
         rows = rows.where(h < F.lit(int(most / n * 2**64) - 2**63))
-    return rows.groupBy(*by).agg(*(F.first(c).alias(c) for c in keep))
+    return rows.groupBy(*by).agg(*(F.first(c).alias(c) for c in keep)) if keep else rows.select(*by).distinct()
 
 
 def ascii_lower(c: Column) -> Column:

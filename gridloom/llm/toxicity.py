@@ -1,15 +1,18 @@
 """Operator 10, toxicity by cumulative-link ordinal regression.
 
 P(grade >= k) = sigmoid(w.x - t_k): one weight vector for all ordered thresholds t_1 < t_2. x are
-sparse presence features of a text's words: the words, and their first 4 to 6 letters, which catch unseen
-forms. Of all features of the labelled sample those most unevenly spread between toxic and other
+sparse features of a text's words: the words, and their first 4 to 7 letters, which catch unseen
+forms, each once more where it occurs twice, and three times: one such stem may be chance where several tell. A
+text's vector has length 1. Of all features of the labelled sample those most unevenly spread between toxic and other
 documents are kept (most_features, by a z-score, in at least min_docs documents). Grades come from
-the labels: 0 where toxic is 0; of toxic documents, 1 below their median share of toxic features
-and 2 from it on. The model is fitted by gradient steps on at most most_docs labelled documents,
-chosen by a hash of doc_id (a documented bound); scoring covers every whole text.
-
-Null text: no features. Null toxic labels don't count; several labels of a document: the highest.
-Without labels of both kinds nothing is learned and every severity is 0.
+the labels alone, never from the text: 0 where toxic is 0, 1 where it is set, 2 where the document is also labelled of
+low quality; labels with a column grade are taken as they are. A grade that no document has leaves its threshold out of
+reach. The model is fitted by gradient steps on about most_docs distinct labelled documents,
+chosen by all 64 bits of a hash (a documented bound); scoring covers every whole text.
+
+Null text: no features. Empty and very long texts: as any other. Null toxic labels don't count; several labels of a document: the
+highest grade. Repeated rows: each is scored, and one of them is learned from. Null doc_id: scored, not learned from.
+Without labels of both kinds nothing is learned and every severity is 0. Empty table: empty result. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,32 +24,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import factorized, pieces_of, read, stored
+from gridloom.llm.common import factorized, pieces_of, read, sample_of, stored
 
-MOST_DOCS, MOST_FEATURES, MIN_DOCS, MIN_Z, ROUNDS, DECAY = 12_000, 2000, 4, 4.0, 400, 2e-4
+MOST_DOCS, MOST_FEATURES, MIN_DOCS, MIN_Z, ROUNDS, DECAY, GRADES = 12_000, 2000, 4, 4.0, 400, 1e-4, 3
 _WORDS = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5, 6)
+STEMS, TIMES = (4, 5, 6, 7), 3
 
 
 def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in STEMS if len(word) >= k)]
 
 
-def documents_features(texts: list, allowed: dict | None = None) -> tuple[list[list[str]], list[int]]:
-    """(each text's distinct features, of those allowed; each text's number of words)."""
+def documents_features(texts: list, allowed: dict | None = None) -> list[list[str]]:
+    """Each text's distinct features, of those allowed; f2 and f3 stand for feature f twice and three times."""
     codes, unique, offsets = factorized([_WORDS.findall(x.lower()) if x else [] for x in texts])
-    of = [[f for f in features_of(w) if allowed is None or f in allowed] for w in unique]
+    plain = None if allowed is None else {f.rstrip("23") for f in allowed}
+    of = [[f for f in features_of(w) if plain is None or f in plain] for w in unique]
     some = np.array([bool(x) for x in of])
     out = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        own = codes[a:b]
-        own = np.unique(own[some[own]]) if b > a else ()
-        out.append(sorted({f for k in own for f in of[k]}))
-    return out, np.diff(offsets).tolist()
+        own, n = codes[a:b], {}
+        for k, times in zip(*(x.tolist() for x in np.unique(own[some[own]] if b > a else own, return_counts=True)), strict=True):
+            for f in of[k]:
+                n[f] = n.get(f, 0) + times
+        found = [f if k == 1 else f"{f}{k}" for f, times in n.items() for k in range(1, min(times, TIMES) + 1)]
+        out.append(sorted(f for f in found if allowed is None or f in allowed))
+    return out
 
 
 def fit_ordinal(x: list[np.ndarray], y: np.ndarray, width: int, grades: int, rounds: int = ROUNDS, decay: float = DECAY) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) of rows of feature indices. Adam on the likelihood of the cumulative-link model."""
+    """(weights, thresholds) of rows of feature indices, each scaled to length 1. Adam on the likelihood of the cumulative-link model."""
+    scale = np.repeat([len(r) ** -0.5 if len(r) else 0.0 for r in x], [len(r) for r in x])
     rows = np.repeat(np.arange(len(x)), [len(r) for r in x])
     cols = np.concatenate(x).astype(np.int64) if len(x) else np.zeros(0, np.int64)
     p = np.zeros(width + grades - 1)
@@ -57,14 +65,14 @@ def fit_ordinal(x: list[np.ndarray], y: np.ndarray, width: int, grades: int, rou
     for step in range(1, rounds + 1):
         gaps = np.log1p(np.exp(p[width + 1 :]))
         t = p[width] + np.concatenate(([0], np.cumsum(gaps)))
-        z = np.bincount(rows, p[cols], len(x))
+        z = np.bincount(rows, p[cols] * scale, len(x))
         up = np.column_stack([np.ones(len(x)), sig(z[:, None] - t), np.zeros(len(x))])
         here = np.maximum(up[np.arange(len(x)), y] - up[np.arange(len(x)), y + 1], 1e-9)
         slope = up * (1 - up)
         d_lo, d_hi = slope[np.arange(len(x)), y] / here, slope[np.arange(len(x)), y + 1] / here
         dz = (d_lo - d_hi) / len(x)
         g = np.zeros_like(p)
-        g[:width] = np.bincount(cols, dz[rows], width) - decay * p[:width]
+        g[:width] = np.bincount(cols, dz[rows] * scale, width) - decay * p[:width]
         dt = np.array([(-(d_lo * (y == k)) + d_hi * (y == k - 1)).sum() / len(x) for k in range(1, grades)])
         tail = dt[::-1].cumsum()[::-1]
         g[width] = tail[0]
@@ -74,26 +82,36 @@ def fit_ordinal(x: list[np.ndarray], y: np.ndarray, width: int, grades: int, rou
     return p[:width], p[width] + np.concatenate(([0], np.cumsum(np.log1p(np.exp(p[width + 1 :])))))
 
 
-def fit(documents: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_features: int = MOST_FEATURES) -> tuple[dict[str, float], np.ndarray]:
+def graded(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) of the labelled documents."""
+    if "grade" in labels.columns:
+        g = F.col("grade").cast("int")
+    else:
+        low = F.coalesce(F.col("quality") <= 0, F.lit(False)) if "quality" in labels.columns else F.lit(False)
+        g = F.when(F.col("toxic") > 0, F.when(low, 2).otherwise(1)).when(F.col("toxic") <= 0, 0)
+    return labels.select("doc_id", g.alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
+
+
+def fit(documents: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_features: int = MOST_FEATURES, grades: int = GRADES) -> tuple[dict[str, float], np.ndarray]:
     """(weight of each feature, thresholds)."""
-    own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = own.count()
-    share = min(1.0, most_docs / max(n, 1))
-    chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # About most_docs rows at most, whatever the input's size.
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    chosen = stored(sample_of(graded(labels), most_docs, ["doc_id"], ["grade"]), "toxic-labels")
+    # About most_docs rows, whatever the input's size; a doc_id may stand for many texts, so these are drawn once more.
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("tag")).join(F.broadcast(chosen), "doc_id")
+    sample = sample_of(texts, most_docs, ["doc_id", "tag"], ["text", "grade"]).select("text", "grade")
 
     def run(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in pieces_of([x or "" for x in texts]):
-                found, words = documents_features(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b].cast(pa.int32()), pa.array(found, pa.list_(pa.string())), pa.array(words, pa.int32())], ["toxic", "f", "words"])
+                found = documents_features(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], pa.array(found, pa.list_(pa.string()))], ["grade", "f"])
 
-    rows = stored(sample.mapInArrow(run, "toxic int, f array<string>, words int"), "toxic-sample")
+    rows = stored(sample.mapInArrow(run, "grade int, f array<string>").withColumn("toxic", (F.col("grade") > 0).cast("int")), "toxic-sample")
+    if rows.isEmpty() and not texts.isEmpty():
+        raise RuntimeError("no labelled document was drawn to learn from")
     ones, zeros = rows.agg(F.coalesce(F.count_if(F.col("toxic") > 0), F.lit(0)), F.count_if(F.col("toxic") <= 0)).first()
     if not ones or not zeros:
-        return {}, np.zeros(2)
+        return {}, np.zeros(grades - 1)
     by = rows.select(F.explode("f").alias("f"), (F.col("toxic") > 0).cast("int").alias("y")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
     # Signed root of the likelihood ratio of the feature's two counts.
     of = lambda n, k: F.when(n > 0, n * F.log(n / (F.col("n") * (k / (ones + zeros))))).otherwise(0.0)
@@ -101,12 +119,8 @@ def fit(documents: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, mos
     z = F.signum(lift.cast("double")) * F.sqrt(F.greatest(2 * (of(F.col("a"), ones) + of(F.col("n") - F.col("a"), zeros)), F.lit(0.0)))
     top = by.where(F.col("n") >= MIN_DOCS).select("f", z.alias("z")).where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "f").limit(most_features).collect()
     place = {r["f"]: k for k, r in enumerate(top)}
-    toxic = F.lit([r["f"] for r in top if r["z"] > 0]) if top else F.lit([]).cast("array<string>")
-    kept = rows.select("toxic", F.array_intersect("f", F.lit(list(place)) if place else F.lit([]).cast("array<string>")).alias("f"), (F.size(F.array_intersect("f", toxic)) / F.greatest("words", F.lit(1))).alias("share")).collect()
-    share = np.array([r["share"] for r in kept])
-    bad = np.array([r["toxic"] > 0 for r in kept])
-    y = np.where(bad, 1 + (share >= np.median(share[bad])), 0)
-    w, t = fit_ordinal([np.array([place[f] for f in r["f"]], np.int64) for r in kept], y, len(place), 3)
+    kept = rows.select("grade", F.array_intersect("f", F.lit(list(place)) if place else F.lit([]).cast("array<string>")).alias("f")).collect()
+    w, t = fit_ordinal([np.array([place[f] for f in r["f"]], np.int64) for r in kept], np.array([min(r["grade"], grades - 1) for r in kept]), len(place), grades)
     return {f: float(w[k]) for f, k in place.items()}, t
 
 
@@ -119,9 +133,9 @@ def predict(documents: DataFrame, model: tuple[dict[str, float], np.ndarray], ke
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in pieces_of([x or "" for x in texts]):
-                found, _ = documents_features(texts[a:b], weights)
-                z = np.array([sum(weights[f] for f in fs) for fs in found])
-                up = 1 / (1 + np.exp(-np.clip(z[:, None] - t, -500, 500))) if weights else np.zeros((len(z), 2))
+                found = documents_features(texts[a:b], weights)
+                z = np.array([sum(weights[f] for f in fs) * max(len(fs), 1) ** -0.5 for fs in found])
+                up = 1 / (1 + np.exp(-np.clip(z[:, None] - t, -500, 500))) if weights else np.zeros((len(z), len(t)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array((up >= 0.5).sum(1), pa.int32()), pa.array(np.round(up.sum(1), 9)), pa.array(np.round(up[:, 0], 9)), pa.array(up[:, 0] >= 0.5)], [key, "grade", "severity", "p_toxic", "toxic"])
 
     d = documents.select(f"`{key}`", "text")

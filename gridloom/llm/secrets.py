@@ -6,16 +6,19 @@ a word like password, token, secret or key in it, or that follow "bearer"; and t
 private keys. Candidates of several kinds at one place are one.
 Its features are its length, character classes and the transitions between them, entropy,
 dictionary coverage (letters that lie in words of a public vocabulary), path signs, and the words
-beside it. The forest is trained on labelled findings (candidate's doc_id, start, label), at most
-most_rows of them by a hash (a documented bound), and scores every candidate of every whole text.
-
-The given tables label no secrets, so the query labels findings by formats that are certain either
-way: issued key formats and assigned passwords or tokens are secrets; payment numbers, UUIDs, runs
-of one class and dictionary words are not. The forest doesn't see those formats, and candidates
-without a label are scored by what it learned.
-
-Null or empty text: no candidates. Ties and repeated rows: each finding is a row. If only one label
-occurs nothing can be learned: probabilities are that label's.
+beside it. The forest is trained on labelled findings (candidate's doc_id, start, label), about half of
+most_rows distinct ones of either label, drawn by all 64 bits of a hash (a documented bound), and scores every candidate of every whole text.
+
+The given tables label no secrets, so the query labels findings by rules: values with a digit that are assigned to a
+password, token, secret or key, and issued key formats, are secrets; payment numbers, UUIDs, runs of one
+character and digit-free words amid prose are not. What the rules look at beside a value is hidden from the features: the
+name it is assigned to, the sign and the quotes are cut away before the neighbouring words are taken, so the
+forest has to tell a secret by its own characters, by paths and by words farther off. Candidates
+without a label are scored by what it learned. Issued formats are reported whatever the forest says (column issued).
+
+Null or empty text: no candidates. Very long texts are scanned whole. Ties and repeated rows: each finding is a row. Null doc_id:
+as any other. If only one label occurs nothing can be learned: probabilities are that label's. Empty table: empty
+result. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pieces_of, read, stored
+from gridloom.llm.common import pieces_of, read, sample_of, stored
 
 MODEL, MOST_ROWS, TREES, DEPTH, SEED = "/opt/tokenizers/piece_bpe_32k.model", 4000, 24, 8, 11
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.\-]{16,}")
@@ -41,11 +44,14 @@ _DIGIT, _LETTERS = re.compile("[0-9]"), re.compile("[A-Za-z]{4,}")
 NEIGHBOURS = ("password", "passwd", "secret", "token", "key", "api", "auth", "bearer", "sha", "id", "version", "commit")
 NAMES = (
     "length", "entropy", "digits", "upper", "lower", "other", "digit_to_letter", "letter_to_digit", "case_changes", "same_class", "distinct",
-    "coverage", "slashes", "dots", "after_path", "assigned", "quoted", "hex", *(f"near_{w}" for w in NEIGHBOURS),
+    "coverage", "slashes", "dots", "after_path", "hex", *(f"near_{w}" for w in NEIGHBOURS),
 )
 #: Formats of the weak labels: certain secrets, and certain others.
 SECRET = (re.compile(r"AKIA[0-9A-Z]{16}$"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36}$"), re.compile(r"sk_live_[A-Za-z0-9]{24,}$"), _PEM)
 OTHER = (re.compile(r"[0-9.\-]+$"), re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), re.compile(r"(.)\1+$"))
+_PROSE = re.compile(r"[^\W\d_]{2,}[,.;:!?]? $")
+#: A name with its sign and quotes, or "bearer", at the end of what stands before a value.
+_OWN_NAME = re.compile(r"(?i)(?:[\"']?[a-z0-9_.\-]*[\"']?[ \t]*(?:=>|[=:])[ \t]*|bearer[ \t]+)[\"']?$")
 _ASSIGNED = re.compile(r"(?i)(password|token|secret|api_?key)[\"']?\s*[=:]\s*[\"']?$")
 
 
@@ -65,6 +71,12 @@ def _entropy(s: str) -> float:
     return -sum(k / len(s) * math.log2(k / len(s)) for k in Counter(s).values())
 
 
+def beside(text: str, start: int, end: int) -> tuple[str, str]:
+    """What stands before and after a candidate, lower-cased, without the name it is assigned to."""
+    before = text[max(0, start - 112) : start]
+    return _OWN_NAME.sub("", before)[-48:].lower(), text[end : end + 24].lstrip("\"'").lower()
+
+
 def described(text: str, start: int, end: int, words: frozenset[str]) -> list[float]:
     s = text[start:end]
     kinds = [_class(c) for c in s]
@@ -78,12 +90,12 @@ def described(text: str, start: int, end: int, words: frozenset[str]) -> list[fl
             hit = next((k for k in range(min(len(w), at + 16), at + 3, -1) if w[at:k] in words), 0)
             covered += hit - at if hit else 0
             at = hit or at + 1
-    before, after = text[max(0, start - 48) : start].lower(), text[end : end + 24].lower()
+    before, after = beside(text, start, end)
     return [
         n, entropy, of["d"] / n, of["u"] / n, of["l"] / n, of["o"] / n,
         sum(v for (a, b), v in steps.items() if a == "d" and b in "ul") / n, sum(v for (a, b), v in steps.items() if a in "ul" and b == "d") / n,
         (steps["u", "l"] + steps["l", "u"]) / n, sum(v for (a, b), v in steps.items() if a == b) / n, len(set(s)) / n,
-        covered / n, s.count("/"), s.count("."), float(before[-1:] in ("/", "\\") or "://" in before[-24:]), float(before.rstrip("\"' ")[-1:] in ("=", ":")), float(before[-1:] in ("'", '"')),
+        covered / n, s.count("/"), s.count("."), float(before[-1:] in ("/", "\\") or "://" in before[-24:]), 
         float(all(c in "0123456789abcdef" for c in s)), *(float(w in before or w in after) for w in NEIGHBOURS),
     ]
 
@@ -94,7 +106,9 @@ def weak_label(text: str, start: int, end: int) -> int | None:
         return 1
     if _ASSIGNED.search(text[max(0, start - 24) : start]):
         return 1 if _DIGIT.search(s) else None  # a word after the name may be prose: the forest tells
-    return 0 if any(p.match(s) for p in OTHER) else None
+    if any(p.match(s) for p in OTHER):
+        return 0
+    return 0 if not _DIGIT.search(s) and _PROSE.search(text[max(0, start - 24) : start]) else None
 
 
 def split(text: str, start: int, end: int) -> tuple[int, int]:
@@ -144,7 +158,7 @@ def places(text: str) -> list[tuple[int, int]]:
 
 
 def candidates(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, start, end, weak, features...) of all candidates."""
+    """(doc_id, start, end, weak, issued, features...) of all candidates."""
     shared = documents.sparkSession.sparkContext.broadcast(dictionary(model))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -156,43 +170,44 @@ def candidates(documents: DataFrame, model: str = MODEL) -> DataFrame:
                 for k in range(a, b):
                     text = texts[k]
                     for s, e in places(text) if text else ():
-                        rows.append((k, s, e, weak_label(text, s, e), described(text, s, e, shared.value)))
+                        rows.append((k, s, e, weak_label(text, s, e), described(text, s, e, shared.value), any(p.match(text[s:e]) for p in SECRET)))
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()), *(pa.array([float(r[4][i]) for r in rows], pa.float64()) for i in range(len(NAMES)))],
-                    ["doc_id", "start", "end", "weak", *NAMES],
+                    [ids, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[5] for r in rows], pa.bool_()), *(pa.array([float(r[4][i]) for r in rows], pa.float64()) for i in range(len(NAMES)))],
+                    ["doc_id", "start", "end", "weak", "issued", *NAMES],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, end long, weak int, " + ", ".join(f"`{x}` double" for x in NAMES))
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, end long, weak int, issued boolean, " + ", ".join(f"`{x}` double" for x in NAMES))
 
 
-def scored(found: DataFrame, label: str = "weak", most_rows: int = MOST_ROWS) -> DataFrame:
-    """found with p_secret: the forest's, trained on found's labelled rows."""
+def scored(found: DataFrame, label: str = "weak", most_rows: int = MOST_ROWS, learn: Column | None = None) -> DataFrame:
+    """found with p_secret: the forest's, trained on found's labelled rows, or on those of them where `learn` holds."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    n = {r[label]: r["count"] for r in found.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    known = found.where(F.col(label).isNotNull()) if learn is None else found.where(F.col(label).isNotNull() & learn)
+    half = [sample_of(known.where(F.col(label) == y), most_rows // 2, ["doc_id", "start", *NAMES], []).select(*NAMES, F.lit(float(y)).alias("_y")) for y in (0, 1)]
+    train = stored(half[0].union(half[1]).coalesce(2).sortWithinPartitions(*NAMES, "_y"), "secret-sample")
+    n = {r["_y"]: r["count"] for r in train.groupBy("_y").count().collect()}
+    if not n and not known.isEmpty():
+        raise RuntimeError("no labelled finding was drawn to learn from")
     if len(n) < 2:
-        return found.withColumn("p_secret", F.lit(float(next(iter(n), 0))))
+        return found.withColumn("p_secret", F.lit(float(next(iter(n), 0.0))))
     vectors = VectorAssembler(inputCols=list(NAMES), outputCol="_v").transform(found)
-    keep = F.lit(False)
-    for value, size in n.items():
-        keep = keep | ((F.col(label) == value) & (F.pmod(F.xxhash64("doc_id", "start"), F.lit(1_000_000)) < int(min(1.0, most_rows / 2 / size) * 1_000_000)))
-    train = stored(vectors.where(keep).select(*NAMES, F.col(label).cast("double").alias("_y")).coalesce(2).sortWithinPartitions(*NAMES), "secret-sample")
     train = VectorAssembler(inputCols=list(NAMES), outputCol="_v").transform(train)
     forest = RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="_p", predictionCol="_g", rawPredictionCol="_r").fit(train)
     return forest.transform(vectors).withColumn("p_secret", F.round(vector_to_array("_p")[1], 6)).drop("_v", "_p", "_g", "_r")
 
 
 def findings(documents: DataFrame, labelled: DataFrame | None = None, model: str = MODEL) -> DataFrame:
-    """(doc_id, start, end, p_secret, is_secret) of all candidates; labelled: (doc_id, start, label), else weak labels serve."""
+    """(doc_id, start, end, length, entropy, coverage, p_secret, issued, is_secret) of all candidates; labelled: (doc_id, start, label), else weak labels serve."""
     found = stored(candidates(documents, model), "secret-candidates")
     if labelled is not None:
         known = labelled.groupBy("doc_id", "start").agg(F.max("label").cast("int").alias("known"))
         found = found.join(known, ["doc_id", "start"], "left").withColumn("weak", F.col("known")).drop("known")
     out = scored(found)
-    return out.select("doc_id", "start", "end", "length", "entropy", "coverage", "p_secret", (F.col("p_secret") >= 0.5).alias("is_secret"))
+    return out.select("doc_id", "start", "end", "length", "entropy", "coverage", "p_secret", "issued", (F.col("issued") | (F.col("p_secret") >= 0.5)).alias("is_secret"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

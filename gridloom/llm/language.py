@@ -4,17 +4,20 @@ A language is a distribution over the pieces of a fixed public vocabulary. A wor
 the sum over all ways to cut it into pieces, by a forward pass over the trie; a text's score is the
 sum of its words' logs, and a prediction the softmax over languages. The piece probabilities are
 learned by expectation maximisation from the words of labelled documents outside the held-out fold:
-at most `most_docs` of them, chosen by a hash of doc_id (a documented bound; a classifier may be
-fitted on a sample). Counts are gathered by Spark and a row a piece and language comes back, which
+about `most_docs` distinct ones, in equal parts for the languages, chosen by all 64 bits of a hash of
+doc_id and text (a documented bound; a classifier may be fitted on a sample). An empty draw is an
+error, never silence. Counts are gathered by Spark and a row a piece and language comes back, which
 the vocabulary bounds.
 
 Words are runs of letters, lower-cased. A character without a piece costs OTHER in every language.
-Words of over 96 bytes are scored in parts of that length. Null text or no letter: und, score 0.
-A language that is null is not learned. No labelled document at all: every prediction is und.
+Scoring never cuts a word; fitting takes words of over LONG bytes in parts of that length. A text's score depends on no other
+row. Null text or no letter: und, score 0. Repeated rows: equal predictions. A language that is null is not learned. No labelled
+document at all: every prediction is und. Columns lang_pred and score of the input give way to the predicted ones.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -24,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import factorized, pieces_of, read, sums_by_document
-from gridloom.llm.pieces import MARK, MODEL, Vocabulary, by_length
+from gridloom.llm.pieces import LONG, MARK, MODEL, Vocabulary, by_length, edges_along, widths
 
-OTHER, LONG, FOLDS, MOST_DOCS, ROUNDS = 1e-7, 96, 5, 6000, 2
+OTHER, FOLDS, MOST_DOCS, ROUNDS = 1e-7, 5, 6000, 2
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Keeps products of up to LONG bytes in the range of a double: about a byte's usual inverse probability.
 SCALE = 8.0
@@ -48,7 +51,7 @@ def parts_of(word: str) -> list[bytes]:
 def _edges(text: np.ndarray, v: Vocabulary) -> list[tuple]:
     """All (i, j, rows, piece) of words of one length, pieces of -1 for each single character."""
     starts = (text & 0xC0) != 0x80
-    width = np.select([text < 0x80, text < 0xE0, text < 0xF0], [1, 2, 3], 4)
+    width = widths(text)
     found: dict[int, list] = {i: [] for i in range(text.shape[1])}
     for i, j, rows, ids in v.trie.matches(text, starts):
         found[i].append((i, j, rows, ids))
@@ -70,7 +73,12 @@ def _forward(edges: list[tuple], n: int, length: int, p: np.ndarray) -> np.ndarr
 def word_logs(words: list[bytes], v: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Log probability of each word (a row) in each language (a column)."""
     out = np.zeros((len(words), p.shape[1]))
-    for places, text in by_length(words):
+    long = [k for k, w in enumerate(words) if len(w) > LONG]
+    for k in long:
+        out[k] = _log_along(words[k], v, p)
+    short = np.array([k for k, w in enumerate(words) if len(w) <= LONG], np.int64)
+    for places, text in by_length([words[k] for k in short] if long else words):
+        places = short[places]
         step = max(1, 2_000_000 // ((text.shape[1] + 1) * p.shape[1]))
         for a in range(0, len(text), step):
             part = text[a : a + step]
@@ -79,6 +87,26 @@ def word_logs(words: list[bytes], v: Vocabulary, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def _log_along(word: bytes, v: Vocabulary, p: np.ndarray) -> list[float]:
+    """The forward pass of one long word, in logs: no product of its length leaves a double's range."""
+    exp, log1p, sums = math.exp, math.log1p, []
+    logs = np.log(p)
+    for k in range(p.shape[1]):
+        alpha, low = [0.0], 0
+        for i, j, ids in edges_along(word, v, every_character=True):
+            if not len(i):
+                continue
+            alpha += [-math.inf] * (int(j.max()) + 1 - low - len(alpha))
+            cost = np.where(ids < 0, math.log(OTHER), logs[ids, k])
+            for a, b, c in zip((i - low).tolist(), (j - low).tolist(), cost.tolist(), strict=True):
+                x, y = alpha[a] + c, alpha[b]
+                alpha[b] = x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)) if y > -math.inf else x
+            done = min(int(i[-1]) + 1, low + len(alpha) - 1) - low
+            alpha, low = alpha[done:], low + done
+        sums.append(alpha[-1])
+    return sums
+
+
 def piece_counts(words: list[bytes], n: np.ndarray, v: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Expected count of each piece, words weighted by n; p: one language's probabilities."""
     out = np.zeros(len(p))
@@ -108,16 +136,16 @@ def fit(documents: DataFrame, model: str = MODEL, most_docs: int = MOST_DOCS, ro
     """(languages, piece probabilities with a column a language)."""
     spark = documents.sparkSession
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id"), folds), F.lit(True)))
-    total = known.groupBy("lang").count().collect()  # a row a language
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("tag"))
+    total = known.groupBy("lang").agg(F.approx_count_distinct("tag", 0.02).alias("n")).collect()  # a row a language
     langs = sorted(r["lang"] for r in total)
     v = Vocabulary(model)
     if not langs:
         return [], np.zeros((len(v.scores), 0))
-    keep = F.lit(False)
-    for r in total:
-        share = min(1.0, most_docs / len(langs) / r["count"])
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    sample = known.where(keep).select("lang", "text")
+    # A language's share of the 64-bit hashes, which none of its documents' number makes vanish.
+    upto = [(r["lang"], (1 << 63) - 1 if r["n"] <= most_docs / len(langs) else int(most_docs / len(langs) / r["n"] * 2**64) - (1 << 63)) for r in total]
+    shares = F.broadcast(spark.createDataFrame(upto, "lang string, upto long"))
+    sample = known.join(shares, "lang").where(F.col("tag") <= F.col("upto")).groupBy("lang", "tag").agg(F.first("text").alias("text")).select("lang", "text")
 
     def counted(batches):
         for batch in batches:
@@ -130,6 +158,8 @@ def fit(documents: DataFrame, model: str = MODEL, most_docs: int = MOST_DOCS, ro
 
     # Everything below works on the words of the bounded sample.
     words = sample.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    if sample.isEmpty():
+        raise RuntimeError("no labelled document was drawn to learn from")
     p = np.full((len(v.scores), len(langs)), 1.0 / len(v.scores))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((v, p, langs))
@@ -158,10 +188,7 @@ def fit(documents: DataFrame, model: str = MODEL, most_docs: int = MOST_DOCS, ro
 def predicted(texts: list, v: Vocabulary, langs: list[str], p: np.ndarray) -> tuple[list[str], np.ndarray]:
     codes, unique, offsets = factorized([_WORDS.findall(x.lower()) if x else [] for x in texts])
     letters = np.array([any(map(str.isalpha, w)) for w in unique], float)
-    parts = [parts_of(w) for w in unique]
-    flat = word_logs([x for w in parts for x in w], v, p)
-    cuts = np.concatenate(([0], np.cumsum([len(w) for w in parts]))).astype(np.int64)
-    logs = sums_by_document(flat, cuts) * letters[:, None]
+    logs = word_logs([(MARK + w).encode() for w in unique], v, p) * letters[:, None]
     has = sums_by_document(letters[codes], offsets)
     total = sums_by_document(logs[codes], offsets)
     best = total.argmax(1)
@@ -174,6 +201,7 @@ def predicted(texts: list, v: Vocabulary, langs: list[str], p: np.ndarray) -> tu
 def predict(documents: DataFrame, fitted: tuple[list[str], np.ndarray], model: str = MODEL) -> DataFrame:
     """documents with lang_pred and score, from the text alone."""
     langs, p = fitted
+    documents = documents.drop("lang_pred", "score")
     names = documents.columns
     if not langs:
         return documents.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})

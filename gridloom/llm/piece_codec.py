@@ -7,7 +7,9 @@ white-space marker; pieces hold markers at their start only (checked), so words
 runs of spaces and each distinct word of a batch is solved once, words of one length together.
 Decoding gathers the pieces' bytes, turns markers into spaces and drops the leading one.
 
-Null text: null ids. Empty text: no ids. Very long texts and words are solved whole. The marker
+Null text: null ids. Empty text: no ids. Repeated rows: each has its ids. Very long texts and words are solved whole: a word of over
+LONG bytes, as texts without spaces are, goes by itself through one walk of the trie from all its
+places at once and one pass along its edges. The marker
 U+2581 itself in a text decodes as a space, as in the format. Other columns stay out of Python.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.llm.common import factorized, pieces_of, read, spread
-from gridloom.llm.pieces import MARK, MODEL, Vocabulary, by_length
+from gridloom.llm.pieces import LONG, MARK, MODEL, Vocabulary, by_length, edges_along
 
 _CHUNK = re.compile(" +[^ ]*")
 
@@ -39,7 +41,14 @@ def chunks_of(text: str) -> list[str]:
 def best_cuts(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, start of each word's ids, their number) of words, which are UTF-8 with markers."""
     parts, where, starts, counts = [], 0, np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    for places, text in by_length(words):
+    long = [k for k, w in enumerate(words) if len(w) > LONG]
+    for k in long:
+        ids = _solve_long(words[k], v)
+        starts[k], counts[k], where = where, len(ids), where + len(ids)
+        parts.append(ids)
+    short = np.array([k for k, w in enumerate(words) if len(w) <= LONG], np.int64)
+    for places, text in by_length([words[k] for k in short] if long else words):
+        places = short[places]
         n, length = text.shape
         step = max(1, 4_000_000 // (length + 1))
         for a in range(0, n, step):
@@ -105,6 +114,35 @@ def _solve(text: np.ndarray, v: Vocabulary) -> tuple[None, np.ndarray, np.ndarra
     return None, out.T[mask.T], mask.sum(0)
 
 
+def _solve_long(word: bytes, v: Vocabulary) -> np.ndarray:
+    """Ids of one word, by the same sums and ties as _solve()."""
+    n = len(word)
+    best, step, piece = [0.0], np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
+    low = 0  # the places before it are done
+    for i, j, ids in edges_along(word, v, every_character=False):
+        if not len(i):
+            continue
+        high = int(j.max()) + 1
+        best += [-np.inf] * (high - low - len(best))
+        came, by = [0] * len(best), [-1] * len(best)
+        own = piece[low:high], step[low:high]
+        came[: len(own[0])], by[: len(own[0])] = own[1].tolist(), own[0].tolist()
+        score = np.where(ids < 0, v.unknown, v.scores[ids])
+        for a, b, p, s in zip((i - low).tolist(), (j - low).tolist(), ids.tolist(), score.tolist(), strict=True):
+            total = best[a] + s
+            if total > best[b]:
+                best[b], came[b], by[b] = total, b - a, p
+        step[low:high], piece[low:high] = came, by
+        done = min(int(i[-1]) + 1, high - 1) - low
+        best, low = best[done:], low + done
+    out, end, raw = [], n, v.byte_ids
+    while end:
+        size, p = int(step[end]), int(piece[end])
+        out += [p] if p >= 0 else [int(raw[b]) for b in reversed(word[end - size : end])]
+        end -= size
+    return np.array(out[::-1], np.int32)
+
+
 def encoded_batch(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, number of each text's)."""
     codes, unique, offsets = factorized([chunks_of(x) for x in texts])

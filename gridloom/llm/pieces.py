@@ -74,6 +74,24 @@ class Trie:
                     yield i, j + 1, rows[hit], found[hit]
 
 
+    def matches_along(self, text: np.ndarray, starts: np.ndarray, window: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """text: one long string. (i, j, pieces) of all pieces that are text[i:j], by i and then j, a window of places i at a time; all of its places are walked at once."""
+        for low in range(0, len(text), window):
+            at = low + np.flatnonzero(starts[low : low + window])
+            state, depth, found = np.zeros(len(at), np.int32), 0, []
+            while len(at):
+                inside = at + depth < len(text)
+                at, state = at[inside], state[inside]
+                to = self.base[state] + text[at + depth]
+                ok = (self.check[to] == state) & (to > 0)
+                at, state, depth = at[ok], to[ok], depth + 1
+                hit = self.value[state] >= 0
+                found.append((at[hit], at[hit] + depth, self.value[state[hit]]))
+            i, j, ids = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+            order = np.lexsort((j, i))
+            yield i[order], j[order], ids[order]
+
+
 class Vocabulary:
     """Pieces, log scores and byte pieces of a public SentencePiece model; the file stays where it is."""
 
@@ -101,6 +119,32 @@ class Vocabulary:
         self.unknown = float(own[own > -1e8].min()) - 10.0
 
 
+#: Words of more bytes are solved one by one along their length, shorter ones with all others of their length.
+LONG = 96
+
+
+def widths(text: np.ndarray) -> np.ndarray:
+    """Bytes of the UTF-8 character that starts at each place."""
+    return np.select([text < 0x80, text < 0xE0, text < 0xF0], [1, 2, 3], 4)
+
+
+def edges_along(word: bytes, v: Vocabulary, every_character: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, piece) of a long word's pieces, with -1 for characters: for all, or for those that are no piece themselves. Unknown ones come last of a place."""
+    text = np.frombuffer(word, np.uint8)
+    starts, width = (text & 0xC0) != 0x80, widths(text)
+    low, window = 0, 1 << 17
+    for i, j, ids in v.trie.matches_along(text, starts, window):
+        c = low + np.flatnonzero(starts[low : low + window])
+        if not every_character:
+            alone = np.zeros(window, bool)
+            alone[i[j - i == width[i]] - low] = True
+            c = c[~alone[c - low]]
+        i, j, ids = (np.concatenate(x) for x in ((i, c), (j, np.minimum(c + width[c], len(text))), (ids, np.full(len(c), -1))))
+        order = np.argsort(i, kind="stable")
+        yield i[order], j[order], ids[order]
+        low += window
+
+
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places in words, matrix of bytes) for each length that occurs."""
     if not len(words):

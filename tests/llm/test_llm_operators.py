@@ -1,4 +1,4 @@
-"""The numbered operators against brute force, on odd rows: nulls, empty and long texts, ties, repeats, clashing columns."""
+"""The numbered operators against brute force, on odd rows: nulls, empty and long texts, ties, clashing columns; repeats are here and in the files beside."""
 
 import hashlib
 import re
@@ -177,3 +177,135 @@ def test_secrets(docs):
     rows = secrets.findings(docs).collect()
     assert {(r["doc_id"], TEXTS[r["doc_id"] - 1][1][r["start"] : r["end"]]): r["is_secret"] for r in rows}[12, "ab12cd34ef56ab78cd90"] is True
     assert secrets.findings(empty(docs)).count() == 0
+
+
+def test_ordinal_fit_is_the_likelihoods_maximum():
+    rnd = np.random.default_rng(2)
+    x = [np.unique(rnd.integers(0, 6, rnd.integers(0, 5))) for _ in range(200)]
+    y = np.array([min(2, int((r < 2).sum()) if rnd.random() < 0.8 else int(rnd.integers(0, 3))) for r in x])
+    w, t = toxicity.fit_ordinal(x, y, 6, 3, rounds=3000)
+
+    def value(w, t):
+        total = 0.0
+        for r, k in zip(x, y, strict=True):
+            z = sum(w[f] for f in r) / np.sqrt(max(len(r), 1))
+            up = [1.0, *(1 / (1 + np.exp(t - z))), 0.0]
+            total += np.log(up[k] - up[k + 1])
+        return total / len(x) - toxicity.DECAY / 2 * (w**2).sum()
+
+    at = value(w, t)
+    for k in range(6):
+        for step in (-0.05, 0.05):
+            assert value(w + step * (np.arange(6) == k), t) < at
+    assert all(value(w, t + np.array(d)) < at for d in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)))
+
+
+def test_severity_is_the_expected_grade(spark):
+    model = ({"ab": 2.0, "abcd*": 1.0, "abcd*2": -0.5}, np.array([0.3, 1.1]))
+    rows = [(1, "ab x"), (2, "abcde abcdf"), (3, "AB abcde, abcde"), (4, ""), (5, None), (5, None), (None, "ab")]
+    got = toxicity.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    zs = {1: 2.0, 2: 0.5 / 2**0.5, 3: 2.5 / 3**0.5, 4: 0.0, 5: 0.0, None: 2.0}
+    assert len(got) == 7
+    for r in got:
+        p = 1 / (1 + np.exp(model[1] - zs[r["doc_id"]]))
+        assert abs(r["severity"] - p.sum()) < 1e-8 and abs(r["p_toxic"] - p[0]) < 1e-8 and r["grade"] == (p >= 0.5).sum()
+    assert toxicity.predict(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_samples_keep_their_size_at_any_share(spark):
+    from gridloom.llm.common import sample_of
+
+    rows = spark.range(3_000_000).selectExpr("if(id % 3 = 0, 7L, id) AS k", "id % 5 AS v")
+    assert 20 < sample_of(rows, 60, ["k"], ["v"]).count() < 120
+    # One drawn of a million: the hash is met in all its bits.
+    assert sum(sample_of(spark.range(2_000_000).selectExpr(f"id * 7 + {s} AS k"), 1, ["k"], []).count() for s in range(6)) > 0
+    assert sample_of(rows.where("k < 0"), 60, ["k"], ["v"]).count() == 0
+
+
+def test_secret_features_against_plain_counts():
+    words = frozenset({"hello", "world"})
+    text = "see version src/ab12CDhello-world99 then sha"
+    s, e = text.index("ab12"), text.index(" then")
+    got = dict(zip(secrets.NAMES, secrets.described(text, s, e, words), strict=True))
+    v = text[s:e]
+    kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in v]
+    pairs = list(zip(kind, kind[1:], strict=False))
+    want = {
+        "length": len(v), "digits": kind.count("d") / len(v), "upper": kind.count("u") / len(v), "lower": kind.count("l") / len(v), "other": kind.count("o") / len(v), "distinct": len(set(v)) / len(v),
+        "digit_to_letter": sum(p in (("d", "u"), ("d", "l")) for p in pairs) / len(v), "letter_to_digit": sum(p in (("u", "d"), ("l", "d")) for p in pairs) / len(v),
+        "case_changes": sum(p in (("u", "l"), ("l", "u")) for p in pairs) / len(v), "same_class": sum(a == b for a, b in pairs) / len(v), "coverage": 10 / len(v), "after_path": 1.0, "slashes": 0, "dots": 0, "hex": 0.0,
+        "near_version": 1.0, "near_sha": 1.0, "near_token": 0.0, "entropy": -sum(v.count(c) / len(v) * np.log2(v.count(c) / len(v)) for c in set(v)),
+    }
+    assert {k: round(got[k], 9) for k in want} == {k: round(float(x), 9) for k, x in want.items()}
+    # The name that labels a value isn't among the words beside it.
+    for t in ('then token = "ab12cd34"', "api_key: ab12cd34", "Authorization: Bearer ab12cd34", '"secret": "ab12cd34"'):
+        before, _ = secrets.beside(t, t.index("ab12"), len(t))
+        assert not any(w in before for w in ("token", "key", "bearer", "secret")), before
+
+
+def test_secrets_held_out(spark):
+    rnd = np.random.default_rng(4)
+    made = lambda n, of: "".join(rnd.choice(list(of), n))
+    rows = [(k, f'plain words here then token = "{made(40, "0123456789abcdef")}" and so on') if k % 2 else (k, f"some paid with {made(16, '0123456789')} or onthestreetsofthecity{made(4, 'aeiou')} there") for k in range(240)]
+    found = secrets.stored(secrets.candidates(spark.createDataFrame([*rows, rows[1], (None, rows[3][1])], "doc_id long, text string")), "t")
+    out = secrets.scored(found, learn=secrets.F.col("doc_id") < 160).where("doc_id >= 160 and weak is not null").collect()
+    hit = [(r["weak"], r["p_secret"] >= 0.5) for r in out]
+    assert len(hit) > 60 and hit.count((1, True)) >= 0.9 * sum(w for w, _ in hit) and hit.count((0, True)) <= 0.1 * len(hit)
+
+
+def test_long_words_as_short_ones(monkeypatch):
+    v = pieces.Vocabulary()
+    rnd = np.random.default_rng(1)
+    ws = ["".join(rnd.choice(list("etaoinshrdlu"), n)) for n in (3, 60, 95, 240)] + ["漢字中文日本" * 9, "é☃a" * 20]
+    raw = [(pieces.MARK + w).encode() for w in ws]
+    p = rnd.random((len(v.scores), 2)) / len(v.scores)
+
+    def ids():
+        flat, start, n = piece_codec.best_cuts(raw, v)
+        return [flat[a : a + k].tolist() for a, k in zip(start, n, strict=True)]
+
+    monkeypatch.setattr(piece_codec, "LONG", 0)
+    monkeypatch.setattr(language, "LONG", 0)
+    one, log_one = ids(), language.word_logs(raw[:3], v, p)
+    monkeypatch.setattr(piece_codec, "LONG", 10**6)
+    monkeypatch.setattr(language, "LONG", 10**6)
+    assert one == ids() and np.allclose(log_one, language.word_logs(raw[:3], v, p), rtol=1e-12)
+
+
+def test_texts_without_spaces_take_seconds():
+    import time
+
+    v, start = pieces.Vocabulary(), time.time()
+    for text in ("漢字中文日本語の国人" * 30_000, "qwertzuiopasdfghjklyx" * 45_000):
+        flat, per = piece_codec.encoded_batch([text], v)
+        assert piece_codec.decoded_batch(flat, per, piece_codec.piece_bytes(v)) == [text]
+    assert time.time() - start < 40
+
+
+def test_scores_depend_on_their_own_text_only():
+    v = pieces.Vocabulary()
+    p = np.random.default_rng(3).random((len(v.scores), 3))
+    p /= p.sum(0)
+    text = "the cat and the dog went over der the hills"
+    alone = language.predicted([text], v, ["a", "b", "c"], p)
+    other = language.predicted(["x" * 5000 + " lorem ipsum dolor", None, text, ""], v, ["a", "b", "c"], p)
+    assert (other[0][2], other[1][2]) == (alone[0][0], alone[1][0]) and other[0][1] == other[0][3] == "und"
+
+
+@pytest.mark.parametrize("name", ["encode", "predict_language", "spans", "gif"])
+def test_empty_tables_and_clashing_columns(spark, docs, name):
+    none, odd = docs.where("false"), docs.withColumnsRenamed({"tag": "score", "n": "lang_pred"})
+    if name == "encode":
+        assert piece_codec.decode(piece_codec.encode(none)).count() == 0
+    elif name == "predict_language":
+        model = language.fit(docs)
+        assert language.predict(none, model).count() == 0 and language.predict(none, language.fit(none)).count() == 0
+        got = language.predict(odd, model)
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score"] and dict(got.dtypes)["score"] == "double" and got.count() == len(TEXTS)
+    elif name == "spans":
+        assert pii.spans(none).count() == 0
+        twice = pii.spans(docs.union(docs).select("text", "doc_id", *odd.columns[2:3])).where("doc_id = 12").collect()
+        assert len(twice) == 2 and twice[0]["base"] == twice[1]["base"] and len(twice[0]["base"]) == 4
+    elif name == "gif":
+        assert gif_media.frame_columns(gif_media.gif_column(none)).count() == 0
+        assert len({r["media_sha256"] for r in gif_media.frame_columns(gif_media.gif_column(docs.union(docs))).collect()}) == len({t[1] or "" for t in TEXTS})

@@ -9,7 +9,7 @@ from gridloom.llm import gif_media
 
 def _frame(delay_cs, disposal, clear, left, top, samples):
     out = b"\x21\xf9\x04" + bytes([disposal << 2 | (clear is not None)]) + struct.pack("<H", delay_cs) + bytes([clear or 0, 0])
-    data = gif_media.pack_literals(samples.ravel())
+    data = gif_media.pack_lzw(samples.tobytes())
     return out + b"\x2c" + struct.pack("<HHHHB", left, top, samples.shape[1], samples.shape[0], 0) + b"\x08" + bytes([len(data)]) + data + b"\0"
 
 

@@ -14,8 +14,8 @@ Counts cover all documents. A pair can reach the thresholds only if entity and t
 least `support` documents and in at most n / 2**bits, so pairs are made of these alone; sketches of
 fixed size tell them, and what a sketch lets through beyond that is dropped by exact counts. Entities
 and terms travel as hashes; counts are summed per task first. Thresholds don't depend on the input's
-size. Null or empty text: no spans. Repeated rows count as documents of their own. Null doc_id: as
-any other. Offsets are code points, ends exclusive.
+size. Null or empty text: no spans. Very long texts are scanned whole, in time that grows with their length. Repeated rows count as documents of their own, and each
+has its spans. Null doc_id: as any other. An empty table gives an empty result. Columns besides doc_id and text are ignored. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ SUPPORT, BITS, SHARE, REMOVE, FLUSH = 2, 6.0, 0.5, 0.9, 300_000
 #: Bits of a sketch of hashes, and of one of its chunks.
 SKETCH, CHUNK = 1 << 26, 1 << 18
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: As the pattern without the look-behind: a match takes runs of digits whole, so none starts inside a run.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -311,5 +312,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = say("base", None)
     return found.select(
         "doc_id", *map(of, KINDS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, say("terms", "term")), ",").alias("spans"), F.size("terms").cast("bigint").alias("n_term"),
+        F.array_join(F.concat(base, say("terms", "term")), ",").alias("spans"), F.size("terms").cast("bigint").alias("n_term"), F.size("base").cast("bigint").alias("n_base"),
     )

@@ -36,3 +36,35 @@ def test_terms_far_from_the_entity(spark):
     assert say(7) == ["Zaphod", "zaphod"] and say(8) == ["ZAPHOD"] and say(9) == ["Zaphod"] and say(10) == []
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(pii.spans(docs)).collect()}
     assert "zaphod" not in clean[8].lower() and clean[10].endswith("zaphod alone")
+
+
+def test_patterns_as_given():
+    """The kinds by the plain patterns, on texts made of their characters."""
+    import random
+    import re
+
+    rnd = random.Random(3)
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda x: re.sub("[^0-9]", "", x)
+
+    def luhn(x):
+        return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(x))) % 10 == 0
+
+    for alphabet in ("0123456789....", "0123 456-789", "+12 (3).4-5", "a1.@-%é ", "012.45@a+ -"):
+        for _ in range(1500):
+            t = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60)))
+            want = [("email", *m.span()) for m in email.finditer(t)] + [("ip", *m.span()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))]
+            want += [("card", *m.span()) for m in card.finditer(t) if 16 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+            want += [("phone", *m.span()) for m in phone.finditer(t) if 8 <= len(digits(m.group())) <= 15]
+            assert pii.base_spans(t) == want, t
+
+
+def test_long_texts_take_seconds():
+    import time
+
+    start = time.time()
+    for t in ("7" * 1_000_000, "1.2.3." * 200_000, "a@b.example " * 80_000, "a" * 1_000_000 + "@", "漢字" * 500_000, "+1 (" * 250_000, "x@" + "y" * 1_000_000, "1 2-" * 250_000):
+        pii._terms(t, pii.base_spans(t))
+    assert time.time() - start < 40

@@ -15,8 +15,10 @@ Shards of a source follow its size (shard_words), at most max_shards; a shard is
 documents, so one source with a third of all rows is spread over many. Only per-source and per-shard
 sums meet in one window.
 
-Null text: size 0, nothing taken. Null source: a source of its own, after all others. Repeated rows
-are documents of their own. An empty table gives an empty result.
+Null text: size 0, nothing taken. Null source: a source of its own, after all others. Null doc_id: documents like any
+other, told apart and dealt by a hash of their text. Repeated rows are documents of their own; rows alike in doc_id (or, without one, in text)
+share a shard. Very long texts: one document's words may be cut anywhere. An empty table gives an empty result. mix() ignores
+columns besides doc_id, text and source; mixed() keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import WORD, read, stored
 
-WEIGHTS, SHARE, REPEAT, BLOCK, SHARD_WORDS, MAX_SHARDS, SEED = (5, 2, 1), 1.5, 2, 8, 1 << 18, 4096, "mix"
+WEIGHTS, SHARE, REPEAT, BLOCK, SHARD_WORDS, MAX_SHARDS, SEED = (5, 2, 1), 1.5, 2, 8, 1 << 18, 1 << 16, "mix"
 
 
 def _bucket(*parts: Column) -> Column:
@@ -34,7 +36,8 @@ def _bucket(*parts: Column) -> Column:
 
 
 def sizes(documents: DataFrame, *more: Column) -> DataFrame:
-    return documents.select("doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    return documents.select("doc_id", "source", ident.alias("ident"), *more, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
@@ -71,23 +74,23 @@ def apportion(units: DataFrame, group: list[str], votes: str, seats: str, order:
     return q.groupBy(*group, order).agg(*keep, (F.first("_sure") + won).cast("bigint").alias("quota"))
 
 
-def mix(documents: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, carry: Column | None = None, **shape) -> DataFrame:
+def mix(documents: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, carry: Column | None = None, repeat: int = REPEAT, **shape) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, whole, ranges): whole copies, and the word ranges [a, b) of one more.
 
     With carry, each row also has this value of its document, as column _d."""
     sized = stored(sizes(documents), "mix-sizes")
-    t = targets(sized, **shape).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("bigint"))
+    t = targets(sized, repeat=repeat, **shape).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("bigint"))
     t = t.withColumn("all", F.lit(0)).withColumn("shards", F.least(F.lit(max_shards), F.ceil(F.col("source_size") / shard_words) + 1).cast("int"))
     t = stored(apportion(t, ["all"], "target", "seats", "source_no").drop("all", "seats").withColumnRenamed("quota", "seats"), "mix-sources")
     # One row a source; a source is a label, so this is small, and Spark broadcasts it by its measured size.
     def dealt(rows: DataFrame) -> DataFrame:
         d = rows.join(t, rows["source"].eqNullSafe(t["source"])).drop(t["source"])
-        return d.withColumn("key", F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")))).withColumn("shard", F.pmod(_bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("shards")).cast("int"))
+        return d.withColumn("key", F.md5(F.concat_ws(":", F.lit(SEED), F.col("ident")))).withColumn("shard", F.pmod(_bucket(F.col("ident")), F.col("shards")).cast("int"))
 
     d = dealt(sized if carry is None else sizes(documents, carry.alias("_d"), F.xxhash64("text").alias("tag")))
     units = dealt(sized).groupBy("source_no", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"))
     units = apportion(units, ["source_no"], "words", "seats", "shard")
-    units = units.withColumn("blocks", F.ceil(F.col("words") / block).cast("bigint")).withColumn("quota", F.least("quota", 2 * F.col("blocks")))
+    units = units.withColumn("blocks", F.ceil(F.col("words") / block).cast("bigint")).withColumn("quota", F.least("quota", repeat * F.col("blocks")))
     units = units.withColumn("passes", F.when(F.col("blocks") > 0, F.expr("quota div blocks")).otherwise(0)).withColumn("extra", F.col("quota") - F.col("passes") * F.col("blocks"))
     units = units.withColumn("start", F.when(F.col("blocks") > 0, F.pmod(_bucket(F.col("source_no").cast("string"), F.col("shard").cast("string")), F.col("blocks"))).otherwise(0))
     units = units.select("source_no", "shard", "passes", F.least(F.col("start") * block, "words").alias("a1"), F.least((F.col("start") + F.col("extra")) * block, "words").alias("b1"), F.greatest((F.col("start") + F.col("extra") - F.col("blocks")) * block, F.lit(0)).alias("b2"))
@@ -135,7 +138,7 @@ def _apportioned(name: str, units: str, group: str, votes: str, seats: str, orde
 
 _HASH = "CAST('0x' || substr(md5({}), 1, 12) AS BIGINT)"
 SQL = rf"""
-WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) AS ident, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS source_no, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS total FROM s0),
 s2 AS (SELECT *, CASE source_no % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS cap FROM s1),
@@ -147,12 +150,12 @@ t0 AS (SELECT source, source_no, source_size, least(cap, coalesce((SELECT f FROM
 t1 AS (SELECT *, 0 AS one, CAST(round(sum(target) OVER () / {BLOCK}) AS BIGINT) AS blocks_all,
        CAST(least({MAX_SHARDS}, ceil(source_size / {SHARD_WORDS}.0) + 1) AS INTEGER) AS shards FROM t0),
 {_apportioned("t", "t1", "one", "target", "blocks_all", "source_no", "source, source_no, source_size, target, shards")},
-d0 AS (SELECT sized.*, t.source_no, source_size, target, quota AS seats, md5(concat_ws(':', '{SEED}', CAST(doc_id AS VARCHAR))) AS key,
-       {_HASH.format(f"concat_ws(':', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), ''))")} % shards AS shard FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source),
+d0 AS (SELECT sized.*, t.source_no, source_size, target, quota AS seats, md5(concat_ws(':', '{SEED}', ident)) AS key,
+       {_HASH.format(f"concat_ws(':', '{SEED}', ident)")} % shards AS shard FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source),
 u0 AS (SELECT source_no, shard, CAST(sum(size) AS BIGINT) AS words, any_value(seats) AS seats FROM d0 GROUP BY ALL),
 {_apportioned("u1", "u0", "source_no", "words", "seats", "shard", "source_no, shard, words")},
 u2 AS (SELECT *, CAST(ceil(words / {BLOCK}.0) AS BIGINT) AS blocks FROM u1),
-u3 AS (SELECT * REPLACE (least(quota, 2 * blocks) AS quota) FROM u2),
+u3 AS (SELECT * REPLACE (least(quota, {REPEAT} * blocks) AS quota) FROM u2),
 u4 AS (SELECT *, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS passes FROM u3),
 u5 AS (SELECT *, quota - passes * blocks AS extra, CASE WHEN blocks > 0 THEN {_HASH.format(f"concat_ws(':', '{SEED}', CAST(source_no AS VARCHAR), CAST(shard AS VARCHAR))")} % blocks ELSE 0 END AS start FROM u4),
 u6 AS (SELECT source_no, shard, passes, least(start * {BLOCK}, words) AS a1, least((start + extra) * {BLOCK}, words) AS b1, greatest((start + extra - blocks) * {BLOCK}, 0) AS b2 FROM u5),

@@ -15,7 +15,8 @@ under every other order, and only then are whole sets compared.
 
 Null, empty or blank text: an empty set, which links with nothing. Fewer words than n: their
 whole sequence is the one shingle. Repeated rows: each is returned. Null doc_id: takes part, but never names a component it shares
-with a document that has one; a component of null ids alone has the null id, and one_of_each() keeps its rows. An empty table gives an empty result.
+with a document that has one; a component of null ids alone has the null id, and one_of_each() keeps its rows. Very long texts are taken
+whole. An empty table gives an empty result. Columns besides doc_id and text are ignored, whatever their names; one_of_each() keeps them.
 """
 
 from __future__ import annotations
@@ -26,13 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pieces_of, read, stored
+from gridloom.llm.common import pieces_of, read, small, stored
 
 N, BUCKETS, CHUNK, ORDERS, MOST_CHARS = 5, 1 << 20, 4096, 3, 1_000_000
 #: A bucket's level is how many of these it exceeds: the median count, and so many times its square root and so many more.
 LEVELS = ((1, 1), (2, 2), (3, 4), (4, 8), (6, 16), (12, 64), (24, 256))
-#: Rows up to which a side of a join is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
 _M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -142,8 +141,9 @@ def features(documents: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
 
     parts = rows.where("chunk is not null").select("chunk", "salt", "counts")
     parts = parts.groupBy("chunk", "salt").applyInPandas(summed, "chunk int, counts binary")  # at most 1024 tasks' counts
+    parts = parts.groupBy("chunk").applyInPandas(summed, "chunk int, counts binary")  # a row for each 1024 tasks
     total = np.zeros(BUCKETS, np.int64)
-    for r in parts.collect():  # 4 MB at any size of the input
+    for r in parts.collect():  # 8 MB at any size of the input
         total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += np.frombuffer(r["counts"], np.int64)
     mean = float(np.median(total))
     excess = total - mean
@@ -155,17 +155,12 @@ def _tagged(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.xxhash64("text").alias("tag"), "text")
 
 
-def _checked(small: DataFrame) -> DataFrame:
-    """small, to be broadcast if it has few rows. It is a stored table, so counting is cheap."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(c, comp) of all ends of edges (a, b): comp is the smallest c of those connected. Alternates large and small stars."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         near = e.union(e.select("b", "a")) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = _checked(stored(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least"))
+        least = small(stored(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least"))
         out = near.join(least, "a").where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out if large else out.union(least.select("a", F.col("m").alias("b")))
         return stored(out.where("a <> b").distinct(), "star")
@@ -198,7 +193,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 def _met_enough(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) whose prefixes of the first order share enough; shingles of a that fall together in 48 bits count in full."""
     named = stored(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "near-classes")
-    pre = groups.join(_checked(named), "c", "left_semi").groupBy("c").agg(F.collect_list("t").alias("pre"))  # a set's prefix each
+    pre = groups.join(small(named), "c", "left_semi").groupBy("c").agg(F.collect_list("t").alias("pre"))  # a set's prefix each
     pre = stored(pre, "near-prefixes")
     a, b = pre.select(F.col("c").alias("a"), F.col("pre").alias("a_pre")), pre.select(F.col("c").alias("b"), F.col("pre").alias("b_pre"))
     met = F.expr(_can_link("size(array_intersect(a_pre, b_pre))", slack="(size(a_pre) - size(array_distinct(a_pre)))"))
@@ -242,16 +237,16 @@ def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFra
     # 48 bits of a shingle will do here: chance meetings are only candidates.
     pre = docs.mapInArrow(prefixes, f"doc_id {kind}, tag long, c long, n int, pre array<bigint>")
     copied = stored(reps.where("k > 1").select("c", F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "copied-classes")
-    pre = pre.join(_checked(copied), "c", "left").where("_tag is null or (doc_id <=> _id and tag = _tag)").select("c", "n", "pre")
+    pre = pre.join(small(copied), "c", "left").where("_tag is null or (doc_id <=> _id and tag = _tag)").select("c", "n", "pre")
     pre = stored(_one_row(pre, repeats), "class-prefixes")
     rows = pre.select("c", "n", F.posexplode("pre").alias("i", "t"))
     met = stored(rows.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("t", "k"), "met")
-    groups = stored(rows.join(_checked(met), "t").select("t", "c", "n", "i", "k"), "prefix-groups")
+    groups = stored(rows.join(small(met), "t").select("t", "c", "n", "i", "k"), "prefix-groups")
     # Copies of a text are nearer to it than to each other, so the class whose shingles have most company is the one to hold others against.
     central = stored(groups.groupBy("c").agg((F.sum("k") / (F.max("n") / 4.0 + 1)).alias("company")), "company")
-    led = groups.drop("k").join(_checked(central), "c")
+    led = groups.drop("k").join(small(central), "c")
     centre = stored(led.groupBy("t").agg(F.max(F.struct("company", "c", "n", "i")).alias("lo")), "centres")
-    starred = led.join(_checked(centre), "t")
+    starred = led.join(small(centre), "t")
     first = starred.where("c <> lo.c").select(F.col("lo.c").alias("a"), F.col("c").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"), F.col("lo.i").alias("ia"), F.col("i").alias("ib"))
     # Each class against the one of the groups' centres that it meets most; round two sees to all other pairs.
     first = _pairs(first).groupBy("b", "nb").agg(F.max_by(F.struct("a", "na"), F.struct("met", F.negative("a"))).alias("x"))
@@ -261,10 +256,10 @@ def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFra
     comp = components(edges)
 
     # Round two: groups with several components, pairs across components.
-    g = groups.select("t", "c", "n", "i").join(_checked(comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    g = groups.select("t", "c", "n", "i").join(small(comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     few = g.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
     few = stored(few, "open-groups")
-    g = stored(g.join(_checked(few), "t", "left_semi").distinct(), "open-rows")
+    g = stored(g.join(small(few), "t", "left_semi").distinct(), "open-rows")
     x, y = g.select("t", *(F.col(k).alias(f"x{k}") for k in ("c", "n", "i", "comp"))), g.select("t", *(F.col(k).alias(f"y{k}") for k in ("c", "n", "i", "comp")))
     # The first shingle that linked sets share meets the bound on positions, so no other meeting need become a row.
     pair = x.join(y, "t").where("xcomp < ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and 7 * least(xn - xi, yn - yi) >= 3 * (xn + yn)")
@@ -277,9 +272,9 @@ def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFra
             comp = components(comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).where("a <> b").union(more))
 
     whole = F.col("n") > 0
-    f = feats.join(_checked(comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    f = feats.join(small(comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = stored(f.where(whole).groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k"), "least-ids")
-    f = f.join(_checked(least), "comp", "left")
+    f = f.join(small(least), "comp", "left")
     return f.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.when(whole, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -289,8 +284,8 @@ def _sets(docs, reps, repeats, pairs, n, orders, crowded, had) -> DataFrame:
     need = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     if had is not None:
         need = need.join(had.select("c"), "c", "left_anti")
-    need = stored(reps.join(_checked(stored(need, "needed")), "c").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "needed-ids")
-    texts = docs.join(_checked(need), docs["doc_id"].eqNullSafe(need["_id"]) & (docs["tag"] == need["_tag"])).select("text")
+    need = stored(reps.join(small(stored(need, "needed")), "c").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "needed-ids")
+    texts = docs.join(small(need), docs["doc_id"].eqNullSafe(need["_id"]) & (docs["tag"] == need["_tag"])).select("text")
     shared = spark.sparkContext.broadcast(crowded)
     names = [f"p{k}" for k in range(2, orders + 1)]
 
@@ -313,12 +308,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, orders: int) -> DataFrame:
 
     def side(of: DataFrame, c: str, cols: list[str]) -> DataFrame:
         """The sets that of's column c names, and no others: those are few."""
-        own = sets.join(_checked(stored(of.select(F.col(c).alias("c")).distinct(), "side")), "c", "left_semi")
+        own = sets.join(small(stored(of.select(F.col(c).alias("c")).distinct(), "side")), "c", "left_semi")
         return own.select(F.col("c").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in cols))
 
     meet = F.lit(True)
-    for p in names:  # prefixes hold 32 bits of a shingle: two that fall together must not lose a pair
-        meet = meet & F.expr(_can_link(f"size(array_intersect(a_{p}, b_{p}))", slack=2))
+    for p in names:  # prefixes hold 32 bits of a shingle: those of a that fall together count in full, so no pair is lost
+        meet = meet & F.expr(_can_link(f"size(array_intersect(a_{p}, b_{p}))", slack=f"(size(a_{p}) - size(array_distinct(a_{p})))"))
     left = stored(pairs.join(side(pairs, "a", names), "a").join(side(pairs, "b", names), "b").where(meet).select("a", "b"), "filtered-pairs")
     both = F.size(F.array_intersect("a_s", "b_s"))
     linked = left.join(side(left, "a", ["s"]), "a").join(side(left, "b", ["s"]), "b").where(7 * both >= 3 * (F.size("a_s") + F.size("b_s")))
@@ -327,9 +322,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, orders: int) -> DataFrame:
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """documents, of each component only those with the smallest doc_id; rows of one doc_id are told apart by their texts."""
-    stay = _labelled(documents, **options).where("component_id <=> doc_id").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    stay, keyed = stored(stay, "stay"), documents.withColumn("_text_tag", F.xxhash64("text"))
-    return keyed.join(_checked(stay), keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_text_tag"] == stay["_tag"]), "left_semi").drop("_text_tag")
+    go = _labelled(documents, **options).where("not (component_id <=> doc_id)").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    go = stored(go, "go")
+    return documents.join(small(go), documents["doc_id"].eqNullSafe(go["_id"]) & (F.xxhash64(documents["text"]) == go["_tag"]), "left_anti")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,3 +28,45 @@ def test_null_ids_link(spark):
     rows = [(None, " ".join(BASE)), (None, " ".join(BASE)), (4, " ".join(BASE[:58])), (None, "a b c d e f g h"), (4, "quite another text of this same id here")]
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 4, -1), (-1, 56, 4), (-1, 56, 4), (4, 4, 4), (4, 54, 4)]
+
+
+def _components(spark, rows):
+    return {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_a_null_id_is_a_bridge(spark):
+    near = lambda *at: " ".join("q%d" % k if k in at else w for k, w in enumerate(BASE))
+    sets = [{tuple(x.split()[k : k + 5]) for k in range(56)} for x in (near(), near(20), near(20, 40))]
+    link = lambda a, b: len(a & b) >= 0.75 * len(a | b)
+    assert link(sets[0], sets[1]) and link(sets[1], sets[2]) and not link(sets[0], sets[2])
+    assert _components(spark, [(1, near()), (None, near(20)), (2, near(20, 40))]) == {(1, 1), (None, 1), (2, 1)}
+    assert _components(spark, [(1, near()), (2, near(20, 40))]) == {(1, 1), (2, 2)}
+
+
+def test_many_repeats_of_two_ids(spark, monkeypatch):
+    kept, most = jaccard_join.stored, {}
+
+    def watched(df, name):
+        out = kept(df, name)
+        most[name] = max(most.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", watched)
+    rows = [(1, " ".join(BASE))] * 100 + [(2, " ".join(BASE[:57]))] * 100
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 200 and {r["component_id"] for r in got} == {1}
+    assert most["links"] == 1 and most["sets"] == 2 and most["class-prefixes"] == 2
+
+
+def test_very_long_texts(spark):
+    words = [f"w{k}" for k in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[: 320_000])), (3, " ".join(words[:290_000]) + " x" * 9)]
+    assert _components(spark, rows) == {(1, 1), (2, 1), (3, 1)}
+    assert _components(spark, rows[::2]) == {(1, 1), (3, 3)}
+
+
+def test_one_of_each_keeps_all_columns(spark):
+    rows = [(1, " ".join(BASE), "a", 1, 5), (2, " ".join(BASE[:58]), "b", 2, 6), (None, " ".join(BASE), "c", 3, 7), (3, None, "d", 4, 8), (3, None, "d", 4, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _tag long, component_id long")
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r["_id"] for r in got.collect()) == ["a", "d", "d"]

@@ -49,7 +49,7 @@ STAGES = [
     ("SentencePiece", to_pieces),
 ]
 
-#: SQL can express neither the first stage nor the last; tests hold run() against brute force.
+#: SQL can express neither the first stage nor the last; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 

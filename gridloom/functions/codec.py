@@ -48,7 +48,7 @@ def unrle8(data: bytes, n: int, lenient: bool = False) -> tuple[bytes | None, st
     out, at = bytearray(), 0
     while len(out) < n:
         if at >= len(data):
-            return None, "UnexpectedEnd"
+            return None, "OutputLengthMismatch"  # a clean cut between two blocks
         head, at = data[at], at + 1
         k = (head & 0x7F) + 1
         size = 1 if head & 0x80 else k

@@ -71,16 +71,6 @@ def flip_row(y: Column, z: Column) -> Column:
     return (F.pow(F.lit(2.0), z) - 1 - y).cast("bigint")
 
 
-def bbox_issue(text: Column) -> Column:
-    """Why `min_lon,min_lat,max_lon,max_lat` is no region, or null."""
-    p = F.transform(F.split(text, ","), lambda v: F.trim(v).try_cast("double"))
-    return (
-        F.when(F.size(p) != 4, "parts").when(F.exists(p, lambda v: v.isNull()), "number")
-        .when((F.abs(p[0]) > 180) | (F.abs(p[2]) > 180), "lon").when((F.abs(p[1]) > 90) | (F.abs(p[3]) > 90), "lat")
-        .when((p[0] >= p[2]) | (p[1] >= p[3]), "order")
-    )
-
-
 def zoom_range(text: Column) -> Column:
     """struct(zmin, zmax) of `n` or `a-b`, at most 23 and in order; else null."""
     p = F.transform(F.split(text, "-"), lambda v: F.trim(v).try_cast("int"))

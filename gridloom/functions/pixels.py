@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Channel thresholds of the two-bit code, and eight palette slots in order (name, r, g, b).
@@ -68,21 +68,21 @@ def lab(r: Column, g: Column, b: Column) -> dict[str, Column]:
     return {"l": 116.0 * f[1] - 16.0, "a": 500.0 * (f[0] - f[1]), "b": 200.0 * (f[1] - f[2])}
 
 
-def ciede2000(l1: Column, a1: Column, b1: Column, l2: Column, a2: Column, b2: Column) -> Column:
-    """The CIEDE2000 colour difference."""
-    c_mean = (F.hypot(a1, b1) + F.hypot(a2, b2)) / 2
-    g = 0.5 * (1 - F.sqrt(F.pow(c_mean, 7) / (F.pow(c_mean, 7) + 25.0**7)))
-    p1, p2 = a1 * (1 + g), a2 * (1 + g)
-    c1, c2 = F.hypot(p1, b1), F.hypot(p2, b2)
+def with_ciede2000(rows: DataFrame, one: tuple[str, str, str], two: tuple[str, str, str], into: str) -> DataFrame:
+    """rows with the CIEDE2000 difference of two Lab colours, given by their columns; step by step, as one expression would repeat its parts too often to be compiled."""
+    c, seven = F.col, lambda v: F.pow(v, F.lit(7.0))
+    (l1, a1, b1), (l2, a2, b2) = ([c(k) for k in names] for names in (one, two))
+    d = rows.withColumn("_c", seven((F.hypot(a1, b1) + F.hypot(a2, b2)) / 2))
+    d = d.withColumn("_g", 1.5 - 0.5 * F.sqrt(c("_c") / (c("_c") + 25.0**7)))
+    d = d.withColumns({"_p1": a1 * c("_g"), "_p2": a2 * c("_g")})
     hue = lambda p, b: F.when((p == 0) & (b == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, p)), F.lit(360.0)))
-    h1, h2 = hue(p1, b1), hue(p2, b2)
-    none = (c1 * c2) == 0
-    dh = F.when(none, 0.0).when(F.abs(h2 - h1) <= 180, h2 - h1).when(h2 > h1, h2 - h1 - 360).otherwise(h2 - h1 + 360)
-    dl, dc, dbig = l2 - l1, c2 - c1, 2 * F.sqrt(c1 * c2) * F.sin(F.radians(dh) / 2)
-    lm, cm = (l1 + l2) / 2, (c1 + c2) / 2
-    hm = F.when(none, h1 + h2).when(F.abs(h1 - h2) <= 180, (h1 + h2) / 2).when(h1 + h2 < 360, (h1 + h2 + 360) / 2).otherwise((h1 + h2 - 360) / 2)
-    t = 1 - 0.17 * F.cos(F.radians(hm - 30)) + 0.24 * F.cos(F.radians(2 * hm)) + 0.32 * F.cos(F.radians(3 * hm + 6)) - 0.20 * F.cos(F.radians(4 * hm - 63))
-    sl = 1 + 0.015 * F.pow(lm - 50, 2) / F.sqrt(20 + F.pow(lm - 50, 2))
-    sc, sh = 1 + 0.045 * cm, 1 + 0.015 * cm * t
-    rt = -F.sin(F.radians(60 * F.exp(-F.pow((hm - 275) / 25, 2)))) * 2 * F.sqrt(F.pow(cm, 7) / (F.pow(cm, 7) + 25.0**7))
-    return F.sqrt(F.pow(dl / sl, 2) + F.pow(dc / sc, 2) + F.pow(dbig / sh, 2) + rt * (dc / sc) * (dbig / sh))
+    d = d.withColumns({"_k1": F.hypot("_p1", b1), "_k2": F.hypot("_p2", b2), "_h1": hue(c("_p1"), b1), "_h2": hue(c("_p2"), b2)})
+    grey, turn, total = c("_k1") * c("_k2") == 0, c("_h2") - c("_h1"), c("_h1") + c("_h2")
+    dh = F.when(grey, 0.0).when(F.abs(turn) <= 180, turn).when(turn > 0, turn - 360).otherwise(turn + 360)
+    hm = F.when(grey, total).when(F.abs(turn) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+    d = d.withColumns({"_dh": 2 * F.sqrt(c("_k1") * c("_k2")) * F.sin(F.radians(dh) / 2), "_hm": hm, "_cm": (c("_k1") + c("_k2")) / 2, "_lm": F.pow((l1 + l2) / 2 - 50, F.lit(2.0))})
+    wave = lambda k, at: F.cos(F.radians(k * c("_hm") + at))
+    d = d.withColumns({"_t": 1 - 0.17 * wave(1, -30) + 0.24 * wave(2, 0) + 0.32 * wave(3, 6) - 0.20 * wave(4, -63), "_rc": 2 * F.sqrt(seven(c("_cm")) / (seven(c("_cm")) + 25.0**7)), "_rt": -F.sin(F.radians(60 * F.exp(-F.pow((c("_hm") - 275) / 25, F.lit(2.0)))))})
+    d = d.withColumns({"_dl": (l2 - l1) / (1 + 0.015 * c("_lm") / F.sqrt(20 + c("_lm"))), "_dc": (c("_k2") - c("_k1")) / (1 + 0.045 * c("_cm")), "_db": c("_dh") / (1 + 0.015 * c("_cm") * c("_t"))})
+    own = [k for k in d.columns if k in ("_c", "_g", "_p1", "_p2", "_k1", "_k2", "_h1", "_h2", "_dh", "_hm", "_cm", "_lm", "_t", "_rc", "_rt", "_dl", "_dc", "_db")]
+    return d.withColumn(into, F.sqrt(c("_dl") * c("_dl") + c("_dc") * c("_dc") + c("_db") * c("_db") + c("_rt") * c("_rc") * c("_dc") * c("_db"))).drop(*own)

@@ -49,11 +49,11 @@ def with_query(url: Column, key: Column, value: Column) -> Column:
     return F.concat(url, F.when(F.contains(url, F.lit("?")), "&").otherwise("?"), key, F.lit("="), value)
 
 
-def split_once(text: Column, mark: str) -> Column:
-    """struct(name, value) around the first mark; null without one or with an empty name."""
+def split_once(text: Column, mark: str, trim_value: bool = True) -> Column:
+    """struct(name, value) around the first mark: a header trims both, a query pair the name alone; null without a mark or with an empty name."""
     at = F.instr(text, mark)
-    name = F.trim(F.substring(text, F.lit(1), at - 1))
-    return F.when((at > 0) & (name != ""), F.struct(name.alias("name"), F.substring(text, at + 1, F.length(text)).alias("value")))
+    name, value = F.trim(F.substring(text, F.lit(1), at - 1)), F.substring(text, at + 1, F.length(text))
+    return F.when((at > 0) & (name != ""), F.struct(name.alias("name"), (F.trim(value) if trim_value else value).alias("value")))
 
 
 def http_date(text: Column) -> Column:

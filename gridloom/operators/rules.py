@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 
 def header_rules(strict: bool) -> list[tuple[str, str, Column]]:
-    """(rule, severity, fails) in the order in which a reader checks them; strict adds what only the second validator checks."""
+    """(rule, severity, fails) in the order in which a reader checks them; strict gives the second validator's: narrower values, boxes, and minor versions as warnings."""
     c = F.col
     core = [
-        ("magic", "error", c("magic") != "RAWT"), ("major", "error", c("major") != 1), ("uuid", "error", c("uuid_zero")),
-        ("pixel_format", "error", ~c("pixel_format").isin(1, 2)), ("tile_dim", "error", c("tile_dim") < 1), ("zoom_range", "error", c("zmax") < c("zmin")),
+        ("magic", "error", c("magic") != "RAWT"), ("major", "error", c("major") != 1), ("uuid", "error", c("uuid_zero")), ("parent", "error", ~c("parent_zero")),
+        ("pixel_format", "error", ~c("pixel_format").isin(1, 2)), ("projection", "error", ~c("projection").isin(1, 3)), ("addressing", "error", ~c("addressing").isin(1, 2)), ("axis", "error", ~c("axis").isin(1, 2)),
+        ("tile_dim", "error", c("tile_dim") < 1), ("zoom_range", "error", c("zmax") < c("zmin")),
     ]
     more = [
-        ("minor", "warning", c("minor") > 0), ("pixel_format_strict", "error", c("pixel_format") == 2),
-        ("bbox", "error", (c("min_lon") >= c("max_lon")) | (c("min_lat") >= c("max_lat")) | (F.abs("min_lon") > 180_000_000) | (F.abs("max_lat") > 90_000_000)),
+        ("minor", "warning", c("minor") > 0), ("pixel_format_strict", "error", c("pixel_format") == 2), ("addressing_strict", "error", c("addressing") == 2),
+        ("bbox", "error", (c("min_lon") >= c("max_lon")) | (c("min_lat") >= c("max_lat")) | (F.abs("min_lon") > 180_000_000) | (F.abs("max_lon") > 180_000_000) | (F.abs("min_lat") > 90_000_000) | (F.abs("max_lat") > 90_000_000)),
     ]
     return core + (more if strict else [])
 
@@ -28,11 +29,14 @@ def issues(headers: DataFrame, key: str, strict: bool = True, fail_fast: bool =
     return headers.select(key, F.explode(found).alias("i")).select(key, "i.rule", "i.severity")
 
 
-def index_issues(index: DataFrame, group: str, blob_start: str, end: str) -> DataFrame:
-    """(group, seq, rule): order between neighbours, bounds and alignment of index entries."""
+def index_issues(index: DataFrame, group: str, blob_start: str, end: str, rows: int = 1 << 16) -> DataFrame:
+    """(group, seq, rule): order between neighbours, flags, bounds and alignment of index entries. A group is looked at in spans of `rows` entries; a span's first meets the last before it."""
     key = F.struct("z", "x", "y")
-    index = index.withColumn("_before", F.lag(key).over(Window.partitionBy(group).orderBy("seq")))
-    rules = {"order": F.col("_before") >= key, "flags": F.col("flags") != 0, "bounds": (F.col("offset") < F.col(blob_start)) | (F.col("offset") + F.col("length") > F.col(end)), "alignment": F.col("offset") % 4 != 0}
+    index = index.withColumn("_span", F.floor(F.col("seq") / rows))
+    last = index.groupBy(group, "_span").agg(F.max_by(key, F.col("seq")).alias("_last"))
+    last = last.select(group, "_span", F.lag("_last").over(Window.partitionBy(group).orderBy("_span")).alias("_edge"))
+    index = index.withColumn("_before", F.lag(key).over(Window.partitionBy(group, "_span").orderBy("seq"))).join(last, [group, "_span"])
+    rules = {"order": F.coalesce("_before", "_edge") >= key, "flags": F.col("flags") != 0, "bounds": (F.col("offset") < F.col(blob_start)) | (F.col("offset") + F.col("length") > F.col(end)), "alignment": F.col("offset") % 4 != 0}
     found = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))
     return index.withColumn("rule", F.explode(found)).select(group, "seq", "rule")
 

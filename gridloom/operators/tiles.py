@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def density(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("z", "x", "y").agg(F.count("*").alias("n"))
 
 
+def pyramid(finest: DataFrame, zmin: int) -> DataFrame:
+    """Densities of all zooms from zmin up to that of finest (z, x, y, n): a parent's count is its children's sum, so no point is looked at again."""
+    up = F.explode(F.sequence(F.lit(0), F.col("z") - zmin)).alias("up")
+    p = finest.select("z", "x", "y", "n", up).select((F.col("z") - F.col("up")).cast("int").alias("z"), F.expr("shiftright(x, up)").alias("x"), F.expr("shiftright(y, up)").alias("y"), "n")
+    return p.groupBy("z", "x", "y").agg(F.sum("n").alias("n"))
+
+
 def extents(regions: DataFrame, zmin: int, zmax: int) -> DataFrame:
     """A row for each region and zoom with its tile range; edges are inclusive."""
     r = with_zooms(regions, zmin, zmax)
@@ -61,18 +70,22 @@ def running_offsets(df: DataFrame, group: list[str], order: list[str], bucket: s
     return df.withColumn("_in", F.coalesce(F.sum(size).over(inner), F.lit(0))).join(totals, [*group, bucket]).withColumn(into, F.col("_in") + F.col("_before")).drop("_in", "_before")
 
 
-def layout(index: DataFrame) -> DataFrame:
-    """index (pack_id, z, x, y, length) with offset: bodies follow header and index in key order, each on a multiple of 4. Bodies stay out of it."""
-    placed = index.withColumns({"_size": align4(F.col("length")).cast("bigint"), "_part": F.col("z") * 64 + F.floor(F.col("x") * 64 / F.pow(F.lit(2.0), "z"))})
+def layout(index: DataFrame, parts: int = 4096) -> DataFrame:
+    """index (pack_id, z, x, y, length) with offset: bodies follow header and index in key order, each on a multiple of 4. Bodies stay out of it.
+
+    A zoom's columns are dealt into `parts` windows, and as many rows of sums meet in a pack's window of each zoom."""
+    placed = index.withColumns({"_size": align4(F.col("length")).cast("bigint"), "_part": F.col("z") * parts + F.floor(F.col("x") * parts / F.pow(F.lit(2.0), "z"))})
     placed = running_offsets(placed, ["pack_id"], ["z", "x", "y"], "_part", "_size", "_at")
     n = index.groupBy("pack_id").agg(F.count("*").alias("_n"))
     start = align4(HEADER_BYTES + ENTRY_BYTES * F.col("_n"))
     return placed.join(n, "pack_id").withColumn("offset", (start + F.col("_at")).cast("bigint")).drop("_size", "_part", "_at", "_n")
 
 
-def zoom_directory(placed: DataFrame) -> DataFrame:
-    """(pack_id, z, first_offset, n) of each zoom of each pack."""
-    return placed.groupBy("pack_id", "z").agg(F.min("offset").alias("first_offset"), F.count("*").alias("n"))
+def zoom_directory(index: DataFrame) -> DataFrame:
+    """(pack_id, z, first_offset, n) of each zoom of each pack: the offset of its first index entry, and its number of tiles. At most 24 rows a pack meet in the window."""
+    n = index.groupBy("pack_id", "z").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pack_id").orderBy("z").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return n.select("pack_id", "z", (HEADER_BYTES + ENTRY_BYTES * before).alias("first_offset"), "n")
 
 
 def lookup(keys: DataFrame, index: DataFrame, on=("z", "x", "y")) -> DataFrame:
@@ -88,6 +101,11 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Dat
     return s.withColumn("percent", F.round(F.col("differing") * 100.0 / F.col("common"), 6))
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], bucket: str, into: str) -> DataFrame:
+    """df with each row's number in its group, from 0, in two levels: `bucket` is monotone in the order, so a group of any size is split."""
+    return running_offsets(df.withColumn("_one", F.lit(1)), group, order, bucket, "_one", into).drop("_one")
+
+
 def order_violations(df: DataFrame, group: list[str], seq: str, key: list[str]) -> DataFrame:
     """Rows whose key isn't above the one before in their group."""
     before = F.lag(F.struct(*key)).over(Window.partitionBy(*group).orderBy(seq))
@@ -97,11 +115,29 @@ def order_violations(df: DataFrame, group: list[str], seq: str, key: list[str])
 def shift_search(a: DataFrame, b: DataFrame, image: str, reach: int = 2) -> DataFrame:
     """For each image the offset (dx, dy) at which a best matches b, ties to the first row by row.
 
-    a, b: (image, gx, gy, code). Each pixel of a is sent to its (2 reach + 1)**2 places: a fixed factor, then an equi-join."""
-    d = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    moved = a.withColumn("dy", d).withColumn("dx", d).select(image, "dx", "dy", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"), F.col("code").alias("ca"))
-    j = moved.join(b.select(image, "gx", "gy", F.col("code").alias("cb")), [image, "gx", "gy"])
-    s = j.groupBy(image, "dx", "dy").agg(F.count("*").alias("n"), F.count_if(F.col("ca") != F.col("cb")).alias("bad"))
-    s = s.withColumn("pct", F.round(F.col("bad") * 100.0 / F.col("n"), 6))
-    best = F.min(F.struct("pct", "dy", "dx", "n")).alias("m")
-    return s.groupBy(image).agg(best).select(image, "m.dx", "m.dy", "m.pct", "m.n")
+    a, b: (image, gx, gy, code). An image is bounded, so one aggregation gathers both of its pixel lists and every offset is tried on them
+    as matrices; no pixel is sent anywhere twice."""
+    side = lambda df, k: df.select(image, F.struct(F.lit(k).alias("side"), F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"), F.col("code").cast("int").alias("code")).alias("p"))
+    both = side(a, 0).union(side(b, 1)).groupBy(image).agg(F.collect_list("p").alias("px"))
+    steps = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
+
+    @F.pandas_udf("dx int, dy int, pct double, n long")
+    def best(lists: pd.Series) -> pd.DataFrame:
+        out = []
+        for px in lists:
+            m = np.array([tuple(p.values()) for p in px], np.int64)
+            low, size = m[:, 1:3].min(0), np.ptp(m[:, 1:3], axis=0) + 1
+            one, two = np.full(size + 2 * reach, -1), np.full(size + 2 * reach, -1)
+            for grid, own in ((one, m[m[:, 0] == 0]), (two, m[m[:, 0] == 1])):
+                grid[tuple((own[:, 1:3] - low + reach).T)] = own[:, 3]
+            found = []
+            for dy, dx in steps:
+                moved = np.roll(one, (dx, dy), (0, 1))
+                met = (moved >= 0) & (two >= 0)
+                if n := int(met.sum()):
+                    found.append((round(int((moved[met] != two[met]).sum()) * 100.0 / n, 6), dy, dx, n))
+            pct, dy, dx, n = min(found, default=(None, None, None, 0))
+            out.append((dx, dy, pct, n))
+        return pd.DataFrame(out, columns=["dx", "dy", "pct", "n"])
+
+    return both.select(image, best("px").alias("m")).select(image, "m.*").where("n > 0")

@@ -9,15 +9,18 @@ from gridloom.functions import codec, pixels
 from gridloom.plans.tile_queries import read
 
 
-def _px(spark: SparkSession, d: str) -> DataFrame:
+def _px(spark: SparkSession, d: str, *more) -> DataFrame:
     """Lineitem as pixels of tiles, one tile a 64 orders."""
     of = lambda c, k: F.pmod(F.col(c) * k, F.lit(256)).cast("int")
-    return read(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 64).alias("tile"), of("l_partkey", 7).alias("r"), of("l_suppkey", 11).alias("g"), of("l_orderkey", 13).alias("b"))
+    return read(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 64).alias("tile"), of("l_partkey", 7).alias("r"), of("l_suppkey", 11).alias("g"), of("l_orderkey", 13).alias("b"), *more)
 
 
 _PX = "SELECT l_orderkey // 64 AS tile, CAST(l_partkey * 7 % 256 AS INTEGER) AS r, CAST(l_suppkey * 11 % 256 AS INTEGER) AS g, CAST(l_orderkey * 13 % 256 AS INTEGER) AS b FROM lineitem"
 
 
+_PX_AT = _PX.replace(" FROM lineitem", ", l_orderkey, l_linenumber FROM lineitem")
+
+
 def _q(c: str) -> str:
     return f"(CASE WHEN {c} <= 42 THEN 0 WHEN {c} <= 127 THEN 1 WHEN {c} <= 212 THEN 2 ELSE 3 END)"
 
@@ -47,10 +50,11 @@ def code_coverage(spark, d):
 
 
 def tile_codes(spark, d):
-    """Distinct codes of each tile, all and of every 97th order only, and its darkest code's share."""
+    """Distinct codes of each tile, of all pixels and of every 97th place only, and its darkest code's share."""
     code = pixels.abgr2222(F.col("r"), F.col("g"), F.col("b"))
-    p = _px(spark, d).withColumn("code", code)
-    return p.groupBy("tile").agg(F.count("*").alias("n"), F.count_distinct("code").alias("codes"), F.count_distinct(F.when(F.pmod("r", F.lit(97)) == 0, F.col("code"))).alias("sampled_codes"), F.round(F.count_if(F.col("code") == 192) / F.count("*"), 6).alias("darkest"))
+    # A tile's pixels stand in the order of orders and their lines, eight places an order.
+    p = _px(spark, d, (F.col("l_orderkey") % 64 * 8 + F.col("l_linenumber") - 1).alias("at")).withColumn("code", code)
+    return p.groupBy("tile").agg(F.count("*").alias("n"), F.count_distinct("code").alias("codes"), F.count_distinct(F.when(F.pmod("at", F.lit(97)) == 0, F.col("code"))).alias("sampled_codes"), F.round(F.count_if(F.col("code") == 192) / F.count("*"), 6).alias("darkest"))
 
 
 def lut_restyle(spark, d):
@@ -84,7 +88,8 @@ def ciede2000_pairs(spark, d):
     ch = {k: v * 85 for k, v in pixels.unpacked(F.col("code")).items()}
     c = used.select("code", *(v.alias(k) for k, v in pixels.lab(ch["cr"], ch["cg"], ch["cb"]).items()))
     j = c.alias("p").join(c.alias("q"), F.col("p.code") < F.col("q.code"))
-    return j.select(F.col("p.code").alias("c1"), F.col("q.code").alias("c2"), F.round(pixels.ciede2000(*(F.col(f"{s}.{k}") for s in "pq" for k in "lab")), 4).alias("de"))
+    j = j.select(F.col("p.code").alias("c1"), F.col("q.code").alias("c2"), *(F.col(f"{s}.{k}").alias(f"{k}{i}") for i, s in enumerate("pq", 1) for k in "lab"))
+    return pixels.with_ciede2000(j, ("l1", "a1", "b1"), ("l2", "a2", "b2"), "de").select("c1", "c2", F.round("de", 4).alias("de"))
 
 
 def _bodies(spark, d):
@@ -158,8 +163,8 @@ SQL = {
       SELECT CAST({_SNAP} AS INTEGER) AS slot, CAST(sum(n) AS BIGINT) AS n, count(*) AS colours FROM (SELECT r, g, b, count(*) AS n FROM ({_PX}) GROUP BY ALL) GROUP BY slot)""",
     "code_coverage": f"""SELECT code, n, CAST(row_number() OVER (ORDER BY n DESC, code) AS INTEGER) AS rank, round(sum(n) OVER (ORDER BY n DESC, code ROWS UNBOUNDED PRECEDING) * 100.0::DOUBLE / sum(n) OVER (), 6) AS covered
       FROM (SELECT CAST({_CODE} AS INTEGER) AS code, count(*) AS n FROM ({_PX}) GROUP BY code)""",
-    "tile_codes": f"""SELECT tile, count(*) AS n, count(DISTINCT code) AS codes, count(DISTINCT code) FILTER (r % 97 = 0) AS sampled_codes, round(count(*) FILTER (code = 192) / count(*)::DOUBLE, 6) AS darkest
-      FROM (SELECT *, {_CODE} AS code FROM ({_PX})) GROUP BY tile""",
+    "tile_codes": f"""SELECT tile, count(*) AS n, count(DISTINCT code) AS codes, count(DISTINCT code) FILTER ((l_orderkey % 64 * 8 + l_linenumber - 1) % 97 = 0) AS sampled_codes, round(count(*) FILTER (code = 192) / count(*)::DOUBLE, 6) AS darkest
+      FROM (SELECT *, {_CODE} AS code FROM ({_PX_AT})) GROUP BY tile""",
     "lut_restyle": f"""SELECT tile, CAST(sum(o) AS BIGINT) AS total, min(o) AS least, max(o) AS most, count(DISTINCT o) AS codes FROM (
       SELECT tile, CAST(CASE WHEN code % 2 = 0 THEN 447 - code ELSE code END AS INTEGER) AS o FROM (SELECT tile, {_CODE} AS code FROM ({_PX}))) GROUP BY tile""",
     "luminance_stats": f"""SELECT tile, round(avg(y), 6) AS mean, round(quantile_cont(y, 0.05), 6) AS p5, round(quantile_cont(y, 0.95), 6) AS p95, round(1.05::DOUBLE / (max(y) + 0.05), 6) AS contrast

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import web
 from gridloom.operators import estimate, rules, tiles
-from gridloom.plans.tile_queries import _EXTENTS, _index, _regions, read
+from gridloom.plans.tile_queries import _EXTENTS, _LAYOUT, _index, _regions, read
 from gridloom.sources import packs
 
 
@@ -47,21 +48,33 @@ def pack_roundtrip(spark, d):
     return back.select("pack_id", "z", "x", "y", "length", F.sha2("body", 256).alias("sha256"))
 
 
-def rule_report(spark, d):
-    """Suppliers as pack headers, some of them wrong: every rule that fails, by rule."""
+def _headers(spark, d):
+    """Suppliers as pack headers, some of them wrong."""
     k = F.col("s_suppkey")
-    h = read(spark, d, "supplier").select(
-        k.alias("pack_id"), F.when(k % 11 == 0, "RAWX").otherwise("RAWT").alias("magic"), F.lit(1).alias("major"), (k % 13 == 0).alias("uuid_zero"), F.when(k % 7 == 0, 1).otherwise(0).alias("minor"),
+    return read(spark, d, "supplier").select(
+        k.alias("pack_id"), F.when(k % 11 == 0, "RAWX").otherwise("RAWT").alias("magic"), F.lit(1).alias("major"), (k % 13 == 0).alias("uuid_zero"), (k % 17 != 0).alias("parent_zero"), (k % 4).alias("projection"), (k % 3).alias("addressing"), (k % 5).alias("axis"), F.when(k % 7 == 0, 1).otherwise(0).alias("minor"),
         (k % 4).alias("pixel_format"), (k % 5 * 32).alias("tile_dim"), (k % 6).alias("zmin"), (k % 9).alias("zmax"),
         (F.col("s_nationkey") * 1000).alias("min_lon"), (F.col("s_nationkey") * 900 + 500).alias("max_lon"), F.lit(-5).alias("min_lat"), F.lit(5).alias("max_lat"),
     )
-    return rules.issues(h, "pack_id")
+
+
+def rule_report(spark, d):
+    """Every rule that a header fails."""
+    return rules.issues(_headers(spark, d), "pack_id")
+
+
+def header_first_issue(spark, d):
+    """The same headers read to the first failing rule only, by rule."""
+    return rules.issues(_headers(spark, d), "pack_id", strict=False, fail_fast=True).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def index_report(spark, d):
-    """The documents' index as laid out for the entries' y order, which breaks the key order."""
-    t = tiles.layout(_index(spark, d)).withColumns({"seq": F.col("y"), "flags": F.pmod("y", F.lit(50)) == 7, "start": F.lit(292), "end": F.lit(1 << 31)})
-    return rules.index_issues(t.withColumn("flags", F.col("flags").cast("int")), "pack_id", "start", "end").groupBy("pack_id", "rule").agg(F.count("*").alias("n"))
+    """The documents' index, entries numbered by doc_id, which breaks the key order; some have flags, an odd offset, or an end behind the extensions."""
+    t = tiles.layout(_index(spark, d))
+    n = t.groupBy("pack_id").agg(F.count("*").alias("n"), F.max(F.col("offset") + tiles.align4(F.col("length"))).cast("bigint").alias("end"))
+    t = t.join(n, "pack_id").withColumns({"seq": F.col("y"), "flags": (F.pmod("y", F.lit(50)) == 7).cast("int"), "start": tiles.align4(292 + 20 * F.col("n"))})
+    shift = F.when(F.pmod("y", F.lit(40)) == 3, 2).when(F.pmod("y", F.lit(60)) == 9, F.col("end") - F.col("offset") - F.col("length") + 4).when(F.pmod("y", F.lit(70)) == 1, -F.col("offset")).otherwise(0)
+    return rules.index_issues(t.withColumn("offset", F.col("offset") + shift), "pack_id", "start", "end").groupBy("pack_id", "rule").agg(F.count("*").alias("n"))
 
 
 def estimate_plan(spark, d):
@@ -85,12 +98,16 @@ def run_totals(spark, d):
 
 
 def upper_medians(spark, d):
-    """Count, upper median of the descending order, best and worst value by type: the order is a window, no list is gathered."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type")
-    e = read(spark, d, "events").withColumns({"k": F.row_number().over(w.orderBy(F.desc("value"), "event_id")), "n": F.count("*").over(w)})
-    return e.groupBy("event_type").agg(F.max("n").alias("n"), F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("value"))).alias("middle"), F.max("value").alias("worst"), F.min("value").alias("best"))
+    """Count, upper median of the descending order, best and worst value by type. Values are dealt into BUCKETS equal ranges; counts of these show the one that holds the middle, and only its values are put in order."""
+    e = read(spark, d, "events").select("event_type", "value").where("value is not null")
+    s = e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("worst"), F.min("value").alias("best"))
+    width = F.greatest(F.col("worst") - F.col("best"), F.lit(1e-300)) / BUCKETS
+    e = e.join(s, "event_type").withColumn("bucket", F.floor((F.col("worst") - F.col("value")) / width))
+    c = e.groupBy("event_type", "bucket").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("event_type").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.withColumns({"place": F.floor(F.col("n") / 2) + 1 - before}).where("place between 1 and k").select("event_type", "bucket", "place")
+    m = e.join(c, ["event_type", "bucket"]).withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value")))).where("r = place")
+    return s.join(m.select("event_type", F.col("value").alias("middle")), "event_type").select("event_type", "n", "middle", "worst", "best")
 
 
 def archive_cost(spark, d):
@@ -101,7 +118,8 @@ def archive_cost(spark, d):
     return e.select("region", bytes_.cast("bigint").alias("bytes"), provider.alias("p")).select("region", "bytes", "p.provider", F.round(F.col("bytes") * F.col("p.cents") / 1e6, 6).alias("cost"))
 
 
-QUERIES = {f.__name__: f for f in (host_policy, url_expand, http_dates, attribution_check, html_text, pack_roundtrip, rule_report, index_report, estimate_plan, work_done, learned_rates, run_totals, upper_medians, archive_cost)}
+BUCKETS = 4096
+QUERIES = {f.__name__: f for f in (host_policy, url_expand, http_dates, attribution_check, html_text, pack_roundtrip, rule_report, header_first_issue, index_report, estimate_plan, work_done, learned_rates, run_totals, upper_medians, archive_cost)}
 
 
 def _strip_sql(c: str) -> str:
@@ -125,10 +143,17 @@ SQL = {
     "pack_roundtrip": "SELECT source AS pack_id, 20 AS z, (doc_id * 7919) % 1048576 AS x, doc_id AS y, CAST(octet_length(encode(text)) AS BIGINT) AS length, sha256(encode(text)) AS sha256 FROM documents",
     "rule_report": """WITH h AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier), r AS (
       SELECT k, 'magic' AS rule, 'error' AS severity FROM h WHERE k % 11 = 0 UNION ALL SELECT k, 'uuid', 'error' FROM h WHERE k % 13 = 0 UNION ALL SELECT k, 'pixel_format', 'error' FROM h WHERE k % 4 NOT IN (1, 2)
+      UNION ALL SELECT k, 'parent', 'error' FROM h WHERE k % 17 = 0 UNION ALL SELECT k, 'projection', 'error' FROM h WHERE k % 4 NOT IN (1, 3) UNION ALL SELECT k, 'addressing', 'error' FROM h WHERE k % 3 = 0
+      UNION ALL SELECT k, 'axis', 'error' FROM h WHERE k % 5 NOT IN (1, 2) UNION ALL SELECT k, 'addressing_strict', 'error' FROM h WHERE k % 3 = 2
       UNION ALL SELECT k, 'tile_dim', 'error' FROM h WHERE k % 5 = 0 UNION ALL SELECT k, 'zoom_range', 'error' FROM h WHERE k % 9 < k % 6 UNION ALL SELECT k, 'minor', 'warning' FROM h WHERE k % 7 = 0
       UNION ALL SELECT k, 'pixel_format_strict', 'error' FROM h WHERE k % 4 = 2 UNION ALL SELECT k, 'bbox', 'error' FROM h WHERE n * 1000 >= n * 900 + 500) SELECT k AS pack_id, rule, severity FROM r""",
-    "index_report": """WITH t AS (SELECT source AS pack_id, (doc_id * 7919) % 1048576 AS x, doc_id AS y FROM documents), l AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM t WINDOW w AS (PARTITION BY pack_id ORDER BY y)),
-      r AS (SELECT pack_id, 'order' AS rule FROM l WHERE x0 > x OR (x0 = x AND y0 >= y) UNION ALL SELECT pack_id, 'flags' FROM t WHERE y % 50 = 7) SELECT pack_id, rule, count(*) AS n FROM r GROUP BY ALL""",
+    "header_first_issue": """SELECT rule, count(*) AS n FROM (SELECT CASE WHEN s_suppkey % 11 = 0 THEN 'magic' WHEN s_suppkey % 13 = 0 THEN 'uuid' WHEN s_suppkey % 17 = 0 THEN 'parent' WHEN s_suppkey % 4 NOT IN (1, 2) THEN 'pixel_format'
+      WHEN s_suppkey % 4 NOT IN (1, 3) THEN 'projection' WHEN s_suppkey % 3 = 0 THEN 'addressing' WHEN s_suppkey % 5 NOT IN (1, 2) THEN 'axis' WHEN s_suppkey % 5 = 0 THEN 'tile_dim' WHEN s_suppkey % 9 < s_suppkey % 6 THEN 'zoom_range' END AS rule FROM supplier) WHERE rule IS NOT NULL GROUP BY rule""",
+    "index_report": f"""WITH p AS ({_LAYOUT}), e AS (SELECT *, count(*) OVER (PARTITION BY pack_id) AS n, max("offset" + (length + 3) // 4 * 4) OVER (PARTITION BY pack_id) AS fin FROM p),
+      t AS (SELECT pack_id, z, x, y, length, fin, (292 + 20 * n + 3) // 4 * 4 AS start, "offset" + CASE WHEN y % 40 = 3 THEN 2 WHEN y % 60 = 9 THEN fin - "offset" - length + 4 WHEN y % 70 = 1 THEN -"offset" ELSE 0 END AS o FROM e),
+      l AS (SELECT *, lag((z, x, y)) OVER (PARTITION BY pack_id ORDER BY y) AS was FROM t),
+      r AS (SELECT pack_id, 'order' AS rule FROM l WHERE was >= (z, x, y) UNION ALL SELECT pack_id, 'flags' FROM t WHERE y % 50 = 7 UNION ALL SELECT pack_id, 'bounds' FROM t WHERE o < start OR o + length > fin UNION ALL SELECT pack_id, 'alignment' FROM t WHERE o % 4 <> 0)
+      SELECT pack_id, rule, count(*) AS n FROM r GROUP BY ALL""",
     "estimate_plan": f"""WITH e AS (SELECT region, b AS block, nx, ny, ceil(nx / b::DOUBLE) * ceil(ny / b::DOUBLE) AS renders, b * ny * 16384 AS col FROM ({_EXTENTS}), (SELECT unnest([16, 8, 4, 2, 1]) AS b)),
       p AS (SELECT region, block, CAST(sum(nx * ny) AS BIGINT) AS tiles, CAST(sum(renders) AS BIGINT) AS renders, max(col) AS col FROM e GROUP BY ALL),
       c AS (SELECT *, coalesce(max(CASE WHEN col <= {128 << 20} THEN block END) OVER w, min(block) OVER w) AS chosen FROM p WINDOW w AS (PARTITION BY region)),

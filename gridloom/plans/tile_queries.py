@@ -32,7 +32,7 @@ def tile_assign(spark, d):
 
 def tile_density(spark, d):
     """Points per tile of a pyramid: zooms 0 to 6."""
-    return tiles.density(tiles.assign(tiles.with_zooms(tiles.points(read(spark, d, "orders"), "o_orderkey"), 0, 6)))
+    return tiles.pyramid(tiles.density(tiles.assign(tiles.points(read(spark, d, "orders"), "o_orderkey").withColumn("z", F.lit(6)))), 0)
 
 
 _DENSITY = f"""SELECT CAST(z AS INTEGER) AS z, {_x("lon", "z")} AS x, {_y("lat", "z")} AS y, count(*) AS n
@@ -71,10 +71,10 @@ def bbox_enumerate(spark, d):
 def _index(spark, d):
     """Documents as tiles: a pack for each source, keys from doc_id, lengths from the UTF-8 bodies."""
     k = F.col("doc_id")
-    return read(spark, d, "documents").select(F.col("source").alias("pack_id"), F.lit(20).alias("z"), F.pmod(k * 7919, F.lit(1 << 20)).alias("x"), k.alias("y"), F.octet_length("text").cast("bigint").alias("length"))
+    return read(spark, d, "documents").select(F.col("source").alias("pack_id"), (18 + F.pmod(k, F.lit(3))).cast("int").alias("z"), F.pmod(k * 7919, F.lit(1 << 18)).alias("x"), k.alias("y"), F.octet_length("text").cast("bigint").alias("length"))
 
 
-_INDEX = "SELECT source AS pack_id, 20 AS z, (doc_id * 7919) % 1048576 AS x, doc_id AS y, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents"
+_INDEX = "SELECT source AS pack_id, CAST(18 + doc_id % 3 AS INTEGER) AS z, (doc_id * 7919) % 262144 AS x, doc_id AS y, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents"
 _LAYOUT = f"""SELECT pack_id, z, x, y, length, CAST(ceil((292 + 20 * count(*) OVER (PARTITION BY pack_id)) / 4.0) * 4
   + coalesce(sum(ceil(length / 4.0) * 4) OVER (PARTITION BY pack_id ORDER BY z, x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM ({_INDEX})"""
 
@@ -84,7 +84,7 @@ def layout_offsets(spark, d):
 
 
 def zoom_directory(spark, d):
-    return tiles.zoom_directory(tiles.layout(_index(spark, d)))
+    return tiles.zoom_directory(_index(spark, d))
 
 
 def index_bytes(spark, d):
@@ -146,11 +146,15 @@ _PX = "SELECT l_orderkey // 40 AS image, CAST(l_orderkey % 40 AS INTEGER) AS gx,
 def rate_schedule(spark, d):
     """When each event's request may go out, per host: never sooner than the interval after the one before.
 
-    The recurrence t = max(arrival, last + interval) is n * interval plus a running maximum."""
+    The recurrence t = max(arrival, last + interval) is n * interval plus a running maximum. Both go in two levels, by
+    hours, so that a busy host isn't one task: numbers and maxima within an hour, and those of the hours before."""
     e = read(spark, d, "events").select("event_id", F.pmod("user_id", F.lit(64)).alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrive"))
-    w = Window.partitionBy("host").orderBy("arrive", "event_id")
-    e = e.withColumn("n", F.row_number().over(w) - 1)
-    return e.select("event_id", "host", (F.col("n") * 250_000 + F.max(F.col("arrive") - F.col("n") * 250_000).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("send"))
+    e = tiles.numbered(e.withColumn("hour", F.floor(F.col("arrive") / 3_600_000_000)), ["host"], ["arrive", "event_id"], "hour", "n").withColumn("slack", F.col("arrive") - F.col("n") * 250_000)
+    hours = e.groupBy("host", "hour").agg(F.max("slack").alias("most"))
+    hours = hours.select("host", "hour", F.max("most").over(Window.partitionBy("host").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    inside = F.max("slack").over(Window.partitionBy("host", "hour").orderBy("arrive", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumn("inside", inside).join(hours, ["host", "hour"])
+    return e.select("event_id", "host", (F.col("n") * 250_000 + F.greatest("inside", "before")).cast("bigint").alias("send"))
 
 
 QUERIES = {f.__name__: f for f in (tile_assign, tile_density, mercator_inverse, region_tile_counts, bbox_enumerate, layout_offsets, zoom_directory, index_bytes, tile_lookup, run_diff, order_violations, duplicate_keys, shift_search, rate_schedule)}
@@ -164,8 +168,9 @@ SQL = {
     "region_tile_counts": f"SELECT region, CAST(sum(nx * ny) AS BIGINT) AS tiles, max(nx) AS widest, max(z + 1) AS top_level FROM ({_EXTENTS}) GROUP BY region",
     "bbox_enumerate": f"SELECT region, z, unnest(generate_series(x0, x1)) AS x, y FROM (SELECT *, unnest(generate_series(y0, y1)) AS y FROM ({_EXTENTS}))",
     "layout_offsets": _LAYOUT,
-    "zoom_directory": f'SELECT pack_id, z, min("offset") AS first_offset, count(*) AS n FROM ({_LAYOUT}) GROUP BY pack_id, z',
-    "index_bytes": f"""SELECT pack_id, y, '14000000' || {_le("x")} || {_le("y")} || {_le('"offset"')} || {_le("length")} AS entry FROM ({_LAYOUT})""",
+    "zoom_directory": f"""SELECT pack_id, z, CAST(292 + 20 * coalesce(sum(n) OVER (PARTITION BY pack_id ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_offset, n
+      FROM (SELECT pack_id, z, count(*) AS n FROM ({_INDEX}) GROUP BY pack_id, z)""",
+    "index_bytes": f"""SELECT pack_id, y, printf('%02X', z) || '000000' || {_le("x")} || {_le("y")} || {_le('"offset"')} || {_le("length")} AS entry FROM ({_LAYOUT})""",
     "tile_lookup": f"""SELECT k.id, k.x, k.y, n FROM (SELECT id, {_x("lon", "6")} AS x, {_y("lat", "6")} AS y FROM ({_pts("c_custkey", "customer")})) k
       LEFT JOIN (SELECT {_x("lon", "6")} AS x, {_y("lat", "6")} AS y, count(*) AS n FROM ({_pts("o_orderkey", "orders")}) GROUP BY ALL) i ON i.x = k.x AND i.y = k.y""",
     "run_diff": f"""WITH a AS ({_run_sql("o_orderstatus <> 'P'")}), b AS ({_run_sql("o_orderpriority <> '5-LOW'")}),

@@ -20,16 +20,42 @@ MAGIC, MAJOR, MINOR, ZOOMS, HEADER, ENTRY = b"RAWT", 1, 0, 24, 292, 20
 _FRONT = struct.Struct("<4sBBH16s16s16sBBBBHBB4iQII")
 
 
+def name_payload(name: str, language: str = "") -> bytes:
+    """What a NAME section holds: the language tag behind its length in one byte, then the name."""
+    tag = language.encode()
+    if len(tag) > 255:
+        raise ValueError("TagTooLong")
+    return bytes([len(tag)]) + tag + name.encode()
+
+
+def read_name(payload: bytes) -> tuple[str, str]:
+    """(language, name) of a NAME section."""
+    if not payload:
+        raise ValueError("PayloadEmpty")
+    if len(payload) - 1 < payload[0]:
+        raise ValueError("TagExceedsPayload")
+    try:
+        return payload[1 : 1 + payload[0]].decode(), payload[1 + payload[0] :].decode()
+    except UnicodeDecodeError:
+        raise ValueError("InvalidUtf8") from None
+
+
 def build_pack(meta: dict, tiles: list[tuple[int, int, int, int, bytes]], extensions: list[tuple[bytes, bytes]] = ()) -> bytes:
-    """tiles: (z, x, y, compression, body). Keys must be unique; they are put in order."""
-    tiles = sorted(tiles, key=lambda t: t[:3])
-    keys = [t[:3] for t in tiles]
-    if len(set(keys)) < len(keys):
-        raise ValueError("DuplicateTile")
-    if any(not meta["zmin"] <= k[0] <= meta["zmax"] or k[0] >= ZOOMS for k in keys):
-        raise ValueError("ZoomOutOfRange")
-    if not any(meta["uuid"]) or meta["tile_dim"] < 1 or meta["zmax"] < meta["zmin"]:
+    """tiles: (z, x, y, compression, body), checked as they come and then put in order; keys must be unique."""
+    if not any(meta["uuid"]) or any(meta.get("parent", b"")) or meta["tile_dim"] < 1 or meta["zmax"] < meta["zmin"]:
         raise ValueError("InvalidMetadata")
+    keys = set()
+    for z, x, y, _, body in tiles:
+        if not meta["zmin"] <= z <= meta["zmax"]:
+            raise ValueError("ZoomOutOfRange")
+        if z >= ZOOMS:
+            raise ValueError("ZoomTooHigh")
+        if len(body) >= 1 << 32:
+            raise ValueError("TileTooLarge")
+        if (z, x, y) in keys:
+            raise ValueError("DuplicateTile")
+        keys.add((z, x, y))
+    tiles = sorted(tiles, key=lambda t: t[:3])
     pad = lambda b: b + bytes(-len(b) % 4)
     at = HEADER + ENTRY * len(tiles)
     at += -at % 4
@@ -45,7 +71,7 @@ def build_pack(meta: dict, tiles: list[tuple[int, int, int, int, bytes]], extens
             raise ValueError("OffsetOverflow")
     ext = b"".join(pad(tag + struct.pack("<I", len(p)) + p) for tag, p in sorted(extensions))
     front = _FRONT.pack(MAGIC, MAJOR, MINOR, 0, meta["uuid"], bytes(16), bytes(16), meta["pixel_format"], 1, 1, 1, meta["tile_dim"], meta["zmin"], meta["zmax"], *meta["bbox"], meta["timestamp"], len(tiles), HEADER)
-    head = front + b"".join(struct.pack("<II", *s) for s in slots) + struct.pack("<I", at if ext else 0)
+    head = front + b"".join(struct.pack("<II", *s) for s in slots) + struct.pack("<I", at)  # extensions start where the bodies end, be there any or not
     data = pad(head + b"".join(index)) + b"".join(bodies) + ext
     return data + struct.pack("<I", zlib.crc32(data))
 
@@ -57,12 +83,12 @@ def open_pack(data: bytes) -> dict:
     if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
         raise ValueError("CrcMismatch")
     f = _FRONT.unpack_from(data)
-    rules = (("BadMagic", f[0] != MAGIC), ("MajorVersion", f[1] != MAJOR), ("PackUuidZero", not any(f[4])), ("ParentNotZero", any(f[6])), ("PixelFormat", f[7] not in (1, 2)), ("Projection", f[8] not in (1, 2)), ("Addressing", f[9] not in (1, 2)), ("Axis", f[10] not in (1, 2)), ("TileDim", f[11] < 1), ("ZoomRange", f[13] < f[12]), ("IndexOffset", f[20] != HEADER))
+    rules = (("BadMagic", f[0] != MAGIC), ("MajorVersion", f[1] != MAJOR), ("PackUuidZero", not any(f[4])), ("ParentNotZero", any(f[6])), ("PixelFormat", f[7] not in (1, 2)), ("Projection", f[8] not in (1, 3)), ("Addressing", f[9] not in (1, 2)), ("Axis", f[10] not in (1, 2)), ("TileDim", f[11] < 1), ("ZoomRange", f[13] < f[12]), ("IndexOffset", f[20] != HEADER))
     for name, bad in rules:
         if bad:
             raise ValueError(name)
     n, end = f[19], len(data) - 4
-    if HEADER + ENTRY * n > end:
+    if HEADER + ENTRY * n > len(data):
         raise ValueError("IndexOutOfBounds")
     entries = [struct.unpack_from("<BBBBIIII", data, HEADER + ENTRY * k) for k in range(n)]
     for e in entries:
@@ -71,7 +97,9 @@ def open_pack(data: bytes) -> dict:
                 raise ValueError(name)
     slots = [struct.unpack_from("<II", data, 96 + 8 * z) for z in range(ZOOMS)]
     at, extensions = struct.unpack_from("<I", data, 288)[0], []
-    while 0 < at < end:
+    if at > end:
+        raise ValueError("ExtensionsOffsetOutOfBounds")
+    while at < end:
         if at + 8 > end:
             raise ValueError("ExtensionTruncated")
         size = struct.unpack_from("<I", data, at + 4)[0]
@@ -94,7 +122,7 @@ def build_packs(tiles: DataFrame, tile_dim: int = 16, most_bytes: int = 64 << 20
         name = f"{t['pack_id'].iat[0]}/{t['part'].iat[0]}"
         meta = {"uuid": struct.pack("<QQ", zlib.crc32(name.encode()), 1), "pixel_format": 1, "tile_dim": tile_dim, "zmin": int(t["z"].min()), "zmax": int(t["z"].max()), "bbox": (-180_000_000, -85_000_000, 180_000_000, 85_000_000), "timestamp": 0}
         rows = [(int(z), int(x), int(y), int(c), bytes(b)) for z, x, y, c, b in zip(t["z"], t["x"], t["y"], t["compression"], t["body"], strict=True)]
-        return pd.DataFrame({"pack_id": t["pack_id"][:1], "part": t["part"][:1], "pack": [build_pack(meta, rows, [(b"NAME", name.encode())])]})
+        return pd.DataFrame({"pack_id": t["pack_id"][:1], "part": t["part"][:1], "pack": [build_pack(meta, rows, [(b"NAME", name_payload(name))])]})
 
     kind = tiles.schema["pack_id"].dataType.simpleString()
     return dealt.groupBy("pack_id", "part").applyInPandas(run, f"pack_id {kind}, part int, pack binary")

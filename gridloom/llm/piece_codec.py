@@ -27,6 +27,8 @@ from gridloom.llm.common import factorized, pieces_of, read, spread
 from gridloom.llm.pieces import LONG, MARK, MODEL, Vocabulary, by_length, edges_along
 
 _CHUNK = re.compile(" +[^ ]*")
+#: Characters of texts that a task solves at once, which bounds its memory.
+MOST_CHARS = 1_500_000
 
 
 def chunks_of(text: str) -> list[str]:
@@ -50,7 +52,7 @@ def best_cuts(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray
     for places, text in by_length([words[k] for k in short] if long else words):
         places = short[places]
         n, length = text.shape
-        step = max(1, 4_000_000 // (length + 1))
+        step = max(1, 1_000_000 // (length + 1))
         for a in range(0, n, step):
             rows, ids, per = _solve(text[a : a + step], v)
             own = places[a : a + step]
@@ -160,7 +162,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", model:
         v = shared.value
         for batch in batches:
             texts, keys, was = batch.column(1).to_pylist(), batch.column(0), batch.column(1)
-            for a, b in pieces_of([x or "" for x in texts]):
+            for a, b in pieces_of([x or "" for x in texts], MOST_CHARS):
                 own = texts[a:b]
                 flat, per = encoded_batch([x or "" for x in own], v)
                 ends = np.concatenate(([0], np.cumsum(per))).astype(np.int32)

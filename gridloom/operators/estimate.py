@@ -47,6 +47,30 @@ def learned_rate(builds: DataFrame, group: str, order: str, value: str, counts:
     return s.select(group, F.round(F.greatest(F.lit(floor), F.col("s") + F.lit(start) * F.pow(F.lit(0.5), "n")), 6).alias("rate"))
 
 
+def _tenths(n: Column, unit: int) -> Column:
+    """n units with one decimal, by whole numbers; halves go up."""
+    t = F.floor((n * 20 + unit) / (2 * unit))
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def human_bytes(n: Column) -> Column:
-    f = lambda v, unit: F.concat(F.round(v, 1).cast("string"), F.lit(f" {unit}"))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < MIB, f(n / 1024, "KiB")).when(n < 1 << 30, f(n / MIB, "MiB")).otherwise(f(n / (1 << 30), "GiB"))
+    """Whole KB; MB with a decimal below ten; GB with one."""
+    whole = lambda unit, name: F.concat(F.floor((n * 2 + unit) / (2 * unit)).cast("string"), F.lit(name))
+    return (
+        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < MIB, whole(1024, " KB")).when(n < 10 * MIB, F.concat(_tenths(n, MIB), F.lit(" MB")))
+        .when(n < 1 << 30, whole(MIB, " MB")).otherwise(F.concat(_tenths(n, 1 << 30), F.lit(" GB")))
+    )
+
+
+def human_duration(s: Column) -> Column:
+    """Seconds below 90, minutes below an hour, else hours with one decimal; halves go up."""
+    up = lambda v: F.floor(v + 0.5).cast("bigint").cast("string")
+    hours = F.floor(s / 360 + 0.5).cast("bigint")
+    return F.when(s < 1, "<1 s").when(s < 90, F.concat(up(s), F.lit(" s"))).when(s < 3600, F.concat(up(s / 60), F.lit(" min"))).otherwise(F.concat(F.floor(hours / 10).cast("string"), F.lit("."), (hours % 10).cast("string"), F.lit(" h")))
+
+
+def reason(verdict: Column, block: Column) -> Column:
+    """What to tell of a verdict: why it is refused or heavy, and that small blocks make it slow."""
+    base = F.when(verdict == "empty", "choose an area").when(verdict == "refuse_total", "too much memory at once").when(verdict == "refuse_column", "too tall").when(verdict == "refuse_pack", "pack too large").when(verdict == "heavy", "large build").otherwise("")
+    slow = F.when(~verdict.startswith("refuse") & (verdict != "empty") & (block < BLOCKS[0]), F.concat(F.lit("blocks of "), block.cast("string"))).otherwise("")
+    return F.array_join(F.filter(F.array(base, slow), lambda x: x != ""), "; ")

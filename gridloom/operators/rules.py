@@ -42,7 +42,7 @@ def index_issues(index: DataFrame, group: str, blob_start: str, end: str, rows:
 
 
 def directory_mismatches(declared: DataFrame, entries: DataFrame, group: str) -> DataFrame:
-    """Zooms whose declared count isn't the count of entries."""
-    real = entries.groupBy(group, "z").agg(F.count("*").alias("real"))
-    j = declared.join(real, [group, "z"], "full").withColumns({"n": F.coalesce("n", F.lit(0)), "real": F.coalesce("real", F.lit(0))})
-    return j.where("n <> real")
+    """(group, z, rule) of zooms whose declared count (n) or first offset isn't that of the entries; a zoom without tiles has 0 for both."""
+    both = declared.select(group, "z", F.col("n").alias("_n"), F.col("first_offset").alias("_at")).join(entries, [group, "z"], "full").na.fill(0, ["_n", "_at", "n", "first_offset"])
+    found = F.array_compact(F.array(F.when(F.col("_n") != F.col("n"), F.lit("count")), F.when(F.col("_at") != F.col("first_offset"), F.lit("offset"))))
+    return both.select(group, "z", F.explode(found).alias("rule"))

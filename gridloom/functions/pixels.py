@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Channel thresholds of the two-bit code, and eight palette slots in order (name, r, g, b).
 THRESHOLDS = (42, 127, 212)
@@ -40,9 +43,28 @@ def nearest_slot(r: Column, g: Column, b: Column) -> Column:
 
 
 def palette_issue(slots: Column) -> Column:
-    """Why an array of struct(r, g, b, code) is no palette, or null: empty, a code that isn't opaque, or a colour twice."""
-    colours = F.transform(slots, lambda s: F.struct(s["r"], s["g"], s["b"]))
-    return F.when(F.size(slots) == 0, "empty").when(F.exists(slots, lambda s: s["code"] < 192), "not_opaque").when(F.size(F.array_distinct(colours)) < F.size(slots), "duplicate_colour")
+    """struct(issue, first, second): why an array of struct(r, g, b, code) is no palette: empty, a code that isn't opaque (at first), or the first two slots of one colour. A code may stand twice."""
+    at = F.transform(slots, lambda s, i: F.struct(i.alias("i"), F.struct(s["r"], s["g"], s["b"]).alias("c"), s["code"].alias("code")))
+    clear = F.get(F.filter(at, lambda s: s["code"] < 192), F.lit(0))["i"]
+    # For each slot the first earlier one of its colour; the pair with the smallest first slot, then second.
+    twin = lambda s: F.get(F.filter(at, lambda o: (o["i"] < s["i"]) & (o["c"] == s["c"])), F.lit(0))["i"]
+    pairs = F.filter(F.transform(at, lambda s: F.struct(twin(s).alias("a"), s["i"].alias("b"))), lambda p: p["a"].isNotNull())
+    pair = F.array_min(pairs)
+    issue = F.when(F.size(slots) == 0, "empty").when(clear.isNotNull(), "not_opaque").when(pair.isNotNull(), "duplicate_colour")
+    return F.struct(issue.alias("issue"), F.when(issue == "not_opaque", clear).when(issue == "duplicate_colour", pair["a"]).alias("first"), F.when(issue == "duplicate_colour", pair["b"]).alias("second"))
+
+
+@F.pandas_udf(T.StructType([T.StructField("codes", T.BinaryType()), T.StructField("issue", T.StringType())]))
+def quantised(body: pd.Series) -> pd.DataFrame:
+    """RGB888 bytes as two-bit codes, a byte a pixel; bytes that are no whole number of pixels are an issue."""
+    out = []
+    for x in body:
+        if x is None or len(x) % 3:
+            out.append((None, None if x is None else "length"))
+            continue
+        q = np.digitize(np.frombuffer(x, np.uint8).reshape(-1, 3), np.array(THRESHOLDS) + 1).astype(np.uint8)
+        out.append(((192 | q[:, 2] << 4 | q[:, 1] << 2 | q[:, 0]).astype(np.uint8).tobytes(), None))
+    return pd.DataFrame(out, columns=["codes", "issue"])
 
 
 def linear(v: Column) -> Column:

@@ -190,7 +190,22 @@ def rle_lengths(spark, d):
     return g.groupBy("image").agg(F.sum("k").alias("raw"), F.sum(F.col("coded") + F.col("plain") + F.ceil(F.col("plain") / 128)).cast("bigint").alias("rle"))
 
 
-QUERIES = {f.__name__: f for f in (panel_colours, panel_nearest, panel_slots, preview_bytes, panel_thresholds, contrast_matrix, pair_statistics, lightness_bands, neutral_ramp, primary_shares, separable_subset, top_codes, shift_histogram, pixel_diff, opacity_check, rle_lengths)}
+def palette_checks(spark, d):
+    """Suppliers' palettes of four slots: what is wrong with each, and where."""
+    k = F.col("s_suppkey")
+    slot = lambda i: F.struct(((k * (i + 3)) % 5 * 60).alias("r"), (k % (i + 2) * 50).alias("g"), F.lit(0).alias("b"), F.when((k % 9 == 0) & (i == 2), 60).otherwise(192 + k % 64).alias("code"))
+    slots = F.when(k % 13 == 0, F.slice(F.array(slot(0)), 1, 0)).otherwise(F.array(*map(slot, range(4))))
+    return read(spark, d, "supplier").select("s_suppkey", pixels.palette_issue(slots).alias("p")).select("s_suppkey", "p.*")
+
+
+def quantised_bodies(spark, d):
+    """Whole documents as RGB pixels in two-bit codes; a body that is no whole number of pixels is told apart."""
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    q = read(spark, d, "documents").select("doc_id", F.octet_length(body).alias("n"), pixels.quantised(body).alias("q"))
+    return q.select("doc_id", F.when(F.col("q.issue").isNull(), F.floor(F.col("n") / 3)).alias("pixels"), F.sha2("q.codes", 256).alias("sha256"), "q.issue")
+
+
+QUERIES = {f.__name__: f for f in (panel_colours, panel_nearest, panel_slots, preview_bytes, panel_thresholds, contrast_matrix, pair_statistics, lightness_bands, neutral_ramp, primary_shares, separable_subset, top_codes, shift_histogram, pixel_diff, opacity_check, rle_lengths, palette_checks, quantised_bodies)}
 
 
 def _n(v) -> str:
@@ -294,3 +309,13 @@ SQL = {
 #: The Lab values of pair_distance, by the other difference.
 _SRGB_LAB = pixel_queries.SQL["pair_distance"].split("SELECT p.code AS c1")[0]
 SQL["ciede2000_pairs"] = _SRGB_LAB + f"SELECT c1, c2, round(de, 4) AS de FROM ({ciede_sql('SELECT p.code AS c1, q.code AS c2, p.l AS l1, p.a AS a1, p.b AS b1, q.l AS l2, q.a AS a2, q.b AS b2 FROM l p JOIN l q ON p.code < q.code', 'c1, c2')})"
+_SLOT = "{{'c': CAST((s_suppkey * ({i} + 3)) % 5 * 60 AS BIGINT) * 65536 + CAST(s_suppkey % ({i} + 2) * 50 AS BIGINT), 'code': CASE WHEN s_suppkey % 9 = 0 AND {i} = 2 THEN 60 ELSE 192 + s_suppkey % 64 END}}"
+SQL["palette_checks"] = f"""WITH s AS (SELECT s_suppkey, [{', '.join(_SLOT.format(i=i) for i in range(4))}] AS p FROM supplier),
+  j AS (SELECT s_suppkey, i - 1 AS i, k - 1 AS k FROM s, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS k) WHERE i < k AND p[i].c = p[k].c), m AS (SELECT s_suppkey, min(i * 10 + k) AS ik FROM j GROUP BY 1)
+  SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 0 THEN 'empty' WHEN s_suppkey % 9 = 0 THEN 'not_opaque' WHEN ik IS NOT NULL THEN 'duplicate_colour' END AS issue,
+    CAST(CASE WHEN s_suppkey % 13 = 0 THEN NULL WHEN s_suppkey % 9 = 0 THEN 2 ELSE ik // 10 END AS INTEGER) AS first, CAST(CASE WHEN s_suppkey % 13 <> 0 AND s_suppkey % 9 <> 0 THEN ik % 10 END AS INTEGER) AS second FROM s LEFT JOIN m USING (s_suppkey)"""
+_BYTE = "CAST('0x' || substr(h, {}, 2) AS INTEGER)"
+_Q2 = lambda v: f"(CASE WHEN {v} <= 42 THEN 0 WHEN {v} <= 127 THEN 1 WHEN {v} <= 212 THEN 2 ELSE 3 END)"
+SQL["quantised_bodies"] = f"""WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  q AS (SELECT doc_id, length(h) // 2 AS n, list_transform(range(0, CASE WHEN length(h) % 6 = 0 THEN length(h) // 6 ELSE 0 END), lambda i: printf('%02X', 192 + {_Q2(_BYTE.format('6 * i + 5'))} * 16 + {_Q2(_BYTE.format('6 * i + 3'))} * 4 + {_Q2(_BYTE.format('6 * i + 1'))})) AS c FROM b)
+  SELECT doc_id, CASE WHEN n % 3 = 0 THEN n // 3 END AS pixels, CASE WHEN n % 3 = 0 THEN sha256(from_hex(array_to_string(c, ''))) END AS sha256, CASE WHEN n % 3 <> 0 THEN 'length' END AS issue FROM q"""

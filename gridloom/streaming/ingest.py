@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,3 +49,19 @@ def request_schedule(stream: DataFrame, interval_us: int, group: str = "host") -
 def tile_counts(stream: DataFrame, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Tiles arriving by event-time window and zoom."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", window), "z").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "z", "n")
+
+
+def running_checksum(stream: DataFrame, group: str = "pack_id") -> DataFrame:
+    """(pack_id, seq, tiles, bytes, crc): CRC-32 of all bodies of the group so far in the order of seq, after each row; what is kept between batches is three numbers."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tiles, size, crc = state.get if state.exists else (0, 0, 0)
+        for t in frames:
+            rows = []
+            for seq, body in sorted(zip(t["seq"], t["body"], strict=True)):
+                tiles, size, crc = tiles + 1, size + len(body), zlib.crc32(body, crc)
+                rows.append((key[0], seq, tiles, size, crc))
+            yield pd.DataFrame(rows, columns=[group, "seq", "tiles", "bytes", "crc"])
+        state.update((tiles, size, crc))
+
+    return stream.groupBy(group).applyInPandasWithState(run, f"{group} string, seq long, tiles long, bytes long, crc long", "tiles long, bytes long, crc long", "append", GroupStateTimeout.NoTimeout)

@@ -1,7 +1,5 @@
 """Packs, layouts, estimates and streams."""
 
-import hashlib
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,5 +61,92 @@ def test_ordered_ingest_stream(spark, tmp_path):
     assert sorted((r["pack_id"], r["x"], r["accepted"]) for r in spark.table("ingested").collect()) == [("a", 0, False), ("a", 0, True), ("a", 1, True), ("b", 0, True)]
 
 
-def test_sha_of_tiles_is_stable():
-    assert hashlib.sha256(body(4, 0, 0)).hexdigest() == hashlib.sha256(body(4, 0, 0)).hexdigest() and len(body(4, 1, 2)) == 16
+#: The first tiles' digests of the published grid, keyed by (z, x, y).
+GRID = {
+    (4, 0, 0): "8d2e0504c8152c1cc7b139739a757ed391f7d72bfda2f086d08ecbece55b566d", (4, 0, 1): "0bc2ca5e09aac9c2abbe6c5496b8e77b81e3b06bda780a17abb2128d1347a72b",
+    (4, 0, 2): "132da46724bb358663fa913ffd5db2bba7d3c3b727d27cf2a94470b475c3657b", (4, 0, 3): "fa9446cafc91d3829d0169d3d80d96de1b902f78193a058fd95f5e7e05adea5f",
+}
+
+
+def test_published_digests_through_a_pack(spark):
+    data = packs.build_pack(META, [(4, x, y, 0, body(4, x, y)) for y in range(5) for x in range(5)])
+    rows = packs.read_packs(spark.createDataFrame([("g", data)], "pack_id string, pack binary"), ("pack_id",)).select("z", "x", "y", F.sha2("body", 256).alias("h")).collect()
+    got = {(r["z"], r["x"], r["y"]): r["h"] for r in rows}
+    assert len(got) == 25 and {k: got[k] for k in GRID} == GRID
+
+
+def test_zooms_and_extensions_of_a_pack():
+    pixel = bytes([0xC3, 0xCC, 0xF0, 0xFF])
+    meta = META | {"tile_dim": 2, "zmax": 1}
+    data = packs.build_pack(meta, [(0, 0, 0, 0, pixel)] + [(1, x, y, 0, pixel) for y in range(2) for x in range(2)])
+    p = packs.open_pack(data)
+    assert p["slots"][:3] == [(292, 1), (312, 4), (0, 0)] and not p["extensions"]
+    # Without extensions their offset is still where the bodies end.
+    assert int.from_bytes(data[288:292], "little") == len(data) - 4 == 292 + 5 * 24
+    odd = bytearray(data)
+    odd[288:292] = len(data).to_bytes(4, "little")
+    odd[-4:] = packs.zlib.crc32(bytes(odd[:-4])).to_bytes(4, "little")
+    with pytest.raises(ValueError, match="ExtensionsOffsetOutOfBounds"):
+        packs.open_pack(bytes(odd))
+    for bad, what in (([(3, 0, 0, 0, b"")], "ZoomOutOfRange"), ([(0, 0, 0, 0, b""), (0, 0, 0, 0, b"")], "DuplicateTile")):
+        with pytest.raises(ValueError, match=what):
+            packs.build_pack(meta, bad)
+    with pytest.raises(ValueError, match="InvalidMetadata"):
+        packs.build_pack(meta | {"parent": b"\1" * 16}, [])
+    assert packs.read_name(packs.name_payload("Θ", "el")) == ("el", "Θ")
+    for payload, what in ((b"", "PayloadEmpty"), (b"\5ab", "TagExceedsPayload"), (b"\1\xff", "InvalidUtf8")):
+        with pytest.raises(ValueError, match=what):
+            packs.read_name(payload)
+
+
+def _streamed(spark, tmp_path, rows, schema, make, name):
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).collect()
+
+
+def test_request_schedule_stream(spark, tmp_path):
+    rows = [[("h", 1, 0), ("h", 2, 10), ("g", 3, 5)], [("h", 4, 300), ("h", 5, 1000)]]
+    got = {r["seq"]: r["send_us"] for r in _streamed(spark, tmp_path, rows, "host string, seq long, arrive_us long", lambda s: ingest.request_schedule(s, 250), "sent")}
+    assert got == {1: 0, 2: 250, 3: 5, 4: 500, 5: 1000}
+
+
+def test_running_checksum_stream(spark, tmp_path):
+    import zlib
+
+    rows = [[("a", 1, b"one"), ("b", 3, b"x"), ("a", 2, b"two")], [("a", 4, b"three")]]
+    got = {(r["pack_id"], r["seq"]): (r["tiles"], r["bytes"], r["crc"]) for r in _streamed(spark, tmp_path, rows, "pack_id string, seq long, body binary", ingest.running_checksum, "checked")}
+    assert got == {("a", 1): (1, 3, zlib.crc32(b"one")), ("a", 2): (2, 6, zlib.crc32(b"onetwo")), ("a", 4): (3, 11, zlib.crc32(b"onetwothree")), ("b", 3): (1, 1, zlib.crc32(b"x"))}
+
+
+def test_windowed_counts(spark):
+    import datetime as dt
+
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    rows = spark.createDataFrame([(t(1), 3), (t(9), 3), (t(11), 3), (t(11), 4)], "ts timestamp, z int")
+    assert sorted((r["z"], r["n"]) for r in ingest.tile_counts(rows).collect()) == [(3, 1), (3, 2), (4, 1)]
+
+
+def test_measurements(spark, tmp_path):
+    import json
+
+    from gridloom.sources.measurements import read_measurements
+
+    rows = [{"level": 13, "strategy": "block", "tiles": 16, "rleBytes": 5}, {"pass": 1, "label": "a", "passNetwork": {"h": {"requests": 2, "bytes": 9}, "g": {"requests": 1, "bytes": 1}}}, {"level": 14, "tiles": 42}]
+    (tmp_path / "out.json").write_text(json.dumps(rows, indent=1))
+    runs, nets = read_measurements(spark, str(tmp_path / "out.json"))
+    assert sorted((r["level"], r["tiles"]) for r in runs.collect()) == [(13, 16), (14, 42)]
+    assert sorted(tuple(r) for r in nets.collect()) == [(1, "a", "g", 1, 1), (1, "a", "h", 2, 9)]
+
+
+def test_index_rules_across_spans(spark):
+    from gridloom.operators import rules
+
+    rows = [("p", k, 1, k - 3 if k in (4, 7) else k, 0, 0, 300 + 4 * k, 4, 300, 900) for k in range(12)]
+    df = spark.createDataFrame(rows, "g string, seq long, z int, x long, y long, flags int, offset long, length long, s long, e long")
+    for span in (1, 2, 5, 100):
+        assert sorted((r["seq"], r["rule"]) for r in rules.index_issues(df, "g", "s", "e", rows=span).collect()) == [(4, "order"), (7, "order")]

@@ -150,9 +150,10 @@ def zoom_layers(spark, d):
 
 
 def axis_majority(spark, d):
-    """A pack's axis: that of most tiles, xyz on a tie; and the rows of the others' first tile turned over (extension)."""
+    """A pack's axis: that of its source with most tiles, xyz on a tie; and a row of each source, turned over where its own axis is the other (extension)."""
     s = _sources(spark, d)
-    own = s.groupBy("pack").agg(F.when(F.sum(F.when(F.col("axis") == "tms", F.col("tiles")).otherwise(-F.col("tiles"))) > 0, "tms").otherwise("xyz").alias("chosen"))
+    most = lambda a: F.coalesce(F.max(F.when(F.col("axis") == a, F.col("tiles"))), F.lit(-1))
+    own = s.groupBy("pack").agg(F.when(most("tms") > most("xyz"), "tms").otherwise("xyz").alias("chosen"))
     j = s.join(own, "pack")  # a row a pack
     y = F.when(F.col("axis") == F.col("chosen"), F.col("tiles") % 2).otherwise(geo.flip_row(F.col("tiles") % 2, F.lit(3)))
     return j.select("pack", "layer", "chosen", y.cast("bigint").alias("y"))
@@ -177,7 +178,36 @@ def style_layers(spark, d):
     return f.select(F.explode(F.array_compact(F.array(*rows, rest))).alias("l")).groupBy("l.place", "l.layer", "l.colour").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (source_router, synthetic_tiles, auth_parts, freshness, odd_dates, host_rates, tile_fractions, corner_boxes, dim_texts, region_sizes, planet_archive, human_durations, learned_sizes, run_rates, zoom_layers, axis_majority, source_conflicts, style_layers)}
+def region_algebra(spark, d):
+    """Tiles at zoom 10 of each nation's box, with those of the next nation's box added and taken away (extension): counts of the union, the overlap and the rest."""
+    t = tiles.enumerate_tiles(tiles.extents(_regions(spark, d), 10, 10)).select("region", "x", "y")
+    other = t.select((F.col("region") - 1).alias("region"), "x", "y")
+    both = t.withColumn("own", F.lit(1)).unionByName(other.withColumn("own", F.lit(0))).groupBy("region", "x", "y").agg(F.max("own").alias("a"), F.min("own").alias("b"))
+    return both.groupBy("region").agg(F.count("*").alias("either"), F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("both"), F.count_if(F.col("b") == 1).alias("only_own"))
+
+
+def corner_affine(spark, d):
+    """Parts as images pinned by their four corners: the six coefficients from pixels to degrees by least squares, which for the corners of a rectangle is a closed form (extension)."""
+    k = F.col("p_partkey")
+    w, h = (64 + F.col("p_size")).cast("double"), (32 + k % 50).cast("double")
+    lon = [(k % 300 - 150).cast("double") + v for v in (F.lit(0.0), F.lit(2.0), F.lit(2.0) + (k % 7) / 10.0, F.lit(0.0) - (k % 3) / 10.0)]
+    lat = [(k % 100 - 50).cast("double") - v for v in (F.lit(0.0), (k % 4) / 10.0, F.lit(1.5), F.lit(1.5) + (k % 5) / 10.0)]
+    # Corners from the north west, clockwise: an edge's slope is the mean of the two sides that run along it.
+    along = lambda v: ((v[1] - v[0]) + (v[2] - v[3])) / (2 * w)
+    down = lambda v: ((v[3] - v[0]) + (v[2] - v[1])) / (2 * h)
+    start = lambda v: (v[0] + v[1] + v[2] + v[3]) / 4 - along(v) * w / 2 - down(v) * h / 2
+    return read(spark, d, "part").select("p_partkey", *((F.round(f(v), 9) + 0.0).alias(f"{name}_{axis}") for axis, v in (("lon", lon), ("lat", lat)) for name, f in (("start", start), ("along", along), ("down", down))))
+
+
+def build_settings(spark, d):
+    """Customers' builds: flags over a file's settings, flags that a file forbids, and styles given to sources that aren't drawn (extension): what holds, by issue."""
+    k = F.col("c_custkey")
+    c = read(spark, d, "customer").select((k % 3 == 0).alias("file"), F.when(k % 4 == 0, k % 20).alias("zoom_flag"), F.when(k % 3 == 0, F.lit(9)).alias("zoom_file"), (k % 5 == 0).alias("source_flag"), (k % 7 == 0).alias("style"), F.get(F.array(*map(F.lit, ("url", "pbf", "style", "mbtiles"))), (k % 4).cast("int")).alias("kind"))
+    issue = F.when(F.col("file") & F.col("source_flag"), "conflict").when(F.col("style") & ~F.col("kind").isin("pbf", "style"), "style_on_pixels")
+    return c.groupBy(issue.alias("issue"), F.coalesce("zoom_flag", "zoom_file", F.lit(12)).alias("zoom")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (source_router, synthetic_tiles, auth_parts, freshness, odd_dates, host_rates, tile_fractions, corner_boxes, dim_texts, region_sizes, planet_archive, human_durations, learned_sizes, run_rates, zoom_layers, axis_majority, source_conflicts, style_layers, region_algebra, corner_affine, build_settings)}
 
 
 def _points(key: str, table: str) -> str:
@@ -221,7 +251,7 @@ SQL = {
     "run_rates": """SELECT event_type AS pass, user_id % 5 AS level, CAST(sum(event_id % 50 + 1) AS BIGINT) AS tiles, round(CASE WHEN sum(value) > 0 THEN sum(event_id % 50 + 1) / (sum(value) / 1000) END, 4) AS tiles_a_second, round(sum(event_id % 900) * 100.0::DOUBLE / (sum(event_id % 50 + 1) * 1024), 6) AS percent
       FROM events GROUP BY GROUPING SETS ((event_type, user_id % 5), (event_type))""",
     "zoom_layers": f"SELECT pack, z, count(*) AS sources, max(layer) AS top, CAST(sum(tiles) AS BIGINT) AS tiles FROM (SELECT *, unnest(generate_series(zmin, zmax)) AS z FROM ({_SRC})) GROUP BY pack, z",
-    "axis_majority": f"""WITH s AS ({_SRC}), m AS (SELECT pack, CASE WHEN sum(CASE WHEN axis = 'tms' THEN tiles ELSE -tiles END) > 0 THEN 'tms' ELSE 'xyz' END AS chosen FROM s GROUP BY pack)
+    "axis_majority": f"""WITH s AS ({_SRC}), m AS (SELECT pack, CASE WHEN coalesce(max(tiles) FILTER (axis = 'tms'), -1) > coalesce(max(tiles) FILTER (axis = 'xyz'), -1) THEN 'tms' ELSE 'xyz' END AS chosen FROM s GROUP BY pack)
       SELECT pack, layer, chosen, CASE WHEN axis = chosen THEN tiles % 2 ELSE 7 - tiles % 2 END AS y FROM s JOIN m USING (pack)""",
     "source_conflicts": f"""WITH s AS ({_SRC}), t AS (SELECT pack, count(*) AS n FROM (SELECT pack FROM s GROUP BY pack, kind, identity, zmin, zmax HAVING count(*) > 1) GROUP BY pack)
       SELECT pack, sha256(coalesce(string_agg(notice, chr(10) ORDER BY layer), '')) AS notice_sha256, coalesce(any_value(t.n), 0) AS duplicates FROM s LEFT JOIN t USING (pack) GROUP BY pack""",
@@ -234,3 +264,12 @@ _WHY = "CASE verdict WHEN 'empty' THEN 'choose an area' WHEN 'refuse_total' THEN
 SQL["human_durations"] = f"""SELECT region, {_SIZE} AS size, CASE WHEN seconds < 1 THEN '<1 s' WHEN seconds < 90 THEN CAST(floor(seconds + 0.5) AS BIGINT) || ' s' WHEN seconds < 3600 THEN CAST(floor(seconds / 60 + 0.5) AS BIGINT) || ' min'
   ELSE (CAST(floor(seconds / 360 + 0.5) AS BIGINT) // 10) || '.' || (CAST(floor(seconds / 360 + 0.5) AS BIGINT) % 10) || ' h' END AS time, verdict,
   concat_ws('; ', {_WHY}, CASE WHEN verdict IN ('ok', 'heavy') AND block_n < 16 THEN 'blocks of ' || block_n END) AS reason FROM ({policy_queries.SQL["estimate_plan"]})"""
+SQL["region_algebra"] = f"""WITH t AS (SELECT region, unnest(generate_series(x0, x1)) AS x, y FROM (SELECT *, unnest(generate_series(y0, y1)) AS y FROM ({_EXTENTS}) WHERE z = 10)), o AS (SELECT region - 1 AS region, x, y FROM t),
+  j AS (SELECT coalesce(t.region, o.region) AS region, t.x AS tx, o.x AS ox FROM t FULL JOIN o ON t.region = o.region AND t.x = o.x AND t.y = o.y)
+  SELECT region, count(*) AS either, count(*) FILTER (tx IS NOT NULL AND ox IS NOT NULL) AS both, count(*) FILTER (ox IS NULL) AS only_own FROM j GROUP BY region"""
+SQL["corner_affine"] = """WITH c AS (SELECT p_partkey, CAST(64 + p_size AS DOUBLE) AS w, CAST(32 + p_partkey % 50 AS DOUBLE) AS h, CAST(p_partkey % 300 - 150 AS DOUBLE) AS x, CAST(p_partkey % 100 - 50 AS DOUBLE) AS y, p_partkey AS k FROM part),
+  v AS (SELECT *, x AS x0, x + 2 AS x1, x + (2.0::DOUBLE + k % 7 / 10.0::DOUBLE) AS x2, x + (0.0::DOUBLE - k % 3 / 10.0::DOUBLE) AS x3, y AS y0, y - k % 4 / 10.0::DOUBLE AS y1, y - 1.5::DOUBLE AS y2, y - (1.5::DOUBLE + k % 5 / 10.0::DOUBLE) AS y3 FROM c),
+  s AS (SELECT *, ((x1 - x0) + (x2 - x3)) / (2 * w) AS ax, ((x3 - x0) + (x2 - x1)) / (2 * h) AS dx, ((y1 - y0) + (y2 - y3)) / (2 * w) AS ay, ((y3 - y0) + (y2 - y1)) / (2 * h) AS dy FROM v)
+  SELECT p_partkey, round((x0 + x1 + x2 + x3) / 4 - ax * w / 2 - dx * h / 2, 9) + 0 AS start_lon, round(ax, 9) + 0 AS along_lon, round(dx, 9) + 0 AS down_lon, round((y0 + y1 + y2 + y3) / 4 - ay * w / 2 - dy * h / 2, 9) + 0 AS start_lat, round(ay, 9) + 0 AS along_lat, round(dy, 9) + 0 AS down_lat FROM s"""
+SQL["build_settings"] = """SELECT CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 = 0 THEN 'conflict' WHEN c_custkey % 7 = 0 AND c_custkey % 4 NOT IN (1, 2) THEN 'style_on_pixels' END AS issue,
+  CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 20 WHEN c_custkey % 3 = 0 THEN 9 ELSE 12 END AS zoom, count(*) AS n FROM customer GROUP BY ALL"""

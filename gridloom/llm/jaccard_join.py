@@ -240,13 +240,14 @@ def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFra
     pre = pre.join(small(copied), "c", "left").where("_tag is null or (doc_id <=> _id and tag = _tag)").select("c", "n", "pre")
     pre = stored(_one_row(pre, repeats), "class-prefixes")
     rows = pre.select("c", "n", F.posexplode("pre").alias("i", "t"))
-    met = stored(rows.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("t", "k"), "met")
-    groups = stored(rows.join(small(met), "t").select("t", "c", "n", "i", "k"), "prefix-groups")
+    # A class has a shingle once, so two rows are two classes. Tables by shingle grow with the corpus: these joins are shuffles at every size.
+    met = stored(rows.groupBy("t").agg(F.count("*").alias("k")).where("k > 1"), "met")
+    groups = stored(rows.join(met, "t").select("t", "c", "n", "i", "k"), "prefix-groups")
     # Copies of a text are nearer to it than to each other, so the class whose shingles have most company is the one to hold others against.
     central = stored(groups.groupBy("c").agg((F.sum("k") / (F.max("n") / 4.0 + 1)).alias("company")), "company")
     led = groups.drop("k").join(small(central), "c")
     centre = stored(led.groupBy("t").agg(F.max(F.struct("company", "c", "n", "i")).alias("lo")), "centres")
-    starred = led.join(small(centre), "t")
+    starred = led.join(centre, "t")
     first = starred.where("c <> lo.c").select(F.col("lo.c").alias("a"), F.col("c").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"), F.col("lo.i").alias("ia"), F.col("i").alias("ib"))
     # Each class against the one of the groups' centres that it meets most; round two sees to all other pairs.
     first = _pairs(first).groupBy("b", "nb").agg(F.max_by(F.struct("a", "na"), F.struct("met", F.negative("a"))).alias("x"))

@@ -150,3 +150,26 @@ def test_index_rules_across_spans(spark):
     df = spark.createDataFrame(rows, "g string, seq long, z int, x long, y long, flags int, offset long, length long, s long, e long")
     for span in (1, 2, 5, 100):
         assert sorted((r["seq"], r["rule"]) for r in rules.index_issues(df, "g", "s", "e", rows=span).collect()) == [(4, "order"), (7, "order")]
+
+
+def test_image_files(spark, tmp_path):
+    from gridloom.functions import png
+    from gridloom.sources.images import image_files
+
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(2, 2, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    colours = [0xFF0000, 0x00FF00, 0x0000FF, 0xFFFFFF]
+    for k, c in enumerate(colours):
+        image.setRGB(k % 2, k // 2, c)
+    for kind in ("png", "jpg"):
+        jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(tmp_path / f"colours.{kind}")))
+    clear = jvm.java.awt.image.BufferedImage(1, 1, jvm.java.awt.image.BufferedImage.TYPE_INT_ARGB)
+    clear.setRGB(0, 0, 0x01102030)
+    jvm.javax.imageio.ImageIO.write(clear, "png", jvm.java.io.File(str(tmp_path / "clear.png")))
+    (tmp_path / "grey.png").write_bytes(png.write_grey(b"abcd", 2))
+    (tmp_path / "none.png").write_bytes(b"no image")
+    got = {r["path"].rsplit("/", 1)[1]: (r["width"], r["height"], r["rgb888"] and bytes(r["rgb888"]), r["error"]) for r in image_files(spark, str(tmp_path)).collect()}
+    rgb = b"".join(c.to_bytes(3, "big") for c in colours)
+    assert got["colours.png"] == (2, 2, rgb, None) and got["grey.png"] == (2, 2, b"aaabbbcccddd", None)
+    assert got["clear.png"] == (1, 1, b"\x10\x20\x30", None) and got["none.png"] == (None, None, None, "DecodeFailed")
+    assert got["colours.jpg"][:2] == (2, 2) and len(got["colours.jpg"][2]) == 12

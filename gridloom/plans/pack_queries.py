@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import codec, identity
-from gridloom.operators import rules, tiles
+from gridloom.operators import digests, rules, tiles
 from gridloom.plans.pixel_queries import _uuid
 from gridloom.plans.tile_queries import _INDEX, _LAYOUT, _index, _le, read
 
@@ -137,7 +137,18 @@ def name_sections(spark, d):
     return n.select("s_suppkey", F.hex(cut).alias("payload"), identity.read_name(cut).alias("r")).select("s_suppkey", "payload", "r.language", "r.name", "r.issue")
 
 
-QUERIES = {f.__name__: f for f in (header_bytes, inspect_lines, directory_check, extension_bounds, length_offenders, tile_gates, builder_gates, decoded_gates, descriptor_uuids, descriptor_rules, uuid_texts, name_sections)}
+def body_checksums(spark, d):
+    """CRC-32 of each pack's bodies as they lie behind each other, padding included, from the bodies' own checksums. DuckDB has no CRC-32; tests hold it against zlib."""
+    placed = tiles.layout(_index(spark, d))
+    end = placed.groupBy("pack_id").agg(F.max(F.col("offset") + tiles.align4(F.col("length"))).cast("bigint").alias("end"))
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    padded = F.rpad(body, tiles.align4(F.octet_length(body)).cast("int"), F.lit(b"\0"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("y"), F.crc32(padded).alias("crc"))
+    parts = placed.join(end, "pack_id").select("pack_id", "y", (F.col("end") - F.col("offset") - tiles.align4(F.col("length"))).cast("bigint").alias("after")).join(docs, "y")
+    return digests.joined_crc32(parts, "pack_id", "crc", "after").join(end, "pack_id").select("pack_id", "end", "crc")
+
+
+QUERIES = {f.__name__: f for f in (header_bytes, inspect_lines, directory_check, extension_bounds, length_offenders, tile_gates, builder_gates, decoded_gates, descriptor_uuids, descriptor_rules, uuid_texts, name_sections, body_checksums)}
 
 _END = "max(\"offset\" + (length + 3) // 4 * 4)"
 _PACKS = f"SELECT pack_id, count(*) AS n, min(z) AS zmin, max(z) AS zmax, CAST({_END} AS BIGINT) AS fin, {_uuid('pack_id')} AS uuid FROM ({_LAYOUT}) GROUP BY pack_id"

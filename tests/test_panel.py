@@ -80,3 +80,42 @@ def test_names(spark):
     assert {r["k"]: (r["r"]["issue"], r["r"]["language"], r["r"]["name"]) for r in rows} == {k: c[1:] for k, c in enumerate(cases)}
     made = spark.range(1).select(identity.name_payload(F.lit("el-GR"), F.lit("Αθήνα")).alias("a"), identity.name_payload(F.lit("x" * 256), F.lit("n")).alias("b")).first()
     assert bytes(made["a"]) == b"\x05el-GR" + "Αθήνα".encode() and made["b"] is None
+
+
+def test_joined_checksums(spark):
+    import random
+    import zlib
+
+    from gridloom.operators import digests
+
+    rnd = random.Random(4)
+    rows, want = [], {}
+    for g in ("a", "b", None):
+        parts = [rnd.randbytes(rnd.choice([0, 1, 3, 4, 1000, 70_000])) for _ in range(25)]
+        after = sum(map(len, parts))
+        want[g] = zlib.crc32(b"".join(parts))
+        for p in parts:
+            after -= len(p)
+            rows.append((g, zlib.crc32(p), after))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, c long, n long").repartition(5)
+    assert {r["g"]: r["crc"] for r in digests.joined_crc32(df, "g", "c", "n").collect()} == want
+    assert digests.joined_crc32(df.where("false"), "g", "c", "n").count() == 0
+
+
+def test_body_checksums_query(spark):
+    import os
+    import zlib
+    from collections import defaultdict
+
+    from gridloom.plans import pack_queries
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    tiles = defaultdict(list)
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        body = (r["text"] or "").encode()
+        tiles[r["source"]].append((18 + r["doc_id"] % 3, r["doc_id"] * 7919 % (1 << 18), r["doc_id"], body + bytes(-len(body) % 4)))
+    want = {s: zlib.crc32(b"".join(t[3] for t in sorted(ts, key=lambda t: t[:3]))) for s, ts in tiles.items()}
+    assert {r["pack_id"]: r["crc"] for r in pack_queries.body_checksums(spark, d).collect()} == want

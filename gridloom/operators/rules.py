@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.tiles import with_group
+
 
 def header_rules(strict: bool) -> list[tuple[str, str, Column]]:
     """(rule, severity, fails) in the order in which a reader checks them; strict gives the second validator's: narrower values, boxes, and minor versions as warnings."""
@@ -35,7 +37,7 @@ def index_issues(index: DataFrame, group: str, blob_start: str, end: str, rows:
     index = index.withColumn("_span", F.floor(F.col("seq") / rows))
     last = index.groupBy(group, "_span").agg(F.max_by(key, F.col("seq")).alias("_last"))
     last = last.select(group, "_span", F.lag("_last").over(Window.partitionBy(group).orderBy("_span")).alias("_edge"))
-    index = index.withColumn("_before", F.lag(key).over(Window.partitionBy(group, "_span").orderBy("seq"))).join(last, [group, "_span"])
+    index = with_group(index.withColumn("_before", F.lag(key).over(Window.partitionBy(group, "_span").orderBy("seq"))), last, [group, "_span"])
     rules = {"order": F.coalesce("_before", "_edge") >= key, "flags": F.col("flags") != 0, "bounds": (F.col("offset") < F.col(blob_start)) | (F.col("offset") + F.col("length") > F.col(end)), "alignment": F.col("offset") % 4 != 0}
     found = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))
     return index.withColumn("rule", F.explode(found)).select(group, "seq", "rule")

@@ -58,6 +58,15 @@ def align4(n):
     return F.ceil(n / 4) * 4
 
 
+def with_group(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with right's other columns; a null key is a group like any other."""
+    right = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return left.join(right, same).drop(*(f"_of_{k}" for k in keys))
+
+
 def running_offsets(df: DataFrame, group: list[str], order: list[str], bucket: str, size: str, into: str) -> DataFrame:
     """Sum of `size` over all rows before each within its group, in two levels.
 
@@ -67,7 +76,7 @@ def running_offsets(df: DataFrame, group: list[str], order: list[str], bucket: s
     totals = df.groupBy(*group, bucket).agg(F.sum(size).alias("_sum"))
     outer = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*group, bucket, F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_before"))
-    return df.withColumn("_in", F.coalesce(F.sum(size).over(inner), F.lit(0))).join(totals, [*group, bucket]).withColumn(into, F.col("_in") + F.col("_before")).drop("_in", "_before")
+    return with_group(df.withColumn("_in", F.coalesce(F.sum(size).over(inner), F.lit(0))), totals, [*group, bucket]).withColumn(into, F.col("_in") + F.col("_before")).drop("_in", "_before")
 
 
 def layout(index: DataFrame, parts: int = 4096) -> DataFrame:
@@ -78,7 +87,7 @@ def layout(index: DataFrame, parts: int = 4096) -> DataFrame:
     placed = running_offsets(placed, ["pack_id"], ["z", "x", "y"], "_part", "_size", "_at")
     n = index.groupBy("pack_id").agg(F.count("*").alias("_n"))
     start = align4(HEADER_BYTES + ENTRY_BYTES * F.col("_n"))
-    return placed.join(n, "pack_id").withColumn("offset", (start + F.col("_at")).cast("bigint")).drop("_size", "_part", "_at", "_n")
+    return with_group(placed, n, ["pack_id"]).withColumn("offset", (start + F.col("_at")).cast("bigint")).drop("_size", "_part", "_at", "_n")
 
 
 def zoom_directory(index: DataFrame) -> DataFrame:
@@ -106,10 +115,24 @@ def numbered(df: DataFrame, group: list[str], order: list[str], bucket: str, int
     return running_offsets(df.withColumn("_one", F.lit(1)), group, order, bucket, "_one", into).drop("_one")
 
 
-def order_violations(df: DataFrame, group: list[str], seq: str, key: list[str]) -> DataFrame:
-    """Rows whose key isn't above the one before in their group."""
-    before = F.lag(F.struct(*key)).over(Window.partitionBy(*group).orderBy(seq))
-    return df.withColumn("_before", before).where(F.col("_before") >= F.struct(*key)).drop("_before")
+def maxima_before(df: DataFrame, group: list[str], seq: str, value: str, into: str, span: int = 1 << 16) -> DataFrame:
+    """df with the greatest `value` of all rows before each in its group, by the whole number `seq`: within spans of it, and over the spans before, so a group of any size is split."""
+    d = df.withColumn("_span", F.floor(F.col(seq) / span))
+    tops = d.groupBy(*group, "_span").agg(F.max(value).alias("_top"))
+    before = Window.unboundedPreceding, -1
+    tops = tops.select(*group, "_span", F.max("_top").over(Window.partitionBy(*group).orderBy("_span").rowsBetween(*before)).alias("_earlier"))
+    inside = F.max(value).over(Window.partitionBy(*group, "_span").orderBy(seq).rowsBetween(*before))
+    return with_group(d.withColumn("_inside", inside), tops, [*group, "_span"]).withColumn(into, F.greatest("_inside", "_earlier")).drop("_span", "_inside", "_earlier")
+
+
+def order_violations(df: DataFrame, group: list[str], seq: str, key: list[str], span: int = 1 << 16) -> DataFrame:
+    """Rows whose key isn't above the one before in their group, by the whole number `seq`: within spans of it, and at a span's first row against the last of the span before."""
+    k = F.struct(*key)
+    d = df.withColumn("_span", F.floor(F.col(seq) / span))
+    edges = d.groupBy(*group, "_span").agg(F.max_by(k, F.col(seq)).alias("_last"))
+    edges = edges.select(*group, "_span", F.lag("_last").over(Window.partitionBy(*group).orderBy("_span")).alias("_edge"))
+    before = F.lag(k).over(Window.partitionBy(*group, "_span").orderBy(seq))
+    return with_group(d.withColumn("_before", before), edges, [*group, "_span"]).where(F.coalesce("_before", "_edge") >= k).drop("_before", "_edge", "_span")
 
 
 def shift_search(a: DataFrame, b: DataFrame, image: str, reach: int = 2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import codec, identity
@@ -18,7 +18,7 @@ def _packs(spark, d) -> DataFrame:
     placed = tiles.layout(_index(spark, d))
     p = placed.groupBy("pack_id").agg(F.count("*").alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.max(F.col("offset") + tiles.align4(F.col("length"))).cast("bigint").alias("end"))
     zooms = tiles.zoom_directory(placed).groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("z", "first_offset", "n"))).alias("zooms"))
-    return p.join(zooms, "pack_id").withColumn("uuid", codec.uuid5_hex(F.col("pack_id")))
+    return tiles.with_group(p, zooms, ["pack_id"]).withColumn("uuid", codec.uuid5_hex(F.col("pack_id")))
 
 
 def header_bytes(spark, d):
@@ -83,8 +83,8 @@ def builder_gates(spark, d):
     t = read(spark, d, "orders").select("o_custkey", k.alias("seq"), (2 + k % 5).alias("z"), (k * 7 % 64).alias("x"), (768 + F.when(k % 31 == 0, 1).otherwise(0)).alias("bytes"))
     early = F.when(F.col("bytes") != 768, "length").when(F.col("z") > 5, "zoom")
     t = t.withColumns({"early": early, "key": F.when(early.isNull(), F.col("z") * 64 + F.col("x"))})
-    before = F.max("key").over(Window.partitionBy("o_custkey").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("said", F.coalesce("early", F.when(F.col("key") <= before, "out_of_order"), F.lit("ok")))
+    t = tiles.maxima_before(t, ["o_custkey"], "seq", "key", "before")
+    t = t.withColumn("said", F.coalesce("early", F.when(F.col("key") <= F.col("before"), "out_of_order"), F.lit("ok")))
     return t.groupBy("said").agg(F.count("*").alias("n"))
 
 
@@ -144,8 +144,8 @@ def body_checksums(spark, d):
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     padded = F.rpad(body, tiles.align4(F.octet_length(body)).cast("int"), F.lit(b"\0"))
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("y"), F.crc32(padded).alias("crc"))
-    parts = placed.join(end, "pack_id").select("pack_id", "y", (F.col("end") - F.col("offset") - tiles.align4(F.col("length"))).cast("bigint").alias("after")).join(docs, "y")
-    return digests.joined_crc32(parts, "pack_id", "crc", "after").join(end, "pack_id").select("pack_id", "end", "crc")
+    parts = tiles.with_group(placed, end, ["pack_id"]).select("pack_id", "y", (F.col("end") - F.col("offset") - tiles.align4(F.col("length"))).cast("bigint").alias("after")).join(docs, "y")
+    return tiles.with_group(digests.joined_crc32(parts, "pack_id", "crc", "after"), end, ["pack_id"]).select("pack_id", "end", "crc")
 
 
 QUERIES = {f.__name__: f for f in (header_bytes, inspect_lines, directory_check, extension_bounds, length_offenders, tile_gates, builder_gates, decoded_gates, descriptor_uuids, descriptor_rules, uuid_texts, name_sections, body_checksums)}

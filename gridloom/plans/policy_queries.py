@@ -72,7 +72,7 @@ def index_report(spark, d):
     """The documents' index, entries numbered by doc_id, which breaks the key order; some have flags, an odd offset, or an end behind the extensions."""
     t = tiles.layout(_index(spark, d))
     n = t.groupBy("pack_id").agg(F.count("*").alias("n"), F.max(F.col("offset") + tiles.align4(F.col("length"))).cast("bigint").alias("end"))
-    t = t.join(n, "pack_id").withColumns({"seq": F.col("y"), "flags": (F.pmod("y", F.lit(50)) == 7).cast("int"), "start": tiles.align4(292 + 20 * F.col("n"))})
+    t = tiles.with_group(t, n, ["pack_id"]).withColumns({"seq": F.col("y"), "flags": (F.pmod("y", F.lit(50)) == 7).cast("int"), "start": tiles.align4(292 + 20 * F.col("n"))})
     shift = F.when(F.pmod("y", F.lit(40)) == 3, 2).when(F.pmod("y", F.lit(60)) == 9, F.col("end") - F.col("offset") - F.col("length") + 4).when(F.pmod("y", F.lit(70)) == 1, -F.col("offset")).otherwise(0)
     return rules.index_issues(t.withColumn("offset", F.col("offset") + shift), "pack_id", "start", "end").groupBy("pack_id", "rule").agg(F.count("*").alias("n"))
 
@@ -102,12 +102,12 @@ def upper_medians(spark, d):
     e = read(spark, d, "events").select("event_type", "value").where("value is not null")
     s = e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("worst"), F.min("value").alias("best"))
     width = F.greatest(F.col("worst") - F.col("best"), F.lit(1e-300)) / BUCKETS
-    e = e.join(s, "event_type").withColumn("bucket", F.floor((F.col("worst") - F.col("value")) / width))
+    e = tiles.with_group(e, s, ["event_type"]).withColumn("bucket", F.floor((F.col("worst") - F.col("value")) / width))
     c = e.groupBy("event_type", "bucket").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy("event_type").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     c = c.withColumns({"place": F.floor(F.col("n") / 2) + 1 - before}).where("place between 1 and k").select("event_type", "bucket", "place")
-    m = e.join(c, ["event_type", "bucket"]).withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value")))).where("r = place")
-    return s.join(m.select("event_type", F.col("value").alias("middle")), "event_type").select("event_type", "n", "middle", "worst", "best")
+    m = tiles.with_group(e, c, ["event_type", "bucket"]).withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value")))).where("r = place")
+    return tiles.with_group(s, m.select("event_type", F.col("value").alias("middle")), ["event_type"]).select("event_type", "n", "middle", "worst", "best")
 
 
 def archive_cost(spark, d):

@@ -81,7 +81,7 @@ def progress_eta(spark, d):
     """Milliseconds still to go after each of a user's events, at the pace since the first one; null until 500 ms have gone by. Numbers go by days, so a busy user isn't one task."""
     e = read(spark, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
     of = e.groupBy("user_id").agg(F.count("*").alias("n"), F.min("t").alias("t0"))
-    e = tiles.numbered(e.withColumn("day", F.floor(F.col("t") / 86_400_000)), ["user_id"], ["t", "event_id"], "day", "done").join(of, "user_id").withColumn("gone", F.col("t") - F.col("t0"))
+    e = tiles.with_group(tiles.numbered(e.withColumn("day", F.floor(F.col("t") / 86_400_000)), ["user_id"], ["t", "event_id"], "day", "done"), of, ["user_id"]).withColumn("gone", F.col("t") - F.col("t0"))
     return e.select("event_id", "user_id", F.when((F.col("gone") >= 500) & (F.col("done") > 0), F.floor(F.col("gone") * (F.col("n") - 1 - F.col("done")) / F.col("done"))).cast("bigint").alias("eta_ms"))
 
 

@@ -153,7 +153,7 @@ def rate_schedule(spark, d):
     hours = e.groupBy("host", "hour").agg(F.max("slack").alias("most"))
     hours = hours.select("host", "hour", F.max("most").over(Window.partitionBy("host").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     inside = F.max("slack").over(Window.partitionBy("host", "hour").orderBy("arrive", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    e = e.withColumn("inside", inside).join(hours, ["host", "hour"])
+    e = tiles.with_group(e.withColumn("inside", inside), hours, ["host", "hour"])
     return e.select("event_id", "host", (F.col("n") * 250_000 + F.greatest("inside", "before")).cast("bigint").alias("send"))
 
 

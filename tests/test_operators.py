@@ -38,7 +38,7 @@ def test_packs_in_spark(spark, tmp_path):
 
 
 def test_layout_is_the_plain_prefix_sum(spark):
-    rows = [("p", 9, (k * 37) % 512, k, k % 11) for k in range(200)]
+    rows = [(None, 9, (k * 37) % 512, k, k % 11) for k in range(200)]  # a null pack is a pack
     got = {(r["x"], r["y"]): r["offset"] for r in tiles.layout(spark.createDataFrame(rows, "pack_id string, z int, x long, y long, length long")).collect()}
     at = 292 + 20 * len(rows)
     at += -at % 4
@@ -173,3 +173,19 @@ def test_image_files(spark, tmp_path):
     assert got["colours.png"] == (2, 2, rgb, None) and got["grey.png"] == (2, 2, b"aaabbbcccddd", None)
     assert got["clear.png"] == (1, 1, b"\x10\x20\x30", None) and got["none.png"] == (None, None, None, "DecodeFailed")
     assert got["colours.jpg"][:2] == (2, 2) and len(got["colours.jpg"][2]) == 12
+
+
+def test_orders_and_maxima_across_spans(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), k, rnd.randrange(30)) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    bad, most = set(), {}
+    for g in ("a", "b", None):
+        own = [(k, v) for h, k, v in rows if h == g]
+        bad |= {k for (_, a), (k, b) in zip(own, own[1:], strict=False) if a >= b}
+        most |= {k: max((v for _, v in own[:i]), default=None) for i, (k, _) in enumerate(own)}
+    for span in (1, 7, 1000):
+        assert {r["k"] for r in tiles.order_violations(df, ["g"], "k", ["v"], span).collect()} == bad
+        assert {r["k"]: r["m"] for r in tiles.maxima_before(df, ["g"], "k", "v", "m", span).collect()} == most

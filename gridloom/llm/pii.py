@@ -12,7 +12,9 @@ spans. Documents without the entity keep the term: there it stands beside nobody
 
 Counts cover all documents. A pair can reach the thresholds only if entity and term are each in at
 least `support` documents and in at most n / 2**bits, so pairs are made of these alone; sketches of
-fixed size tell them, and what a sketch lets through beyond that is dropped by exact counts. Entities
+fixed size tell them, and what a sketch lets through beyond that is dropped by exact counts. Entities that stand in the very same documents
+are one class (told by their count and sums of hashes of these documents), and so are terms: what they disclose is the same, so
+a document's pairs are those of its classes, however many addresses and names it lists. Entities
 and terms travel as hashes; counts are summed per task first. Thresholds don't depend on the input's
 size. Null or empty text: no spans. Very long texts are scanned whole, in time that grows with their length. Repeated rows count as documents of their own, and each
 has its spans. Null doc_id: as any other. An empty table gives an empty result. Columns besides doc_id and text are ignored. Offsets are code points, ends exclusive.
@@ -36,6 +38,8 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT, BITS, SHARE, REMOVE, FLUSH = 2, 6.0, 0.5, 0.9, 300_000
 #: Bits of a sketch of hashes, and of one of its chunks.
 SKETCH, CHUNK = 1 << 26, 1 << 18
+#: Disclosing terms of all documents are broadcast up to so many bytes.
+MOST_BYTES = 32 << 20
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: As the pattern without the look-behind: a match takes runs of digits whole, so none starts inside a run.
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -135,78 +139,109 @@ def _longs(values) -> np.ndarray:
     return np.fromiter(values, np.int64)
 
 
+def _placed(documents: DataFrame) -> DataFrame:
+    """(text, place): place tells documents apart; rows alike in doc_id and text share it."""
+    return documents.select("text", F.xxhash64("doc_id", "text").alias("place"))
+
+
+def _mark(place: int) -> int:
+    """Two numbers of 30 bits, so far apart that sums of many stay apart."""
+    return (place & 0x3FFFFFFF) | (place >> 30 & 0x3FFFFFFF) << 90
+
+
 def counts(documents: DataFrame) -> DataFrame:
-    """(entity, term, n) of documents: entity only (term null), term only (entity null), and neither: all documents."""
+    """(entity, term, n, s1, s2) of documents: entity only (term null), term only (entity null), and neither: all documents.
+
+    s1 and s2 are sums of the documents' marks, for terms only of documents in which they stand beside an entity: null beyond 64 bits."""
 
     def run(batches):
         seen: Counter = Counter()
+        marks: Counter = Counter()
         total = 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             total += len(texts)
             for a, b in pieces_of([x or "" for x in texts]):
                 words: Counter = Counter()
-                for text in texts[a:b]:
+                for text, place in zip(texts[a:b], places[a:b], strict=True):
                     if not text:
                         continue
                     words.update({w.lower() for w in set(_TERM.findall(text))})
                     if spans := base_spans(text):
-                        seen.update((x, None) for x in _entities(text, spans))
+                        m = _mark(place)
+                        for x in _entities(text, spans):
+                            seen[x, None] += 1
+                            marks[x, None] += m
+                        for w in {t[0] for t in _terms(text, spans)}:
+                            marks[None, _hash(w)] += m
                 for w, n in words.items():
                     seen[None, _hash(w)] += n
                 if len(seen) > FLUSH:
-                    yield _table(seen)
+                    yield _table(seen, marks)
                     seen.clear()
+                    marks.clear()
         seen[None, None] += total
-        yield _table(seen)
+        yield _table(seen, marks)
 
-    return documents.select("text").mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    rows = _placed(documents).mapInArrow(run, "entity long, term long, n long, s1 long, s2 long")
+    return rows.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.try_sum("s1").alias("s1"), F.try_sum("s2").alias("s2"))
 
 
-def _table(seen: Counter) -> pa.RecordBatch:
+def _table(seen: Counter, marks: Counter) -> pa.RecordBatch:
     keys = list(seen)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["entity", "term", "n"])
+    low = (1 << 90) - 1
+    columns = [[k[0] for k in keys], [k[1] for k in keys], list(seen.values()), [marks[k] & low for k in keys], [marks[k] >> 90 for k in keys]]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["entity", "term", "n", "s1", "s2"])
 
 
-def pair_counts(documents: DataFrame, entities: np.ndarray, terms: np.ndarray) -> DataFrame:
-    """(entity, term, n) of documents that hold both, of those in the sketches."""
+def places(documents: DataFrame, entities: np.ndarray, terms: np.ndarray) -> DataFrame:
+    """(place, entity, term, rows): where those of the sketches stand, entities (term null) and terms beside one (entity null), and how many rows the place has."""
     shared = documents.sparkSession.sparkContext.broadcast((entities, terms))
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["place", "entity", "term"])
+
     def run(batches):
         some, few = shared.value
-        seen: Counter = Counter()
+        rows: list[tuple] = []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text or not (spans := base_spans(text)):
                     continue
                 es = _longs(_entities(text, spans))
-                es = es[_held(some, es)]
-                if not len(es):
+                es = es[_held(some, es)].tolist()
+                if not es:
                     continue
                 ts = _longs({_hash(w) for w in {t[0] for t in _terms(text, spans)}})
-                ts = ts[_held(few, ts)].tolist()
-                for e in es.tolist():
-                    seen.update((e, t) for t in ts)
-                    if len(seen) > FLUSH:
-                        yield _table(seen)
-                        seen.clear()
-        yield _table(seen)
+                rows += [(place, e, None) for e in es]
+                rows += [(place, None, t) for t in ts[_held(few, ts)].tolist()]
+                if len(rows) > FLUSH:
+                    yield table(rows)
+                    rows = []
+        yield table(rows)
 
-    return documents.select("text").mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    return _placed(documents).mapInArrow(run, "place long, entity long, term long").groupBy("place", "entity", "term").agg(F.count("*").alias("rows"))
 
 
 def disclosures(documents: DataFrame, support: int = SUPPORT, bits: float = BITS, share: float = SHARE) -> DataFrame:
-    """(entity, term, bits, share) of the pairs from the thresholds on."""
+    """(place, term, share): the terms that from the thresholds on disclose an entity of the place, and the most that they reveal of one."""
     c = stored(counts(documents), "term-counts")
     total = c.where("entity is null and term is null").agg(F.sum("n")).first()[0] or 0
     # n(term, entity) is at most n(term) and n(entity), so beyond these bounds neither can reach the thresholds.
     able = (F.col("n") >= support) & (F.col("n") <= total / 2.0**bits * (1 + 1e-9))
-    t = c.where("entity is null and term is not null").where(able).select("term", F.col("n").alias("nt"))
-    e = c.where("entity is not null and term is null").where(able).select("entity", F.col("n").alias("ne"))
-    pairs = pair_counts(documents, _sketch(e.select(F.col("entity").alias("h"))), _sketch(t.select(F.col("term").alias("h")))).where(f"n >= {support}")
-    pairs = stored(pairs, "pair-counts")
-    j = pairs.join(e, "entity").join(t, "term").select("entity", "term", F.log2(F.col("n") * float(total) / (F.col("nt") * F.col("ne"))).alias("bits"), (F.col("n") / F.col("nt")).alias("share"))
-    return j.where((F.col("bits") >= bits) & (F.col("share") >= share))
+    of_class = F.xxhash64("n", "s1", "s2", F.coalesce("s1", "s2", "entity", "term"))
+    t = c.where("entity is null and term is not null and not (s1 <=> 0L and s2 <=> 0L)").where(able).select("term", of_class.alias("tc"), F.col("n").alias("nt"))
+    e = c.where("entity is not null and term is null").where(able).select("entity", of_class.alias("ec"), F.col("n").alias("ne"))
+    found = stored(places(documents, _sketch(e.select(F.col("entity").alias("h"))), _sketch(t.select(F.col("term").alias("h")))), "places")
+    of_terms = stored(found.where("term is not null").select("place", "term", "rows").join(t, "term"), "places-of-terms")
+    there = lambda d, *names: d.groupBy("place", *names).agg(F.first("rows").alias("rows"))
+    entities = there(found.where("entity is not null").select("place", "entity", "rows").join(e, "entity"), "ec", "ne")
+    both = stored(entities.join(there(of_terms, "tc", "nt").drop("rows"), "place"), "class-pairs")
+    j = both.groupBy("ec", "tc", "ne", "nt").agg(F.sum("rows").alias("n")).where(f"n >= {support}")
+    j = j.select("ec", "tc", F.log2(F.col("n") * float(total) / (F.col("nt") * F.col("ne"))).alias("bits"), (F.col("n") / F.col("nt")).alias("share"))
+    tell = stored(j.where((F.col("bits") >= bits) & (F.col("share") >= share)), "disclosures")
+    told = both.join(tell, ["ec", "tc"]).groupBy("place", "tc").agg(F.max("share").alias("share"))
+    return of_terms.join(told, ["place", "tc"]).select("place", "term", "share")
 
 
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -245,41 +280,12 @@ def spans(documents: DataFrame, **thresholds) -> DataFrame:
                     pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in base], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
                 ], ["doc_id", "text", "base"])
 
-    tell = stored(disclosures(documents, **thresholds), "disclosures")
-    # The sketch holds pairs, so a document gives rows for those of its pairs that disclose and hardly any other.
-    shared = documents.sparkSession.sparkContext.broadcast((_sketch(tell.select(F.col("entity").alias("h"))), _sketch(tell.select(F.col("entity").bitwiseXOR(F.col("term")).alias("h")))))
-
-    def telling(batches):
-        some, both = shared.value
-        for batch in batches:
-            texts, rows = batch.column(2).to_pylist(), []
-            for k, text in enumerate(texts):
-                if not text or not (base := base_spans(text)):
-                    continue
-                es = _longs(_entities(text, base))
-                es = es[_held(some, es)]
-                if not len(es):
-                    continue
-                ts = _longs({_hash(w) for w in {t[0] for t in _terms(text, base)}})
-                for e in es.tolist():
-                    rows += [(k, e, t) for t in ts[_held(both, ts ^ e)].tolist()]
-                if len(rows) > FLUSH or k + 1 == len(texts):
-                    yield _rows(batch, rows)
-                    rows = []
-            yield _rows(batch, rows)
-
-    def _rows(batch, rows):
-        at = pa.array([r[0] for r in rows], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "tag", "entity", "term"])
-
-    key = ["doc_id", "tag"]
-    n = documents.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(telling, f"doc_id {kind}, tag long, entity long, term long")
-    n = n.join(tell, ["entity", "term"]).groupBy(*key, "term").agg(F.max("share").alias("share"))
-    n = n.groupBy(*key).agg(F.collect_list(F.struct("term", "share")).alias("hits"))
+    n = disclosures(documents, **thresholds).groupBy("place").agg(F.collect_list(F.struct("term", "share")).alias("hits"))
     n = stored(n, "term-hits")
-    side = (F.broadcast(n) if n.count() <= 200_000 else n).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "hits")
-    found = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, base {_SPANS}").withColumn("tag", F.xxhash64("text"))
-    j = found.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
+    taken = n.agg(F.sum(F.size("hits") * 16 + 64)).first()[0] or 0
+    side = (F.broadcast(n) if taken <= MOST_BYTES else n).select(F.col("place").alias("_place"), "hits")
+    found = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, base {_SPANS}")
+    j = found.join(side, F.xxhash64("doc_id", "text") == F.col("_place"), "left")
     hit, marked = F.col("hits").isNotNull(), F.pandas_udf(_marked, "array<struct<start:bigint,end:bigint,share:double>>")
     return j.select("doc_id", "text", "base", marked(F.when(hit, F.col("text")), F.when(hit, F.col("base")), F.col("hits")).alias("terms"))
 

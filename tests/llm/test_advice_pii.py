@@ -1,6 +1,7 @@
 """op9 counts an entity against all terms of its documents, and marks each of their occurrences."""
 
 import math
+import time
 from collections import Counter
 
 from gridloom.llm import pii
@@ -68,3 +69,31 @@ def test_long_texts_take_seconds():
     for t in ("7" * 1_000_000, "1.2.3." * 200_000, "a@b.example " * 80_000, "a" * 1_000_000 + "@", "漢字" * 500_000, "+1 (" * 250_000, "x@" + "y" * 1_000_000, "1 2-" * 250_000):
         pii._terms(t, pii.base_spans(t))
     assert time.time() - start < 40
+
+
+def test_pairs_follow_the_text(spark, monkeypatch):
+    """Two documents that list thousands of addresses and thousands of names make one pair of classes, not millions."""
+    n = 20_000
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(5))
+    listed = " ".join(f"u{k}@b.example {name(k)}" for k in range(n))
+    rows = [(k, f"plain words only number{name(900_000 + k)}") for k in range(300)] + [(1000, listed), (1001, listed + " end"), (1002, f"{name(3)} alone")]
+    kept, made = pii.stored, {}
+
+    def watched(df, what):
+        made[what] = kept(df, what)
+        return made[what]
+
+    monkeypatch.setattr(pii, "stored", watched)
+    start = time.time()
+    out = {r["doc_id"]: [(t["start"], t["share"]) for t in r["terms"]] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 1000").collect()}
+    assert time.time() - start < 60
+    assert len(out[1000]) == len(out[1001]) == n and out[1002] == []
+    # The term that stands alone elsewhere too reveals less, and is a class of its own.
+    assert sorted({round(x, 6) for _, x in out[1000]}) == [round(2 / 3, 6), 1.0]
+    assert made["class-pairs"].count() == 4
+
+
+def test_repeated_rows_count_each(spark):
+    rows = [(k, f"plain words only {chr(97 + k % 26)}{chr(97 + k // 26)}x") for k in range(200)] + [(500, "a@b.example Zaphod")] * 3 + [(None, "c@d.example Marvin")] * 2
+    got = pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).where("size(base) > 0").collect()
+    assert sorted((r["doc_id"] or 0, len(r["terms"])) for r in got) == [(0, 1)] * 2 + [(500, 1)] * 3

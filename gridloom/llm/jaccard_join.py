@@ -6,12 +6,14 @@ the prefix property: classes that link share one of the first n // 4 + 1 shingle
 order goes by how crowded a shingle's hash bucket is (counted over all documents in a sketch of
 fixed size), then by a hash, another in each order.
 
-The first order makes candidates, in two rounds so that no group is ever spelled out as all its
-pairs. Round one takes each group's most central class and holds every class against the one of these it
-meets in most groups; what is verified is merged into components. Round two looks only at groups that still hold several
-components, and at pairs across them: it is exact, as all other pairs are already joined. Pairs
-pass the bounds on lengths, positions and prefix shingles shared, then the same count must hold
-under every other order, and only then are whole sets compared.
+The first order makes candidates, in rounds so that no group is ever spelled out as all its
+pairs. A star round takes two classes of each group, its most central and one by a hash, and holds every class against the
+nearest few of all these that it meets; what is verified is merged into components. Further star rounds follow, with others by the hash, as long
+as the pairs still open are many times the rows and a round halves them. The last round looks only at groups that still hold several
+components, and there at pairs of different components of which one isn't the group's largest: it is exact, as all other pairs are already joined. Pairs
+pass the bounds on lengths, positions and differences before they become rows, then on prefix shingles shared, then the same count must hold
+under every other order, and only then are whole sets compared. The bound on differences is by a sketch of fixed size, the parity of
+how many shingles fall in each of 512 buckets: it differs in no more places than the sets do in shingles.
 
 Null, empty or blank text: an empty set, which links with nothing. Fewer words than n: their
 whole sequence is the one shingle. Repeated rows: each is returned. Null doc_id: takes part, but never names a component it shares
@@ -30,6 +32,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import pieces_of, read, small, stored
 
 N, BUCKETS, CHUNK, ORDERS, MOST_CHARS = 5, 1 << 20, 4096, 3, 1_000_000
+#: 64-bit words of a sketch; classes that a star round holds each class against; open pairs a row beyond which star rounds go on, and how often at most.
+WORDS, NEAREST, OPEN, STARS = 8, 4, 8, 6
+SKETCH = [f"q{k}" for k in range(WORDS)]
 #: A bucket's level is how many of these it exceeds: the median count, and so many times its square root and so many more.
 LEVELS = ((1, 1), (2, 2), (3, 4), (4, 8), (6, 16), (12, 64), (24, 256))
 _M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -110,6 +115,11 @@ def prefix(s: np.ndarray, order: int, crowded: np.ndarray) -> np.ndarray:
     return s[np.argsort(rank)]
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of how many of s fall in each bucket, as WORDS longs."""
+    return np.packbits(np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).view(np.int64)
+
+
 def features(documents: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
     """((doc_id, tag, n, c) with tag a hash of the text, how crowded each hash bucket is, from 0 to 7); the second has a fixed size at any size of the input."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -175,8 +185,10 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(edges.select(F.col("a").alias("c"), F.col("b").alias("comp")).union(least.select(F.col("b"), F.col("b"))), "components")
 
 
-_NEAR = "7 * least(na - ia, nb - ib) >= 3 * (na + nb)"
-_LENGTHS = "4 * least(na, nb) >= 3 * greatest(na, nb)"
+_NEAR = "7 * least({x}n - {x}i, {y}n - {y}i) >= 3 * ({x}n + {y}n)"
+_LENGTHS = "4 * least({x}n, {y}n) >= 3 * greatest({x}n, {y}n)"
+#: Sets that link differ in a seventh of their sizes' sum at most, and their sketches in no more.
+_DIFFER = " + ".join(f"bit_count({{x}}{q} ^ {{y}}{q})" for q in SKETCH)
 
 
 def _can_link(met: str, slack: int | str = 0) -> str:
@@ -184,10 +196,23 @@ def _can_link(met: str, slack: int | str = 0) -> str:
     return f"7 * ({met} + {slack} + greatest(na, nb) - (greatest(na, nb) div 4 + 1)) >= 3 * (na + nb)"
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, na, nb) of the pairs of classes of rows (a, b, na, nb, ia, ib), a row for each meeting, that the bounds on lengths, positions and meetings leave."""
-    met = rows.where(_LENGTHS).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"), F.max(F.expr(_NEAR)).alias("near"))
-    return met.where("near and " + _can_link("met"))
+def _close(x: str, y: str) -> str:
+    """Whether the bounds on lengths and differences let the sets with these prefixes of column names link."""
+    return f"{_LENGTHS} and {_DIFFER} <= ({{x}}n + {{y}}n) div 7".format(x=x, y=y)
+
+
+def _star(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b, na, nb): each class b of rows (t, c, n, company, sketch) and the few nearest of the centres of its groups: their most central class, in the first turn, and one by a hash."""
+    about = F.struct("c", "n", *SKETCH)
+    chance = F.max_by(about, F.xxhash64("c", "t", F.lit(turn))).alias("one")
+    centres = rows.groupBy("t").agg(chance, F.max_by(about, F.struct("company", "c")).alias("two") if turn == 0 else F.min_by(about, F.xxhash64("c", "t", F.lit(turn))).alias("two"))
+    centres = stored(centres.select("t", F.explode(F.array("one", "two")).alias("o")).select("t", *(F.col(f"o.{x}").alias(f"o_{x}") for x in ("c", "n", *SKETCH))), "centres")
+    met = rows.withColumnsRenamed({x: f"m_{x}" for x in ("c", "n", *SKETCH)}).join(centres, "t").where("m_c <> o_c").where(_close("m_", "o_"))
+    met = met.select(F.col("m_c").alias("b"), F.col("m_n").alias("nb"), F.struct(F.expr(_DIFFER.format(x="m_", y="o_")).alias("d"), F.col("o_c").alias("a"), F.col("o_n").alias("na")).alias("x"))
+    # A class meets no more centres than two for each shingle of its prefix.
+    near = met.groupBy("b", "nb").agg(F.slice(F.array_sort(F.collect_set("x")), 1, NEAREST).alias("xs"))
+    near = near.select(F.explode("xs").alias("x"), "b", "nb").select("x.a", "b", "x.na", "nb")
+    return near.selectExpr("least(a, b) as a", "greatest(a, b) as b", "if(a < b, na, nb) as na", "if(a < b, nb, na) as nb").distinct()
 
 
 def _met_enough(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -232,45 +257,51 @@ def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFra
                 pre = [prefix(s, 1, shared.value) for s in sets]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in pre]))).astype(np.int32)
                 flat = (np.concatenate(pre) >> np.uint64(16)).astype(np.int64) if pre else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([_named(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "tag", "c", "n", "pre"])
+                parity = np.array([sketch(s) for s in sets], np.int64).reshape(-1, WORDS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([_named(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(parity[:, k]) for k in range(WORDS))], ["doc_id", "tag", "c", "n", "pre", *SKETCH])
 
     # 48 bits of a shingle will do here: chance meetings are only candidates.
-    pre = docs.mapInArrow(prefixes, f"doc_id {kind}, tag long, c long, n int, pre array<bigint>")
+    pre = docs.mapInArrow(prefixes, f"doc_id {kind}, tag long, c long, n int, pre array<bigint>, " + ", ".join(f"{q} long" for q in SKETCH))
     copied = stored(reps.where("k > 1").select("c", F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "copied-classes")
-    pre = pre.join(small(copied), "c", "left").where("_tag is null or (doc_id <=> _id and tag = _tag)").select("c", "n", "pre")
+    pre = pre.join(small(copied), "c", "left").where("_tag is null or (doc_id <=> _id and tag = _tag)").select("c", "n", "pre", *SKETCH)
     pre = stored(_one_row(pre, repeats), "class-prefixes")
     rows = pre.select("c", "n", F.posexplode("pre").alias("i", "t"))
     # A class has a shingle once, so two rows are two classes. Tables by shingle grow with the corpus: these joins are shuffles at every size.
     met = stored(rows.groupBy("t").agg(F.count("*").alias("k")).where("k > 1"), "met")
     groups = stored(rows.join(met, "t").select("t", "c", "n", "i", "k"), "prefix-groups")
-    # Copies of a text are nearer to it than to each other, so the class whose shingles have most company is the one to hold others against.
-    central = stored(groups.groupBy("c").agg((F.sum("k") / (F.max("n") / 4.0 + 1)).alias("company")), "company")
-    led = groups.drop("k").join(small(central), "c")
-    centre = stored(led.groupBy("t").agg(F.max(F.struct("company", "c", "n", "i")).alias("lo")), "centres")
-    starred = led.join(centre, "t")
-    first = starred.where("c <> lo.c").select(F.col("lo.c").alias("a"), F.col("c").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"), F.col("lo.i").alias("ia"), F.col("i").alias("ib"))
-    # Each class against the one of the groups' centres that it meets most; round two sees to all other pairs.
-    first = _pairs(first).groupBy("b", "nb").agg(F.max_by(F.struct("a", "na"), F.struct("met", F.negative("a"))).alias("x"))
-    first = stored(first.select("x.a", "b", "x.na", "nb"), "star-pairs")
-    sets = _sets(docs, reps, repeats, first, n, orders, crowded, None)
-    edges = _verified(first, sets, orders)
-    comp = components(edges)
-
-    # Round two: groups with several components, pairs across components.
-    g = groups.select("t", "c", "n", "i").join(small(comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    few = g.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
-    few = stored(few, "open-groups")
-    g = stored(g.join(small(few), "t", "left_semi").distinct(), "open-rows")
-    x, y = g.select("t", *(F.col(k).alias(f"x{k}") for k in ("c", "n", "i", "comp"))), g.select("t", *(F.col(k).alias(f"y{k}") for k in ("c", "n", "i", "comp")))
-    # The first shingle that linked sets share meets the bound on positions, so no other meeting need become a row.
-    pair = x.join(y, "t").where("xcomp < ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and 7 * least(xn - xi, yn - yi) >= 3 * (xn + yn)")
-    pair = pair.select(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b"), F.expr("if(xc < yc, xn, yn)").alias("na"), F.expr("if(xc < yc, yn, xn)").alias("nb")).distinct()
+    # Copies of a text are nearer to it than to each other, so a class whose shingles have most company is one to hold others against.
+    company = groups.groupBy("c").agg((F.sum("k") / (F.max("n") / 4.0 + 1)).alias("company"))
+    about = stored(company.join(pre.select("c", *SKETCH), "c"), "company")
+    groups = groups.select("t", "c", "n", "i")
+    known, comp, sets, before = groups.join(small(about), "c"), None, None, float("inf")
+    for turn in range(STARS):
+        first = stored(_star(known, turn), "star-pairs")
+        sets = _sets(docs, reps, repeats, first, n, orders, crowded, sets)
+        links = _verified(first, sets, orders)
+        if turn and links.isEmpty():
+            break
+        comp = components(links if comp is None else _edges(comp).union(links))
+        # Groups with several components: size, and the largest component.
+        here = known.drop("comp", "major").join(small(comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        parts = here.groupBy("t", "comp").agg(F.count("*").alias("k")).groupBy("t")
+        parts = parts.agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("m")).where("m.k < k")
+        parts = stored(parts.select("t", F.col("m.comp").alias("major"), "k", (F.col("k") - F.col("m.k")).alias("others")), "open-groups")
+        known = stored(here.join(small(parts.select("t", "major")), "t"), "open-rows")
+        rows, pairs = parts.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("others")), F.lit(0))).first()
+        if pairs <= OPEN * rows or 2 * pairs > before:
+            break
+        before = pairs
+
+    # The last round. The first shingle that linked sets share meets the bound on positions, so no other meeting need become a row.
+    x, y = (known.select("t", *(F.col(k).alias(f"{side}{k}") for k in ("c", "n", "i", "comp", "major", *SKETCH))) for side in "xy")
+    across = x.where("xcomp <> xmajor").join(y, "t").where("xcomp < ycomp or ycomp = ymajor").where(_close("x", "y")).where(_NEAR.format(x="x", y="y"))
+    pair = across.selectExpr("least(xc, yc) as a", "greatest(xc, yc) as b", "if(xc < yc, xn, yn) as na", "if(xc < yc, yn, xn) as nb").distinct()
     second = stored(_met_enough(stored(pair, "near-pairs"), groups), "cross-pairs")
     if not second.isEmpty():
         sets = _sets(docs, reps, repeats, second, n, orders, crowded, sets)
         more = _verified(second, sets, orders)
         if not more.isEmpty():
-            comp = components(comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).where("a <> b").union(more))
+            comp = components(_edges(comp).union(more))
 
     whole = F.col("n") > 0
     f = feats.join(small(comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
@@ -279,6 +310,10 @@ def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFra
     return f.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.when(whole, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _edges(comp: DataFrame) -> DataFrame:
+    return comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).where("a <> b")
+
+
 def _sets(docs, reps, repeats, pairs, n, orders, crowded, had) -> DataFrame:
     """(c, s, p2, p3, ...) of the classes in pairs that `had` lacks, and had: the whole sets and their prefixes under the other orders."""
     spark = docs.sparkSession

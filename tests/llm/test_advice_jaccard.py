@@ -1,5 +1,9 @@
 """op1 with copies: one document stands for each class."""
 
+import random
+
+import numpy as np
+
 from gridloom.llm import jaccard_join
 
 BASE = [f"w{k}" for k in range(60)]
@@ -70,3 +74,51 @@ def test_one_of_each_keeps_all_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _tag long, component_id long")
     got = jaccard_join.one_of_each(docs)
     assert got.columns == docs.columns and sorted(r["_id"] for r in got.collect()) == ["a", "d", "d"]
+
+
+def _family(rng, n, words, edits):
+    base = [f"w{k}" for k in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randint(*edits)):
+            own[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def _brute(texts):
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                was, now = max(group[a], group[b]), min(group[a], group[b])
+                group = [now if g == was else g for g in group]
+    return group
+
+
+def test_families_around_the_threshold(spark, monkeypatch):
+    """Near copies of which few pairs link: star rounds go on, and hardly any pair that doesn't link becomes a row of the last round."""
+    rng = random.Random(4)
+    texts = _family(rng, 260, 120, (2, 5)) + _family(rng, 60, 400, (4, 14)) + _family(rng, 40, 30, (0, 2))
+    kept, rows = jaccard_join.stored, {}
+
+    def watched(df, name):
+        out = kept(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", watched)
+    got = dict(_components(spark, list(enumerate(texts))))
+    assert [got[k] for k in range(len(texts))] == _brute(texts)
+    assert len(rows["star-pairs"]) > 1 and sum(rows["near-pairs"]) < 4 * len(texts)
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(1)
+    for n, d in ((1, 1), (40, 3), (500, 90), (3000, 700)):
+        own = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        other = np.concatenate((own[min(d, len(own) - 1) :], rng.integers(0, 2**63, d).astype(np.uint64)))
+        apart = len(np.setxor1d(own, other))
+        assert 0 < np.bitwise_count((jaccard_join.sketch(own) ^ jaccard_join.sketch(other)).view(np.uint64)).sum() <= apart

@@ -1,49 +1,36 @@
-"""Streaming forms: ordered ingestion that rejects late keys, and per-host request schedules."""
+"""Streaming forms: ordered ingestion that rejects late keys, per-host request schedules, running checksums and windowed counts."""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gridloom.streaming.ordered import in_order
 
-def ordered_ingest(stream: DataFrame, group: str = "pack_id") -> DataFrame:
-    """(pack_id, z, x, y, accepted): a tile is accepted if its key is above the group's last accepted one; rows of a batch count in arrival order `seq`."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = tuple(state.get) if state.exists else (-1, -1, -1)
-        for t in frames:
-            t = t.sort_values("seq", kind="stable")
-            good = []
-            for k in zip(t["z"], t["x"], t["y"], strict=True):
-                good.append(tuple(map(int, k)) > last)
-                last = tuple(map(int, k)) if good[-1] else last
-            yield pd.DataFrame({group: key[0], "z": t["z"], "x": t["x"], "y": t["y"], "accepted": good})
-        state.update(last)
+def ordered_ingest(stream: DataFrame, group: str = "pack_id", time: str | None = None, late: str = "0 seconds") -> DataFrame:
+    """(pack_id, z, x, y, accepted): a tile is accepted if its key is above the group's last accepted one, in arrival order `seq`; with `time`, over batches up to `late` late."""
 
-    return stream.groupBy(group).applyInPandasWithState(run, f"{group} string, z int, x long, y long, accepted boolean", "z long, x long, y long", "append", GroupStateTimeout.NoTimeout)
+    def step(last, r):
+        key = (r["z"], r["x"], r["y"])
+        good = None not in key and (last is None or key > tuple(last))
+        return (key if good else last or (-1, -1, -1)), (*key, good)
 
+    kind = stream.schema[group].dataType.simpleString()
+    return in_order(stream, group, ["seq", "z", "x", "y"], ["seq"], "z long, x long, y long", f"{group} {kind}, z int, x long, y long, accepted boolean", step, time, late)
 
-def request_schedule(stream: DataFrame, interval_us: int, group: str = "host") -> DataFrame:
-    """(host, seq, send_us): max(arrival, last + interval) per host, across batches."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for t in frames:
-            t = t.sort_values(["arrive_us", "seq"], kind="stable")
-            out = []
-            for a in t["arrive_us"]:
-                last = int(a) if last is None else max(int(a), last + interval_us)
-                out.append(last)
-            yield pd.DataFrame({group: key[0], "seq": t["seq"], "send_us": out})
-        if last is not None:
-            state.update((last,))
+def request_schedule(stream: DataFrame, interval_us: int, group: str = "host", time: str | None = None, late: str = "0 seconds") -> DataFrame:
+    """(host, seq, send_us): max(arrival, last + interval) per host, in order of arrival and seq, across batches."""
 
-    return stream.groupBy(group).applyInPandasWithState(run, f"{group} string, seq long, send_us long", "last long", "append", GroupStateTimeout.NoTimeout)
+    def step(last, r):
+        at = r["arrive_us"] if last is None else max(r["arrive_us"], last[0] + interval_us)
+        return (at,), (r["seq"], at)
+
+    kind = stream.schema[group].dataType.simpleString()
+    return in_order(stream.where("arrive_us is not null"), group, ["seq", "arrive_us"], ["arrive_us", "seq"], "last long", f"{group} {kind}, seq long, send_us long", step, time, late)
 
 
 def tile_counts(stream: DataFrame, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
@@ -51,17 +38,14 @@ def tile_counts(stream: DataFrame, window: str = "10 minutes", late: str = "30 m
     return stream.withWatermark("ts", late).groupBy(F.window("ts", window), "z").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "z", "n")
 
 
-def running_checksum(stream: DataFrame, group: str = "pack_id") -> DataFrame:
-    """(pack_id, seq, tiles, bytes, crc): CRC-32 of all bodies of the group so far in the order of seq, after each row; what is kept between batches is three numbers."""
+def running_checksum(stream: DataFrame, group: str = "pack_id", time: str | None = None, late: str = "0 seconds") -> DataFrame:
+    """(pack_id, seq, tiles, bytes, crc): CRC-32 of all bodies of the group so far in the order of seq, after each row; a null body counts as no bytes. What is kept between batches is three numbers."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tiles, size, crc = state.get if state.exists else (0, 0, 0)
-        for t in frames:
-            rows = []
-            for seq, body in sorted(zip(t["seq"], t["body"], strict=True)):
-                tiles, size, crc = tiles + 1, size + len(body), zlib.crc32(body, crc)
-                rows.append((key[0], seq, tiles, size, crc))
-            yield pd.DataFrame(rows, columns=[group, "seq", "tiles", "bytes", "crc"])
-        state.update((tiles, size, crc))
+    def step(was, r):
+        tiles, size, crc = was or (0, 0, 0)
+        body = bytes(r["body"] or b"")
+        now = (tiles + 1, size + len(body), zlib.crc32(body, crc))
+        return now, (r["seq"], *now)
 
-    return stream.groupBy(group).applyInPandasWithState(run, f"{group} string, seq long, tiles long, bytes long, crc long", "tiles long, bytes long, crc long", "append", GroupStateTimeout.NoTimeout)
+    kind = stream.schema[group].dataType.simpleString()
+    return in_order(stream, group, ["seq", "body"], ["seq"], "tiles long, bytes long, crc long", f"{group} {kind}, seq long, tiles long, bytes long, crc long", step, time, late)

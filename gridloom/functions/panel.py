@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the panel: chromaticities, typical reflectance and contrast, and XYZ to linear sRGB.
 WHITE_XY = (0.321, 0.347)
@@ -78,11 +80,16 @@ def preview(xyz: list[Column], adapted: bool = True) -> list[Column]:
 
 def nearest(lab: list[Column], codes: list[int] | None = None) -> Column:
     """The nearest code in Lab, ties to the first in the order of red, green and blue levels, or of the given codes."""
-    own = sorted(CODES, key=lambda v: (v & 3, v >> 2 & 3, v >> 4 & 3)) if codes is None else codes
-    at = [CODE_LAB[CODES.index(v)] for v in own]
-    table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("code"), *(F.lit(float(x)).alias(c) for c, x in zip("lab", p, strict=True))) for k, (v, p) in enumerate(zip(own, at, strict=True))))
-    far = lambda p: sum(((x - p[c]) * (x - p[c]) for x, c in zip(lab[1:], "ab", strict=True)), (lab[0] - p["l"]) * (lab[0] - p["l"]))
-    return F.array_min(F.transform(table, lambda p: F.struct(far(p).alias("d"), p["k"].alias("k"), p["code"].alias("code"))))["code"]
+    own = sorted(CODES, key=lambda v: (v & 3, v >> 2 & 3, v >> 4 & 3)) if codes is None else list(codes)
+    at = np.array([CODE_LAB[CODES.index(v)] for v in own], float)
+    named = np.array(own, np.int32)
+
+    @F.pandas_udf(T.IntegerType())
+    def solve(l: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:  # noqa: E741
+        d = [x.to_numpy(float)[:, None] - at[None, :, k] for k, x in enumerate((l, a, b))]
+        return pd.Series(named[(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).argmin(1)])
+
+    return solve(*lab)
 
 
 def dithered(lab: list[Column], x: Column, y: Column) -> list[Column]:

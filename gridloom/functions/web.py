@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html as html_entities
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Month names of HTTP dates, in order.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -88,13 +92,28 @@ SILENT = ("script", "style", "noscript", "svg")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
-def html_text(html: Column) -> Column:
-    """A page's text: silent elements dropped, tags to line ends, entities back, lines trimmed, blank ones gone."""
+def _closed(text: Column, opening: str, closing: str) -> Column:
+    """text without what lies from an opening to the next closing. Only the part up to the last closing is searched, so openings that are never closed cost nothing."""
+    head = F.regexp_extract(text, f"(?is)^.*{closing}", 0)
+    return F.concat(F.regexp_replace(head, f"(?is){opening}.*?{closing}", "\n"), F.substr(text, F.char_length(head) + 1))
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """All entities, named and numeric, as their characters."""
+    return text.map(html_entities.unescape, na_action="ignore")
+
+
+def html_text(html: Column, all_entities: bool = False) -> Column:
+    """A page's text: silent elements dropped, tags to line ends, entities back (those of XML, or all), lines trimmed, blank ones gone. Its time grows with the page, whatever is left open."""
     out = html
     for tag in SILENT:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", "\n")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", "\n")
-    for name, c in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(c))
+        out = _closed(out, rf"<{tag}\b", rf"</{tag}\s*+>")
+    out = _closed(out, "<", ">")
+    if all_entities:
+        out = unescaped(out)
+    else:
+        for name, c in ENTITIES:
+            out = F.replace(out, F.lit(name), F.lit(c))
     lines = F.transform(F.split(out, "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import tiles
+
 #: Fixed values of the cost model: ms a megapixel, ms a render, ms once, packed fraction; MiB limits.
 MS_PER_MPX, MS_PER_RENDER, MS_FIXED, PACKED = 313.0, 210.0, 2500.0, 0.055
 MIB = 1 << 20
@@ -38,11 +40,32 @@ def work_done(levels: DataFrame, group: str, order: str, tiles: str, cost: str,
     return levels.withColumn("_work", part * F.col(cost)).groupBy(group).agg(F.round(F.sum("_work"), 6).alias("work"))
 
 
+def upper_medians(rows: DataFrame, group: str, value: str, accuracy: int = 50_000) -> DataFrame:
+    """(group, n, middle, worst, best): middle is the value at place n // 2 + 1 of the descending order, exact.
+
+    A quantile sketch of each group gives two bounds that the middle can't leave, 4 / accuracy of the rows apart; rows above them are
+    counted, and only the distinct values between them, with their counts, are put in order. So neither an outlier nor a value that many rows hold makes a task
+    large. Null values don't count; a null group is a group."""
+    e = rows.select(F.col(group).alias("_g"), F.col(value).alias("_v")).where("_v is not null")
+    near = [0.5 - 2 / accuracy, 0.5 + 2 / accuracy]
+    s = e.groupBy("_g").agg(F.count("*").alias("n"), F.max("_v").alias("worst"), F.min("_v").alias("best"), F.percentile_approx("_v", near, accuracy).alias("_b"))
+    e = tiles.with_group(e, s.select("_g", "n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")), ["_g"]).where("_v >= _lo")
+    c = e.groupBy("_g", "n", F.when(F.col("_v") <= F.col("_hi"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_k"))  # null: all that is above
+    upto = F.sum("_k").over(Window.partitionBy("_g").orderBy(F.col("_v").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.floor(F.col("n") / 2) + 1
+    m = c.withColumn("_upto", upto).where((F.col("_upto") >= place) & (F.col("_upto") - F.col("_k") < place)).select("_g", F.col("_v").alias("middle"))
+    return tiles.with_group(s, m, ["_g"]).select(F.col("_g").alias(group), "n", "middle", "worst", "best")
+
+
+LAST = 100
+
+
 def learned_rate(builds: DataFrame, group: str, order: str, value: str, counts: Column, start: float = MS_PER_MPX, floor: float = 10.0) -> DataFrame:
     """(group, rate): builds that count, in order, each moving the rate half way to its own.
 
-    The fold is a sum with weights 1/2, 1/4, ... from the last build back."""
-    own = builds.where(counts).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order))))
+    The fold is a sum with weights 1/2, 1/4, ... from the last build back, so what lies LAST builds back weighs less than rounding; Spark keeps
+    no more than these of a group in each task before the shuffle."""
+    own = builds.where(counts).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))).where(F.col("_k") <= LAST)
     s = own.groupBy(group).agg(F.sum(F.col(value) * F.pow(F.lit(0.5), "_k")).alias("s"), F.count("*").alias("n"))
     return s.select(group, F.round(F.greatest(F.lit(floor), F.col("s") + F.lit(start) * F.pow(F.lit(0.5), "n")), 6).alias("rate"))
 

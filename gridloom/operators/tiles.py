@@ -58,13 +58,13 @@ def align4(n):
     return F.ceil(n / 4) * 4
 
 
-def with_group(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def with_group(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left with right's other columns; a null key is a group like any other."""
     right = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    return left.join(right, same).drop(*(f"_of_{k}" for k in keys))
+    return left.join(right, same, how).drop(*(f"_of_{k}" for k in keys))
 
 
 def running_offsets(df: DataFrame, group: list[str], order: list[str], bucket: str, size: str, into: str) -> DataFrame:
@@ -82,8 +82,11 @@ def running_offsets(df: DataFrame, group: list[str], order: list[str], bucket: s
 def layout(index: DataFrame, parts: int = 4096) -> DataFrame:
     """index (pack_id, z, x, y, length) with offset: bodies follow header and index in key order, each on a multiple of 4. Bodies stay out of it.
 
-    A zoom's columns are dealt into `parts` windows, and as many rows of sums meet in a pack's window of each zoom."""
-    placed = index.withColumns({"_size": align4(F.col("length")).cast("bigint"), "_part": F.col("z") * parts + F.floor(F.col("x") * parts / F.pow(F.lit(2.0), "z"))})
+    The box that a pack's tiles of a zoom fill is cut into `parts` windows along its columns, then within a column, so a pack of a small region is
+    spread like one of the world; as many rows of sums meet in a pack's window of each zoom."""
+    box = index.groupBy("pack_id", "z").agg(F.min("x").alias("_x"), F.min("y").alias("_y"), (F.max("y") - F.min("y") + 1).alias("_h"), ((F.max("x") - F.min("x") + 1).cast("double") * (F.max("y") - F.min("y") + 1)).alias("_area"))
+    along = (F.col("x") - F.col("_x")).cast("double") * F.col("_h") + (F.col("y") - F.col("_y"))
+    placed = with_group(index, box, ["pack_id", "z"]).withColumns({"_size": align4(F.col("length")).cast("bigint"), "_part": F.col("z").cast("bigint") * parts + F.floor(along * parts / F.col("_area"))}).drop("_x", "_y", "_h", "_area")
     placed = running_offsets(placed, ["pack_id"], ["z", "x", "y"], "_part", "_size", "_at")
     n = index.groupBy("pack_id").agg(F.count("*").alias("_n"))
     start = align4(HEADER_BYTES + ENTRY_BYTES * F.col("_n"))

@@ -42,13 +42,15 @@ def panel_colours(spark, d):
 
 
 def panel_nearest(spark, d):
-    """Pixels by nearest of the 64 colours in Lab, plain and with ordered dither; each distinct colour and dither place is solved once."""
+    """Pixels by nearest of the 64 colours in Lab, plain and with ordered dither; each distinct colour is solved once, and each colour at a dither place."""
     p = _px(spark, d, F.pmod("l_orderkey", F.lit(4)).cast("int").alias("dx"), F.pmod("l_linenumber", F.lit(4)).cast("int").alias("dy"))
-    c = p.groupBy("r", "g", "b", "dx", "dy").agg(F.count("*").alias("n"))
-    c = c.withColumns(dict(zip("lab", panel.srgb_lab(F.col("r"), F.col("g"), F.col("b")), strict=True)))
     lab = [F.col(k) for k in "lab"]
-    both = F.array(F.struct(F.lit("plain").alias("how"), panel.nearest(lab).alias("code")), F.struct(F.lit("dither").alias("how"), panel.nearest(panel.dithered(lab, F.col("dx"), F.col("dy"))).alias("code")))
-    return c.select("n", F.explode(both).alias("s")).groupBy("s.how", "s.code").agg(F.sum("n").alias("n"))
+    placed = p.groupBy("r", "g", "b", "dx", "dy").agg(F.count("*").alias("n"))
+    colours = placed.groupBy("r", "g", "b").agg(F.collect_list(F.struct("dx", "dy", "n")).alias("places"))  # 16 at most
+    colours = colours.withColumns(dict(zip("lab", panel.srgb_lab(F.col("r"), F.col("g"), F.col("b")), strict=True))).select("l", "a", "b", "places", panel.nearest(lab).alias("plain"))
+    each = colours.select("l", "a", "b", "plain", F.explode("places").alias("p")).select("plain", "p.n", panel.nearest(panel.dithered(lab, F.col("p.dx"), F.col("p.dy"))).alias("dither"))
+    both = F.array(*(F.struct(F.lit(how).alias("how"), F.col(how).alias("code")) for how in ("plain", "dither")))
+    return each.select("n", F.explode(both).alias("s")).groupBy("s.how", "s.code").agg(F.sum("n").alias("n"))
 
 
 SLOT_CODES = sorted({_code(*(0 if v <= 42 else 1 if v <= 127 else 2 if v <= 212 else 3 for v in (r, g, b))) for _, r, g, b in pixels.SLOTS})

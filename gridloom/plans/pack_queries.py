@@ -70,9 +70,8 @@ def tile_gates(spark, d):
     t = read(spark, d, "documents").select("source", k.alias("seq"), (k % 27).cast("int").alias("z"), (k % 50).alias("x"), (k % 4).alias("y"), F.octet_length("text").alias("length"))
     early = F.when((F.col("z") < 2) | (F.col("z") > 25), "zoom_out_of_range").when(F.col("z") >= 24, "zoom_too_high").when(F.col("length") >= 30_000, "tile_too_large")
     t = t.withColumn("early", early)
-    key = ["src", "z", "x", "y"]
-    t = t.withColumn("src", F.coalesce("source", F.lit("")))
-    j = t.join(t.where("early is null").groupBy(*key).agg(F.min("seq").alias("first")), key, "left")
+    key = ["source", "z", "x", "y"]
+    j = tiles.with_group(t, t.where("early is null").groupBy(*key).agg(F.min("seq").alias("first")), key, "left")
     said = F.coalesce("early", F.when(F.col("seq") > F.col("first"), "duplicate"), F.lit("ok"))
     return j.groupBy("source", said.alias("said")).agg(F.count("*").alias("n"))
 

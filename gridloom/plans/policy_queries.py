@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import web
@@ -98,16 +97,8 @@ def run_totals(spark, d):
 
 
 def upper_medians(spark, d):
-    """Count, upper median of the descending order, best and worst value by type. Values are dealt into BUCKETS equal ranges; counts of these show the one that holds the middle, and only its values are put in order."""
-    e = read(spark, d, "events").select("event_type", "value").where("value is not null")
-    s = e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("worst"), F.min("value").alias("best"))
-    width = F.greatest(F.col("worst") - F.col("best"), F.lit(1e-300)) / BUCKETS
-    e = tiles.with_group(e, s, ["event_type"]).withColumn("bucket", F.floor((F.col("worst") - F.col("value")) / width))
-    c = e.groupBy("event_type", "bucket").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy("event_type").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumns({"place": F.floor(F.col("n") / 2) + 1 - before}).where("place between 1 and k").select("event_type", "bucket", "place")
-    m = tiles.with_group(e, c, ["event_type", "bucket"]).withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value")))).where("r = place")
-    return tiles.with_group(s, m.select("event_type", F.col("value").alias("middle")), ["event_type"]).select("event_type", "n", "middle", "worst", "best")
+    """Count, upper median of the descending order, best and worst value by type."""
+    return estimate.upper_medians(read(spark, d, "events"), "event_type", "value")
 
 
 def archive_cost(spark, d):
@@ -118,7 +109,6 @@ def archive_cost(spark, d):
     return e.select("region", bytes_.cast("bigint").alias("bytes"), provider.alias("p")).select("region", "bytes", "p.provider", F.round(F.col("bytes") * F.col("p.cents") / 1e6, 6).alias("cost"))
 
 
-BUCKETS = 4096
 QUERIES = {f.__name__: f for f in (host_policy, url_expand, http_dates, attribution_check, html_text, pack_roundtrip, rule_report, header_first_issue, index_report, estimate_plan, work_done, learned_rates, run_totals, upper_medians, archive_cost)}
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 
 def opened(path: str):
@@ -37,3 +41,16 @@ def listed(path: str) -> list[str]:
 def spans(start: int, stop: int, most: int) -> Iterator[tuple[int, int]]:
     for a in range(start, stop, most):
         yield a, min(stop, a + most)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new local path of this application below spark.checkpoint.dir, which all tasks can write to. Only a local master may do without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root and "://" in root.replace("file://", ""):
+        raise ValueError("these files need a folder that is mounted on every machine")
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = root.replace("file://", "").replace("file:", "") if root else f"{tempfile.gettempdir()}/gridloom-files"
+    folder = f"{base.rstrip('/')}/gridloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    os.makedirs(folder, exist_ok=True)
+    return folder

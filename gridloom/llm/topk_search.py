@@ -10,10 +10,9 @@ floor are compacted away. The floor is the k-th best lower bound so far. It does
 first meet a pilot, about `pilot` candidates that a hash chooses, and every block starts from the
 k-th best score found there, which can't be above the true one. Blocks' winners meet in a window a query.
 
-Vectors null or with null or non-finite components take no part; missing dimensions count as 0.
-Components of any size are exact: a block's products are float64 where 2**53 holds every sum, else 64-bit integers,
-else integers of any length; only a winning score that is itself no 64-bit integer fails, with a
-message. Ties go to the smaller vec_id. A vec_id is one vector: repeated rows are candidates each, and a
+Vectors null or with null or non-finite components take no part, nor do those with a component that scaling takes beyond all doubles; missing dimensions count as 0.
+All other components are exact: a block's products are float64 where 2**53 holds every sum, else 64-bit integers,
+else integers of any length (beyond 1e300 without bounds, as no double holds these); a score that is no 64-bit integer counts as the nearest one. Ties go to the smaller vec_id. A vec_id is one vector: repeated rows are candidates each, and a
 query is asked once (its smallest vector). Null vec_id: a candidate of no one. Empty table: empty result. Other columns are
 ignored, whatever their names.
 """
@@ -28,12 +27,13 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import read, stored
 
 K, EVERY, SCALE, BLOCK_BYTES, PILOT, SLAB, TILE = 5, 50, 256, 16 << 20, 4096, 16, 64
+LARGEST = 2.0**62  # scores from here on may all count alike, so no floor is above
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v) of the vectors that take part; v holds whole numbers as doubles, as floor() to a long would cut large ones."""
     x = F.transform("embedding", lambda c: c.cast("double") * scale)
-    bad = F.exists("embedding", lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
+    bad = F.exists("embedding", lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double") * scale) == float("inf")))
     kept = vectors.where("vec_id is not null and embedding is not null").where(~bad)
     return kept.select("vec_id", F.transform(x, lambda c: F.when(F.abs(c) < 2.0**53, F.floor(c).cast("double")).otherwise(c)).alias("v"))
 
@@ -63,12 +63,14 @@ def block_winners(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: n
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     cuts = range(0, width, slab)
-    most = width * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0))
+    with np.errstate(over="ignore"):
+        most = float(np.float64(width) * np.abs(q).max(initial=0) * np.abs(c).max(initial=0))
     kind = np.float64 if most < 2.0**53 else np.int64 if most < 2.0**62 else object
     # What float64 can be off by when it stands for sums of integers of this size.
     slack = 1e-6 if kind is np.float64 else most * 2.0**-50
+    bounded = most < 1e300
     slabs = [_whole(np.ascontiguousarray(c[:, a : a + slab].T), kind) for a in cuts]
-    q_tails, c_tails = _tails(q, range(slab, width + slab, slab)), _tails(c, range(slab, width + slab, slab))
+    q_tails, c_tails = (_tails(m, range(slab, width + slab, slab)) for m in (q, c)) if bounded else (None, None)
     rows, out = _whole(q, kind), []
     for own in range(len(q)):
         if own % TILE == 0:  # the first slab of many queries at once
@@ -81,19 +83,21 @@ def block_winners(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: n
         for s, a in enumerate(cuts):
             if s:
                 part = part + rows[own, a : a + slab] @ (slabs[s] if alive is None else slabs[s][:, alive])
+            if not bounded:
+                continue
             gain = q_tails[s, own] * (c_tails[s] if alive is None else c_tails[s][alive]) * (1 + 1e-9) + slack
             about = part.astype(np.float64)
-            if len(part) > k:
+            if len(part) > k and floor < LARGEST:
                 floor = max(floor, np.partition(about - gain, len(part) - k)[len(part) - k])
-            stay = about + gain >= floor
+            stay = about + gain >= min(floor, LARGEST)
             if stay.sum() < 0.7 * len(stay):
                 alive = np.flatnonzero(stay) if alive is None else alive[stay]
                 part = part[stay]
         ids = c_ids if alive is None else c_ids[alive]
+        if kind is object:
+            part = np.array([max(min(int(x), 2**63 - 1), -(2**63) + 1) for x in part], object)
         best = sorted(zip((-part).tolist(), ids.tolist(), strict=True))[:k] if kind is object else [(-part[i], ids[i]) for i in np.lexsort((ids, -part))[:k]]
         out += [(int(q_ids[own]), int(i), -int(s)) for s, i in best]
-    if any(abs(s) >= 2**63 for _, _, s in out):
-        raise ValueError("a score is no 64-bit integer")
     return out
 
 

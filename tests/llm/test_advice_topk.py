@@ -54,3 +54,16 @@ def test_floors_lose_nothing(spark):
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, score string, rank int")
     assert _got(topk_search.search(docs, pilot=60, block_bytes=1600)) == _brute(rows)
     assert topk_search.search(docs.where("false")).count() == 0
+
+
+def test_huge_components_and_scores(spark):
+    huge = [(0, [1e306, 1.0, 0.0]), (1, [0.0, 5.0, 1.0]), (2, [0.0, 6.0, 0.0]), (3, [1e300, 9.0, 0.0]), (4, [-1e300, 9.0, 0.0]), (5, [0.0, 4.0, 1e307]), (50, [0.0, 2.0, 0.0])]
+    got = _got(topk_search.search(spark.createDataFrame(huge, "vec_id long, embedding array<double>")))
+    # 256 times 1e306 and 1e307 is no double: these rows take no part.
+    assert got == {50: [(3, 512 * 2304), (4, 512 * 2304), (2, 512 * 1536), (1, 512 * 1280)]}
+    rows = [(0, [2.0**60, 1.0]), (1, [2.0**60, 2.0]), (2, [-(2.0**60), 3.0]), (3, [2.0**61, 0.0]), (4, [0.0, 7.0]), (5, [2.0**500, 0.0])]
+    got = _got(topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    top = 2**63 - 1
+    assert got == {0: [(1, top), (3, top), (5, top), (4, 256 * 7 * 256), (2, -top)]}
+    rows = [(k, [1e200 * (k % 5 - 2), float(k), 3.0]) for k in range(1, 80)] + [(100, [0.0, 2.0, 1.0])]
+    assert _got(topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pilot=20, block_bytes=600))[100] == [(79 - j, 256 * 256 * (2 * (79 - j) + 3)) for j in range(5)]

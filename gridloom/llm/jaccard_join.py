@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import pieces_of, read, small, stored
 
 N, BUCKETS, CHUNK, ORDERS, MOST_CHARS = 5, 1 << 20, 4096, 3, 1_000_000
-#: 64-bit words of a sketch; classes that a star round holds each class against; open pairs a row beyond which star rounds go on, and how often at most.
-WORDS, NEAREST, OPEN, STARS = 8, 4, 8, 6
+#: 64-bit words of a sketch; classes that a star round holds each class against; open pairs a row beyond which star rounds go on (to hold a pair against
+#: the bounds takes about a thousandth of what a row costs in a round), and how often at most.
+WORDS, NEAREST, OPEN, STARS = 8, 4, 1024, 6
 SKETCH = [f"q{k}" for k in range(WORDS)]
 #: A bucket's level is how many of these it exceeds: the median count, and so many times its square root and so many more.
 LEVELS = ((1, 1), (2, 2), (3, 4), (4, 8), (6, 16), (12, 64), (24, 256))

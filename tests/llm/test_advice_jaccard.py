@@ -110,6 +110,7 @@ def test_families_around_the_threshold(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(jaccard_join, "stored", watched)
+    monkeypatch.setattr(jaccard_join, "OPEN", 8)
     got = dict(_components(spark, list(enumerate(texts))))
     assert [got[k] for k in range(len(texts))] == _brute(texts)
     assert len(rows["star-pairs"]) > 1 and sum(rows["near-pairs"]) < 4 * len(texts)

@@ -13,7 +13,7 @@ bits and a clear code when the table is full. Frames take turns in their delays
 spaces are the transparent colour: that changes what is shown, not the samples, so the payload
 comes back whole while a frame's canvas follows from those before it.
 
-Null or empty text: 192 spaces. Very long texts: more frames. Repeated rows: equal values. An empty table: an empty result. Columns
+Null or empty text: 192 spaces. Null keys: as any other; ties don't arise. Very long texts: more frames. Repeated rows: equal values. An empty table: an empty result. Columns
 besides key and text are ignored. Rows never meet, so there is no shuffle.
 """
 

@@ -17,7 +17,7 @@ sums meet in one window.
 
 Null text: size 0, nothing taken. Null source: a source of its own, after all others. Null doc_id: documents like any
 other, told apart and dealt by a hash of their text. Repeated rows are documents of their own; rows alike in doc_id (or, without one, in text)
-share a shard. Very long texts: one document's words may be cut anywhere. An empty table gives an empty result. mix() ignores
+share a shard. Ties: equal quotients go to the source, or shard, that comes first in its order; documents with equal keys stand by doc_id, size and text. Very long texts: one document's words may be cut anywhere. An empty table gives an empty result. mix() ignores
 columns besides doc_id, text and source; mixed() keeps all, whatever their names.
 """
 

@@ -23,10 +23,10 @@ def auth_list(kinds: Column) -> Column:
 
 
 def source_key(s: Column) -> Column:
-    """What sources are ordered by: zooms (a made-up source counts as 0, 0), kind, then the kind's own fields."""
-    made = s["kind"] == "synthetic"
+    """What sources are ordered by: zooms (a made-up source and an image count as 0, 0), kind, then the kind's own fields."""
+    made, flat = s["kind"] == "synthetic", s["kind"].isin("synthetic", "image")
     own = F.when(made, F.lpad(_text(s["fixture_version"]), 10, "0")).when(s["kind"] == "url", s["template"]).otherwise(s["content_hash"])
-    return F.struct(F.when(made, 0).otherwise(s["zmin"]).alias("a"), F.when(made, 0).otherwise(s["zmax"]).alias("b"), s["kind"].alias("k"), own.alias("o"), F.when(s["kind"] == "url", auth_list(s["auth"])).alias("u"))
+    return F.struct(F.when(flat, 0).otherwise(s["zmin"]).alias("a"), F.when(flat, 0).otherwise(s["zmax"]).alias("b"), s["kind"].alias("k"), own.alias("o"), F.when(s["kind"] == "url", auth_list(s["auth"])).alias("u"))
 
 
 def source_json(s: Column) -> Column:
@@ -35,7 +35,8 @@ def source_json(s: Column) -> Column:
     file = F.concat(F.lit('{"content_hash":"'), s["content_hash"], F.lit('","kind":"'), s["kind"], F.lit('"'), zooms)
     url = F.concat(F.lit('{"auth_kinds":'), auth_list(s["auth"]), F.lit(',"kind":"url","template":'), codec.json_string(s["template"]), zooms)
     made = F.concat(F.lit('{"fixture_version":'), _text(s["fixture_version"]), F.lit(',"kind":"synthetic"}'))
-    return F.when(s["kind"] == "synthetic", made).when(s["kind"] == "url", url).otherwise(file)
+    image = F.concat(F.lit('{"content_hash":"'), s["content_hash"], F.lit('","kind":"image"}'))
+    return F.when(s["kind"] == "synthetic", made).when(s["kind"] == "url", url).when(s["kind"] == "image", image).otherwise(file)
 
 
 def descriptor_json(d: dict[str, Column]) -> Column:

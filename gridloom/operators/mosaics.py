@@ -120,6 +120,12 @@ def read_affn(payload: bytes) -> tuple[float, ...]:
     return c
 
 
+@F.pandas_udf(T.StringType())
+def double_bits(c: pd.Series) -> pd.Series:
+    """A double's 64 bits as hex, high ones first; null for null."""
+    return c.map(lambda v: struct.pack(">d", v).hex(), na_action="ignore")
+
+
 def drawn_tiles(images: DataFrame, tiles: DataFrame, key: str, dim: int, channels: int = 1, fill: int = NONE) -> DataFrame:
     """(key, z, x, y, body, covered): images (key, width, height, body, affn array of six) drawn into tiles (key, z, x, y) by nearest neighbour.
 

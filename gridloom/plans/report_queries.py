@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import codec, geo, identity, pixels
-from gridloom.operators import inspect
+from gridloom.operators import inspect, mosaics
 from gridloom.plans.pixel_queries import _CODE, _PX, _px, _uuid
 from gridloom.plans.tile_queries import read
 
@@ -104,15 +104,25 @@ def style_descriptor(content_hash: Column, style_hash: Column, bbox: list[Column
     return _descriptor(_source(kind=F.lit("style"), content_hash=content_hash, zmin=zmin, zmax=zmax), bbox, zmin, zmax, pixel_format, tile_dim, style_hash)
 
 
+def image_descriptor(content_hash: Column, affn: list[Column], width: Column, height: Column, pixel_format: Column) -> Column:
+    """A pack of one image pinned to the map: no tiles but itself, its box that of its corners, the six coefficients by the bits of their doubles."""
+    corners = [(x, y) for x in (F.lit(0), width) for y in (F.lit(0), height)]
+    lon, lat = ([affn[k] + affn[k + 1] * x + affn[k + 2] * y for x, y in corners] for k in (0, 3))
+    box = [geo.micro(f(*v)) for f, v in ((F.least, lon), (F.least, lat), (F.greatest, lon), (F.greatest, lat))]
+    bits = F.array(*(mosaics.double_bits(c.cast("double")) for c in affn))
+    zero = F.lit(0)
+    return _descriptor(_source(kind=F.lit("image"), content_hash=content_hash), box, zero, zero, pixel_format, F.greatest(width, height), affn=bits, projection=3, addressing=2)
+
+
 def _source(**told: Column) -> Column:
     none = {"content_hash": "string", "fixture_version": "bigint", "template": "string", "auth": "array<string>", "zmin": "bigint", "zmax": "bigint"}
     return F.struct(told["kind"].alias("kind"), *(told.get(k, F.lit(None)).cast(t).alias(k) for k, t in none.items()))
 
 
-def _descriptor(source: Column, bbox: list[Column], zmin: Column, zmax: Column, pixel_format: Column, tile_dim: Column, style_hash: Column | None = None) -> Column:
+def _descriptor(source: Column, bbox: list[Column], zmin: Column, zmax: Column, pixel_format: Column, tile_dim: Column, style_hash: Column | None = None, affn: Column | None = None, projection: int = 1, addressing: int = 1) -> Column:
     return identity.descriptor_json({
-        "affn": F.lit(None).cast("array<string>"), "bbox": bbox, "pixel_format": pixel_format, "projection": F.lit(1), "quantiser_version": F.lit(1), "sources": F.array(source),
-        "style_hash": F.lit(None).cast("string") if style_hash is None else style_hash, "addressing": F.lit(1), "axis": F.lit(1), "tile_dim": tile_dim, "zmin": zmin, "zmax": zmax,
+        "affn": F.lit(None).cast("array<string>") if affn is None else affn, "bbox": bbox, "pixel_format": pixel_format, "projection": F.lit(projection), "quantiser_version": F.lit(1), "sources": F.array(source),
+        "style_hash": F.lit(None).cast("string") if style_hash is None else style_hash, "addressing": F.lit(addressing), "axis": F.lit(1), "tile_dim": tile_dim, "zmin": zmin, "zmax": zmax,
     })
 
 

@@ -82,3 +82,18 @@ def test_images_without_an_inverse_cover_nothing(spark):
     tiles = spark.createDataFrame([(k, 0, 0, 0) for k in (1, 2, 3, 4)], "id int, z int, x long, y long")
     got = {r["id"]: (bytes(r["body"]), r["covered"]) for r in mosaics.drawn_tiles(images, tiles, "id", 4).collect()}
     assert got == {1: (b"\xff" * 16, 0), 2: (b"\xff" * 16, 0), 3: (b"z" * 16, 16)}
+
+
+def test_image_descriptors(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from gridloom.plans.report_queries import image_descriptor
+
+    c = [10.0, 0.5, 0.0, 50.0, 0.0, -0.25]
+    row = spark.range(1).select(image_descriptor(F.lit("ab" * 32), [F.lit(v) for v in c], F.lit(4), F.lit(8), F.lit(1)).alias("d")).first()[0]
+    d = json.loads(row)
+    assert d["affn"] == [struct.pack(">d", v).hex() for v in c] and d["bbox"] == [10_000_000, 48_000_000, 12_000_000, 50_000_000]
+    assert d["sources"] == [{"content_hash": "ab" * 32, "kind": "image"}] and (d["projection"], d["tile_addressing_scheme"], d["tile_dim_px"]) == (3, 2, 8)
+    assert list(d) == sorted(d)

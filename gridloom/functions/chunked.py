@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a block behind its head, at most; a state is such a number plus RUN times the length of a run whose byte is to come.
 SKIPS, RUN = 129, 256
@@ -59,46 +59,63 @@ def decoded(data: bytes, state: int) -> bytes:
     return bytes(out)
 
 
-def decode_chunks(chunks: DataFrame, group: str = "stream", seq: str = "seq", data: str = "data", span: int = SPAN) -> DataFrame:
-    """(group, seq, body, start, finished) of chunks, whose seq are whole numbers from 0: each one's decoded bytes, where they start in the whole, and
-    whether no block is open behind it. A null chunk counts as empty; a null group is a group. No task holds more than `span` chunks."""
-    kinds = {c: chunks.schema[c].dataType.simpleString() for c in (group, seq)}
-    rows = chunks.select(F.col(group), F.col(seq).cast("bigint").alias("_seq"), F.floor(F.col(seq) / span).cast("bigint").alias("_span"), F.coalesce(data, F.lit(b"")).alias("_data"))
-    head = f"{group} {kinds[group]}, _span bigint"
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _effect(data: pd.Series) -> pd.Series:
+    return data.map(lambda x: effect(bytes(x)).tolist())
 
-    def effects(batches):
-        for batch in batches:
-            found = [effect(x).tolist() for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], [group, "_seq", "_span", "effect"])
 
-    each = rows.mapInArrow(effects, f"{group} {kinds[group]}, _seq bigint, _span bigint, effect array<int>")
-
-    def whole(t: pd.DataFrame) -> pd.DataFrame:
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _whole(parts: pd.Series) -> pd.Series:
+    """The effect of a span's chunks together."""
+    out = []
+    for ps in parts:
         total = np.arange(SKIPS)
-        for e in t.sort_values("_seq")["effect"]:
-            total = composed(total, np.asarray(e))
-        return pd.DataFrame({group: t[group][:1], "_span": t["_span"][:1], "effect": [total.tolist()]})
-
-    spans = each.groupBy(group, "_span").applyInPandas(whole, f"{head}, effect array<int>")
-
-    def starts(t: pd.DataFrame) -> pd.DataFrame:
-        t, state, out = t.sort_values("_span"), 0, []
-        for e in t["effect"]:
-            out.append(state)
-            state = int(_after(state, np.asarray(e)))
-        return pd.DataFrame({group: t[group], "_span": t["_span"], "state": out})
-
-    begun = spans.groupBy(group).applyInPandas(starts, f"{head}, state int")  # a row for each span of chunks
-
-    def give(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, state, out = left.sort_values("_seq"), int(right["state"].iat[0]), []
-        for x in map(bytes, left["_data"]):
-            now = int(_after(state, effect(x)))
-            out.append((decoded(x, state), now == 0))
-            state = now
-        return pd.DataFrame({group: left[group], seq: left["_seq"], "_span": left["_span"], "body": [x for x, _ in out], "finished": [y for _, y in out]})
-
-    made = rows.groupBy(group, "_span").cogroup(begun.groupBy(group, "_span")).applyInPandas(give, f"{group} {kinds[group]}, {seq} {kinds[seq]}, _span bigint, body binary, finished boolean")
+        for p in ps:
+            total = composed(total, np.asarray(p["effect"]))
+        out.append(total.tolist())
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _starts(spans: pd.Series) -> pd.Series:
+    """The state at the start of each span of a stream."""
+    out = []
+    for ss in spans:
+        state, own = 0, []
+        for s in ss:
+            own.append(state)
+            state = int(_after(state, np.asarray(s["whole"])))
+        out.append(own)
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("body", T.BinaryType()), T.StructField("finished", T.BooleanType())])))
+def _given(state: pd.Series, parts: pd.Series) -> pd.Series:
+    """What each chunk of a span gives."""
+    out = []
+    for at, ps in zip(state, parts, strict=True):
+        own, now = [], int(at)
+        for p in ps:
+            after = int(_after(now, np.asarray(p["effect"])))
+            own.append({"body": decoded(bytes(p["data"]), now), "finished": after == 0})
+            now = after
+        out.append(own)
+    return pd.Series(out, dtype=object)
+
+
+def decode_chunks(chunks: DataFrame, group: str = "stream", seq: str = "seq", data: str = "data", span: int = SPAN) -> DataFrame:
+    """(group, seq, body, start, finished) of chunks, whose seq are whole numbers from 0: each one's decoded bytes, where they start in the whole, and
+    whether no block is open behind it. A null chunk counts as empty; a null group is a group. No task holds more than `span` chunks."""
+    rows = chunks.select(F.col(group), F.col(seq).alias("_seq"), F.floor(F.col(seq) / span).cast("bigint").alias("_span"), F.coalesce(data, F.lit(b"")).alias("data"))
+    rows = rows.withColumn("effect", _effect("data"))
+    spans = rows.groupBy(group, "_span").agg(F.array_sort(F.collect_list(F.struct("_seq", "data", "effect"))).alias("parts"))
+    spans = spans.withColumn("whole", _whole("parts"))
+    # A row for each span of chunks meets in a stream's list.
+    begun = spans.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_span", "whole"))).alias("spans"))
+    begun = begun.select(F.col(group).alias("_g"), F.explode(F.arrays_zip(F.col("spans._span").alias("s"), _starts("spans").alias("state"))).alias("b")).select("_g", F.col("b.s").alias("_s"), "b.state")
+    met = spans.drop("whole").join(begun, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_span") == F.col("_s")))
+    made = met.select(group, "_span", F.explode(F.arrays_zip(F.col("parts._seq").alias("q"), _given("state", "parts").alias("d"))).alias("e"))
+    made = made.select(group, F.col("e.q").alias(seq), "_span", F.col("e.d.body").alias("body"), F.col("e.d.finished").alias("finished"))
     # Where a chunk's bytes start: within spans, then over spans.
     made = made.withColumn("_n", F.octet_length("body").cast("bigint"))
     inner = Window.partitionBy(group, "_span").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_entities
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -92,28 +93,48 @@ SILENT = ("script", "style", "noscript", "svg")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
+_ELEMENTS = (*((rf"<{tag}\b", rf"</{tag}\s*+>") for tag in SILENT), ("<", ">"))
+
+
+def _let(value: Column, of) -> Column:
+    """of(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _closed(text: Column, opening: str, closing: str) -> Column:
     """text without what lies from an opening to the next closing. Only the part up to the last closing is searched, so openings that are never closed cost nothing."""
-    head = F.regexp_extract(text, f"(?is)^.*{closing}", 0)
-    return F.concat(F.regexp_replace(head, f"(?is){opening}.*?{closing}", "\n"), F.substr(text, F.char_length(head) + 1))
+
+    def cut(head: Column, whole: Column) -> Column:
+        return F.concat(F.regexp_replace(head, f"(?is){opening}.*?{closing}", "\n"), F.substr(whole, F.char_length(head) + 1))
+
+    return _let(text, lambda t: _let(F.regexp_extract(t, f"(?is)^.*{closing}", 0), lambda h: cut(h, t)))
+
+
+def _cut(text: str, opening: str, closing: str) -> str:
+    """_closed() of one page."""
+    head = max((m.end() for m in re.finditer(f"(?i){closing}", text)), default=0)
+    return re.sub(f"(?is){opening}.*?{closing}", "\n", text[:head]) + text[head:]
+
+
+def _page_text(html: str) -> str:
+    for opening, closing in _ELEMENTS:
+        html = _cut(html, opening, closing)
+    return "\n".join(filter(None, (line.strip(" ") for line in html_entities.unescape(html).split("\n"))))
 
 
 @F.pandas_udf(T.StringType())
-def unescaped(text: pd.Series) -> pd.Series:
-    """All entities, named and numeric, as their characters."""
-    return text.map(html_entities.unescape, na_action="ignore")
+def _all_entities(html: pd.Series) -> pd.Series:
+    return html.map(_page_text, na_action="ignore")
 
 
 def html_text(html: Column, all_entities: bool = False) -> Column:
     """A page's text: silent elements dropped, tags to line ends, entities back (those of XML, or all), lines trimmed, blank ones gone. Its time grows with the page, whatever is left open."""
+    if all_entities:  # 2,231 of them: the standard library's table, in Arrow batches
+        return _all_entities(html)
     out = html
-    for tag in SILENT:
-        out = _closed(out, rf"<{tag}\b", rf"</{tag}\s*+>")
-    out = _closed(out, "<", ">")
-    if all_entities:
-        out = unescaped(out)
-    else:
-        for name, c in ENTITIES:
-            out = F.replace(out, F.lit(name), F.lit(c))
+    for opening, closing in _ELEMENTS:
+        out = _closed(out, opening, closing)
+    for name, c in ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(c))
     lines = F.transform(F.split(out, "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")

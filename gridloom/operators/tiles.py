@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ from gridloom.functions import geo
 #: Fixed multipliers that spread keys over the globe.
 LON_STEP, LAT_STEP = 2654435761, 2246822519
 HEADER_BYTES, ENTRY_BYTES = 292, 20
+#: Images that one step of the shift search compares.
+SOME_IMAGES = 256
 
 
 def points(df: DataFrame, key: str) -> DataFrame:
@@ -138,32 +140,57 @@ def order_violations(df: DataFrame, group: list[str], seq: str, key: list[str],
     return with_group(d.withColumn("_before", before), edges, [*group, "_span"]).where(F.coalesce("_before", "_edge") >= k).drop("_before", "_edge", "_span")
 
 
+def _best_shifts(px: pa.ListArray, steps: list[tuple[int, int]]) -> dict[str, np.ndarray]:
+    """dx, dy, pct and n of each list of pixels (side, gx, gy, code). Pixels are looked up in the other side's sorted places, so memory follows the pixels, whatever the extent."""
+    ends, flat = px.offsets.to_numpy(), px.values
+    side, gx, gy, code = (flat.field(k).fill_null(0).to_numpy(zero_copy_only=False) for k in range(4))
+    there, coded = (np.ones(len(flat), bool) if not any(f.null_count for f in fs) else np.logical_and.reduce([f.is_valid().to_numpy(zero_copy_only=False) for f in fs]) for fs in ((flat.field(1), flat.field(2)), (flat.field(3),)))
+    image = np.repeat(np.arange(len(px)), np.diff(ends))
+    out = {"dx": np.zeros(len(px), np.int32), "dy": np.zeros(len(px), np.int32), "pct": np.full(len(px), np.inf), "n": np.zeros(len(px), np.int64)}
+    for first in range(0, len(px), SOME_IMAGES):
+        m = min(SOME_IMAGES, len(px) - first)
+        own = slice(ends[first] - ends[0], ends[first + m] - ends[0])
+        of = lambda k: np.flatnonzero(there[own] & (side[own] == k)) + own.start  # noqa: E731, B023
+        a, b = of(0), of(1)
+        if not len(a) or not len(b):
+            continue
+        xs, ys = np.unique(gx[b]), np.unique(gy[b])
+        key = lambda i, x, y: ((image[i] - first) * len(xs) + x) * len(ys) + y  # noqa: E731, B023
+        # Of pixels at one place the last one stands.
+        a = a[np.lexsort((gy[a], gx[a], image[a]))]
+        a = a[np.append((np.diff(image[a]) != 0) | (np.diff(gx[a]) != 0) | (np.diff(gy[a]) != 0), True)]
+        at = key(b, np.searchsorted(xs, gx[b]), np.searchsorted(ys, gy[b]))
+        order = np.argsort(at, kind="stable")
+        order = order[np.append(np.diff(at[order]) != 0, True)]
+        at, b = at[order], b[order]
+        found = lambda places, v: ((p := np.searchsorted(places, v).clip(max=len(places) - 1)), places[p] == v)
+        columns, rows = ({d: found(places, v[a].astype(np.int64) + d) for d in {s[k] for s in steps}} for places, v, k in ((xs, gx, 1), (ys, gy, 0)))
+        for dy, dx in steps:
+            (x, x_met), (y, y_met) = columns[dx], rows[dy]
+            near, met = found(at, key(a, x, y))
+            met &= x_met & y_met
+            i, j = a[met], b[near[met]]
+            n = np.bincount(image[i] - first, minlength=m)
+            differ = np.bincount(image[i[(code[i] != code[j]) & coded[i] & coded[j]]] - first, minlength=m)
+            pct = np.array([round(v, 6) for v in (differ * 100.0 / np.maximum(n, 1)).tolist()])
+            new = np.flatnonzero((n > 0) & (pct < out["pct"][first : first + m]))
+            for k, v in (("dx", dx), ("dy", dy), ("pct", pct[new]), ("n", n[new])):
+                out[k][first + new] = v
+    return out
+
+
 def shift_search(a: DataFrame, b: DataFrame, image: str, reach: int = 2) -> DataFrame:
     """For each image the offset (dx, dy) at which a best matches b, ties to the first row by row.
 
-    a, b: (image, gx, gy, code). An image is bounded, so one aggregation gathers both of its pixel lists and every offset is tried on them
-    as matrices; no pixel is sent anywhere twice."""
+    a, b: (image, gx, gy, code). An image is bounded, so one aggregation gathers both of its pixel lists and every offset is tried on them;
+    no pixel is sent anywhere twice. A batch's pixels stay in Arrow's arrays, and some images at a time are compared."""
     side = lambda df, k: df.select(image, F.struct(F.lit(k).alias("side"), F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"), F.col("code").cast("int").alias("code")).alias("p"))
     both = side(a, 0).union(side(b, 1)).groupBy(image).agg(F.collect_list("p").alias("px"))
     steps = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
 
-    @F.pandas_udf("dx int, dy int, pct double, n long")
-    def best(lists: pd.Series) -> pd.DataFrame:
-        out = []
-        for px in lists:
-            m = np.array([tuple(p.values()) for p in px], np.int64)
-            low, size = m[:, 1:3].min(0), np.ptp(m[:, 1:3], axis=0) + 1
-            one, two = np.full(size + 2 * reach, -1), np.full(size + 2 * reach, -1)
-            for grid, own in ((one, m[m[:, 0] == 0]), (two, m[m[:, 0] == 1])):
-                grid[tuple((own[:, 1:3] - low + reach).T)] = own[:, 3]
-            found = []
-            for dy, dx in steps:
-                moved = np.roll(one, (dx, dy), (0, 1))
-                met = (moved >= 0) & (two >= 0)
-                if n := int(met.sum()):
-                    found.append((round(int((moved[met] != two[met]).sum()) * 100.0 / n, 6), dy, dx, n))
-            pct, dy, dx, n = min(found, default=(None, None, None, 0))
-            out.append((dx, dy, pct, n))
-        return pd.DataFrame(out, columns=["dx", "dy", "pct", "n"])
+    @F.arrow_udf("dx int, dy int, pct double, n long")
+    def best(lists: pa.Array) -> pa.Array:
+        found = _best_shifts(lists, steps)
+        return pa.StructArray.from_arrays([pa.array(v) for v in found.values()], list(found))
 
     return both.select(image, best("px").alias("m")).select(image, "m.*").where("n > 0")

@@ -87,3 +87,14 @@ def test_all_entities(spark):
     rows = [("<p>&eacute;&#233;&#xe9; &amp;lt; &nbsp;|&notit; &unknown;</p>",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "html string").select(web.html_text(F.col("html"), True)).collect()]
     assert got == ["ééé &lt; \xa0|¬it; &unknown;", None]
+
+
+def test_shift_search_follows_pixels_not_extents(spark):
+    """Two far pixels made a matrix of the whole extent; gaps, single sides and codes that are null are met too."""
+    far = 2_000_000_000
+    a = [("far", -far, -far, 1), ("far", far, far, 2), ("far", 7, 7, 3), ("alone", 0, 0, 1), ("tie", 0, 0, 4), ("null", 0, 0, None), ("null", 1, 0, 5)]
+    b = [("far", -far + 1, -far - 2, 1), ("far", far + 1, far - 2, 2), ("far", 7, 7, 9), ("other", 0, 0, 1), ("tie", 1, 0, 4), ("tie", 0, 1, 4), ("null", 0, 0, 3), ("null", 1, 0, 5)]
+    kind = "image string, gx long, gy long, code int"
+    got = {r["image"]: tuple(r)[1:] for r in tiles.shift_search(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), "image").collect()}
+    # A null code is met but doesn't differ, so nothing does at (0, 0), the first such offset.
+    assert got == {"far": (1, -2, 0.0, 2), "tie": (1, 0, 0.0, 1), "null": (0, 0, 0.0, 2)}

@@ -98,3 +98,21 @@ def test_shift_search_follows_pixels_not_extents(spark):
     got = {r["image"]: tuple(r)[1:] for r in tiles.shift_search(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), "image").collect()}
     # A null code is met but doesn't differ, so nothing does at (0, 0), the first such offset.
     assert got == {"far": (1, -2, 0.0, 2), "tie": (1, 0, 0.0, 1), "null": (0, 0, 0.0, 2)}
+
+
+def test_shift_search_equals_every_pair(spark):
+    rng = random.Random(5)
+    px = lambda: {(i, rng.randrange(9), rng.randrange(7)): rng.randrange(3) for i in range(600) for _ in range(rng.randrange(1, 20))}
+    a, b = px(), px()
+    want = {}
+    for dy in range(-2, 3):
+        for dx in range(-2, 3):
+            met = {}
+            for (i, x, y), c in a.items():
+                if (i, x + dx, y + dy) in b:
+                    met.setdefault(i, []).append(c != b[i, x + dx, y + dy])
+            for i, d in met.items():
+                want[i] = min(want.get(i, (101,)), (round(sum(d) * 100.0 / len(d), 6), dy, dx, len(d)))
+    df = lambda p: spark.createDataFrame([(*k, c) for k, c in p.items()], "image long, gx int, gy int, code int")
+    got = {r["image"]: (r["pct"], r["dy"], r["dx"], r["n"]) for r in tiles.shift_search(df(a), df(b), "image").collect()}
+    assert got == want

@@ -6,12 +6,16 @@ two levels (within spans of chunks, then over one row a span), and decoded in pa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.slices import bodies, slices
+
 #: Bytes of a block behind its head, at most; a state is such a number plus RUN times the length of a run whose byte is to come.
 SKIPS, RUN = 129, 256
 SPAN = 1024
@@ -59,48 +63,65 @@ def decoded(data: bytes, state: int) -> bytes:
     return bytes(out)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _effect(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: effect(bytes(x)).tolist())
+def _effects(lists: pa.Array) -> np.ndarray:
+    """Lists of effects, or effects, as rows of an array, without a Python object a number."""
+    flat = lists
+    while pa.types.is_list(flat.type):
+        flat = flat.flatten()
+    return flat.to_numpy().reshape(-1, SKIPS)
+
+
+def _listed(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKIPS), pa.array(rows.astype(np.int32).ravel()))
+
+
+def _ends(lists: pa.ListArray) -> list[int]:
+    return (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _effect(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for (some,) in slices((d,) for d in data):
+        yield _listed(np.array([effect(x) for x in bodies(some)], np.int32).reshape(-1, SKIPS))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _whole(parts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _whole(effects: pa.Array) -> pa.Array:
     """The effect of a span's chunks together."""
-    out = []
-    for ps in parts:
+    own, ends, out = _effects(effects), _ends(effects), []
+    for a, b in zip(ends, ends[1:], strict=False):
         total = np.arange(SKIPS)
-        for p in ps:
-            total = composed(total, np.asarray(p["effect"]))
-        out.append(total.tolist())
-    return pd.Series(out, dtype=object)
+        for e in own[a:b]:
+            total = composed(total, e)
+        out.append(total)
+    return _listed(np.array(out).reshape(-1, SKIPS))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _starts(spans: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _starts(wholes: pa.Array) -> pa.Array:
     """The state at the start of each span of a stream."""
-    out = []
-    for ss in spans:
-        state, own = 0, []
-        for s in ss:
-            own.append(state)
-            state = int(_after(state, np.asarray(s["whole"])))
-        out.append(own)
-    return pd.Series(out, dtype=object)
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("body", T.BinaryType()), T.StructField("finished", T.BooleanType())])))
-def _given(state: pd.Series, parts: pd.Series) -> pd.Series:
-    """What each chunk of a span gives."""
-    out = []
-    for at, ps in zip(state, parts, strict=True):
-        own, now = [], int(at)
-        for p in ps:
-            after = int(_after(now, np.asarray(p["effect"])))
-            own.append({"body": decoded(bytes(p["data"]), now), "finished": after == 0})
-            now = after
-        out.append(own)
-    return pd.Series(out, dtype=object)
+    own, ends, out = _effects(wholes), _ends(wholes), []
+    for a, b in zip(ends, ends[1:], strict=False):
+        state = 0
+        for e in own[a:b]:
+            out.append(state)
+            state = int(_after(state, e))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("body", T.BinaryType()), T.StructField("finished", T.BooleanType())])))
+def _given(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """What each chunk of a span gives: some spans at a time, as runs may take many times their bytes."""
+    for data, effects, state in slices(columns):
+        own, ends, made, finished = _effects(effects), _ends(data), [], []
+        chunks = bodies(data.flatten())
+        for now, a, b in zip(state.to_pylist(), ends, ends[1:], strict=False):
+            for e in own[a:b]:
+                after = int(_after(now, e))
+                made.append(decoded(next(chunks), now))
+                finished.append(after == 0)
+                now = after
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(made, pa.binary()), pa.array(finished, pa.bool_())], ["body", "finished"]))
 
 
 def decode_chunks(chunks: DataFrame, group: str = "stream", seq: str = "seq", data: str = "data", span: int = SPAN) -> DataFrame:
@@ -109,12 +130,12 @@ def decode_chunks(chunks: DataFrame, group: str = "stream", seq: str = "seq", da
     rows = chunks.select(F.col(group), F.col(seq).alias("_seq"), F.floor(F.col(seq) / span).cast("bigint").alias("_span"), F.coalesce(data, F.lit(b"")).alias("data"))
     rows = rows.withColumn("effect", _effect("data"))
     spans = rows.groupBy(group, "_span").agg(F.array_sort(F.collect_list(F.struct("_seq", "data", "effect"))).alias("parts"))
-    spans = spans.withColumn("whole", _whole("parts"))
+    spans = spans.withColumn("whole", _whole("parts.effect"))
     # A row for each span of chunks meets in a stream's list.
     begun = spans.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_span", "whole"))).alias("spans"))
-    begun = begun.select(F.col(group).alias("_g"), F.explode(F.arrays_zip(F.col("spans._span").alias("s"), _starts("spans").alias("state"))).alias("b")).select("_g", F.col("b.s").alias("_s"), "b.state")
+    begun = begun.select(F.col(group).alias("_g"), F.explode(F.arrays_zip(F.col("spans._span").alias("s"), _starts("spans.whole").alias("state"))).alias("b")).select("_g", F.col("b.s").alias("_s"), "b.state")
     met = spans.drop("whole").join(begun, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_span") == F.col("_s")))
-    made = met.select(group, "_span", F.explode(F.arrays_zip(F.col("parts._seq").alias("q"), _given("state", "parts").alias("d"))).alias("e"))
+    made = met.select(group, "_span", F.explode(F.arrays_zip(F.col("parts._seq").alias("q"), _given("parts.data", "parts.effect", "state").alias("d"))).alias("e"))
     made = made.select(group, F.col("e.q").alias(seq), "_span", F.col("e.d.body").alias("body"), F.col("e.d.finished").alias("finished"))
     # Where a chunk's bytes start: within spans, then over spans.
     made = made.withColumn("_n", F.octet_length("body").cast("bigint"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.slices import bodies, slices
+
 #: The namespace of pack identities, a fixed value.
 NAMESPACE = "4e72f962663245388e0a7eab63350f3f"
 
@@ -63,19 +66,22 @@ def unrle8(data: bytes, n: int, lenient: bool = False) -> tuple[bytes | None, st
     return bytes(out[:n]), None
 
 
-@F.pandas_udf(T.BinaryType())
-def rle8_encode(body: pd.Series) -> pd.Series:
-    return body.map(lambda x: None if x is None else rle8(bytes(x)))
+@F.arrow_udf(T.BinaryType())
+def rle8_encode(body: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for (some,) in slices((b,) for b in body):
+        yield pa.array([None if x is None else rle8(x) for x in bodies(some)], pa.binary())
 
 
-@F.pandas_udf(T.StructType([T.StructField("body", T.BinaryType()), T.StructField("error", T.StringType())]))
-def rle8_decode(body: pd.Series, n: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(None, None) if x is None else unrle8(bytes(x), int(k)) for x, k in zip(body, n, strict=True)], columns=["body", "error"])
+@F.arrow_udf(T.StructType([T.StructField("body", T.BinaryType()), T.StructField("error", T.StringType())]))
+def rle8_decode(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for body, n in slices(columns):
+        found = [(None, None) if x is None else unrle8(x, k) for x, k in zip(bodies(body), n.to_pylist(), strict=True)]
+        yield pa.array([{"body": b, "error": e} for b, e in found], pa.struct([("body", pa.binary()), ("error", pa.string())]))
 
 
-@F.pandas_udf(T.LongType())
-def deflated_size(body: pd.Series) -> pd.Series:
-    return body.map(lambda x: None if x is None else len(zlib.compress(bytes(x), 9)))
+@F.arrow_udf(T.LongType())
+def deflated_size(body: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else len(zlib.compress(x, 9)) for x in bodies(body)], pa.int64())
 
 
 def le_hex(value: Column, size: int) -> Column:

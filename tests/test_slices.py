@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.functions import png, slices
+from gridloom.functions import chunked, codec, png, slices
 
 
 def test_slices_keep_rows_and_bounds():
@@ -32,3 +32,16 @@ def test_png_pixels_come_in_slices(spark):
     df = spark.createDataFrame([(k, b"ab" * (320 * (k + 1))) for k in range(40)], "k int, b binary").coalesce(1)
     got = df.select("k", png.decoded(png.grey_png("b", F.lit(64))).alias("p")).select("k", "p.*").collect()
     assert [(r["k"], r["width"], r["height"], bytes(r["rgb888"]), r["error"]) for r in sorted(got)] == [(k, 64, 10 * (k + 1), b"aaabbb" * (320 * (k + 1)), None) for k in range(40)]
+
+
+def test_run_lengths_come_in_slices(spark):
+    texts = [random.Random(k).randbytes(400_000) for k in range(6)]
+    coded = [codec.rle8(t) for t in texts]
+    assert _pieces(codec.rle8_encode, pa.array(texts, pa.binary())) == [2, 2, 2]
+    assert _pieces(codec.rle8_decode, pa.array(coded, pa.binary()), pa.array([400_000] * 6)) == [2, 2, 2]
+    assert _pieces(chunked._effect, pa.array(coded, pa.binary())) == [2, 2, 2]
+    spans = pa.array([[c[:200_000], c[200_000:]] for c in coded], pa.list_(pa.binary()))
+    effects = pa.array([[chunked.effect(c[:200_000]).tolist(), chunked.effect(c[200_000:]).tolist()] for c in coded], pa.list_(pa.list_(pa.int32())))
+    got = list(chunked._given.func(iter([(spans, effects, pa.array([0] * 6, pa.int32()))])))
+    assert [len(g) for g in got] == [2, 2, 2]
+    assert [b"".join(p["body"] for p in span) for g in got for span in g.to_pylist()] == texts

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.slices import bodies, slices
+
 #: Channel thresholds of the two-bit code, and eight palette slots in order (name, r, g, b).
 THRESHOLDS = (42, 127, 212)
 SLOTS = (("white", 255, 255, 255), ("black", 0, 0, 0), ("red", 255, 0, 0), ("green", 0, 170, 0), ("blue", 0, 0, 255), ("yellow", 255, 255, 0), ("grey", 170, 170, 170), ("brown", 170, 85, 0))
@@ -54,17 +58,21 @@ def palette_issue(slots: Column) -> Column:
     return F.struct(issue.alias("issue"), F.when(issue == "not_opaque", clear).when(issue == "duplicate_colour", pair["a"]).alias("first"), F.when(issue == "duplicate_colour", pair["b"]).alias("second"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("codes", T.BinaryType()), T.StructField("issue", T.StringType())]))
-def quantised(body: pd.Series) -> pd.DataFrame:
+#: The two-bit code of each byte.
+_TWO_BIT = np.digitize(np.arange(256), np.array(THRESHOLDS) + 1).astype(np.uint8)
+
+
+def _codes(body: bytes) -> bytes:
+    q = _TWO_BIT[np.frombuffer(body, np.uint8).reshape(-1, 3)]
+    return (192 | q[:, 2] << 4 | q[:, 1] << 2 | q[:, 0]).astype(np.uint8).tobytes()
+
+
+@F.arrow_udf(T.StructType([T.StructField("codes", T.BinaryType()), T.StructField("issue", T.StringType())]))
+def quantised(body: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """RGB888 bytes as two-bit codes, a byte a pixel; bytes that are no whole number of pixels are an issue."""
-    out = []
-    for x in body:
-        if x is None or len(x) % 3:
-            out.append((None, None if x is None else "length"))
-            continue
-        q = np.digitize(np.frombuffer(x, np.uint8).reshape(-1, 3), np.array(THRESHOLDS) + 1).astype(np.uint8)
-        out.append(((192 | q[:, 2] << 4 | q[:, 1] << 2 | q[:, 0]).astype(np.uint8).tobytes(), None))
-    return pd.DataFrame(out, columns=["codes", "issue"])
+    for (some,) in slices((b,) for b in body):
+        found = [{"codes": None, "issue": None} if x is None else {"codes": None, "issue": "length"} if len(x) % 3 else {"codes": _codes(x), "issue": None} for x in bodies(some)]
+        yield pa.array(found, pa.struct([("codes", pa.binary()), ("issue", pa.string())]))
 
 
 def linear(v: Column) -> Column:

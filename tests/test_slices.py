@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.functions import chunked, codec, png, slices
+from gridloom.functions import chunked, codec, pixels, png, slices
 
 
 def test_slices_keep_rows_and_bounds():
@@ -45,3 +45,13 @@ def test_run_lengths_come_in_slices(spark):
     got = list(chunked._given.func(iter([(spans, effects, pa.array([0] * 6, pa.int32()))])))
     assert [len(g) for g in got] == [2, 2, 2]
     assert [b"".join(p["body"] for p in span) for g in got for span in g.to_pylist()] == texts
+
+
+def test_codes_come_in_slices():
+    rgb = [random.Random(k).randbytes(300_000) for k in range(9)]
+    got = list(pixels.quantised.func(iter([pa.array([*rgb, None, b"ab", b""], pa.binary())])))
+    assert [len(g) for g in got] == [3, 3, 6]
+    told = [r for g in got for r in g.to_pylist()]
+    two = lambda v: sum(v > t for t in pixels.THRESHOLDS)
+    assert told[0]["codes"] == bytes(192 + two(b) * 16 + two(g) * 4 + two(r) for r, g, b in zip(*(rgb[0][k::3] for k in range(3)), strict=True))
+    assert [(r["codes"], r["issue"]) for r in told[9:]] == [(None, None), (None, "length"), (b"", None)]

@@ -13,7 +13,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,20 +144,21 @@ def entries(archives: DataFrame, key: str = "path", data: str | None = None) ->
     arrow_kind = _arrow(kind)
 
     def fetch(own, held, start: int, size: int) -> bytes:
-        if held is not None:
-            if start + size > len(held):
+        if data:
+            if held is None or len(held) < size:
                 raise ValueError("TooShort")
-            return held[start : start + size]
+            return held[:size]
         with opened(own) as f:
             return read_range(f, start, size)
 
     def roots(batches):
         for batch in batches:
             found = []
-            for own, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist() if data else [None] * batch.num_rows, strict=True):
+            none = [None] * batch.num_rows
+            for own, head, root in zip(batch.column(0).to_pylist(), *((batch.column(k).to_pylist() for k in (1, 2)) if data else (none, none)), strict=True):
                 try:
-                    h = read_header(fetch(own, held, 0, HEADER))
-                    listed_ = read_directory(_unpacked(fetch(own, held, h["root_at"], h["root_size"]), h["directories"])) if h["root_size"] else None
+                    h = read_header(fetch(own, head, 0, HEADER))
+                    listed_ = read_directory(_unpacked(fetch(own, root, h["root_at"], h["root_size"]), h["directories"])) if h["root_size"] else None
                     found.append((own, h["leaf_at"], h["data_at"], h["directories"], listed_, None))
                 except (ValueError, OSError) as e:
                     found.append((own, None, None, None, None, str(e)))
@@ -174,7 +175,9 @@ def entries(archives: DataFrame, key: str = "path", data: str | None = None) ->
                     found.append((own, leaf_at, data_at, how, None, str(e)))
             yield _rows(found, key, arrow_kind)
 
-    level = archives.select(key, *([data] if data else [])).mapInArrow(roots, schema)
+    # Of bytes in a column Python gets the header and a directory at a time, never an archive.
+    field = lambda k: F.conv(F.concat(*(F.hex(F.substring(data, 9 + 8 * k + b, 1)) for b in reversed(range(8)))), 16, 10)
+    level = archives.select(key, *([F.substring(data, 1, HEADER).alias("_head"), _bytes(data, field(0), field(1)).alias("_root")] if data else [])).mapInArrow(roots, schema)
     out = None
     for depth in range(DEPTH):
         each = level.select(key, "leaf_at", "data_at", "how", "issue", F.explode_outer("entries").alias("e"))
@@ -184,13 +187,20 @@ def entries(archives: DataFrame, key: str = "path", data: str | None = None) ->
         if depth + 1 == DEPTH:
             return out.union(deeper.select(key, *(F.lit(None).cast("bigint").alias(c) for c in ("id", "run", "offset", "length")), F.lit("LeafDepth").alias("issue")))
         if data:
-            deeper = deeper.join(archives.select(F.col(key).alias("_key"), data), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+            held = deeper.join(archives.select(F.col(key).alias("_key"), data), F.col(key).eqNullSafe(F.col("_key")))
+            deeper = held.select(*deeper.columns, _bytes(data, F.col("leaf_at") + F.col("_at"), F.col("_size")).alias("_leaf"))
         else:
             deeper = deeper.repartition(F.xxhash64(key, "_at"))  # leaves of one file go to many tasks
         level = deeper.mapInArrow(leaves, schema)
     raise AssertionError("the last depth returns")
 
 
+def _bytes(data: str, start: Column, size: Column) -> Column:
+    """`size` bytes of a column from `start` on, both from 0; null where these are no places in a value."""
+    at, n = (F.try_add(c.try_cast("int"), F.lit(k)) for c, k in ((start, 1), (size, 0)))
+    return F.when((at > 0) & (n >= 0), F.substring(data, at, n))
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind.simpleString()]
 

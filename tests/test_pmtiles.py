@@ -91,3 +91,17 @@ def test_runs_and_shared_bodies():
     for bad in ([(1, 2, 0, b"x")], [(1, 0, 0, b"x")] * 2, [(1, 0, 0, b"")]):
         with pytest.raises(ValueError):
             pmtiles.build_archive(bad)
+
+
+def test_held_archives_pass_by_directory(spark):
+    """Python is given headers and directories only: the plan's Arrow steps have no column with an archive's bytes."""
+    tiles = [(8, k % 200, k // 200, bytes([k % 251]) * 900) for k in range(600)]
+    good = pmtiles.build_archive(tiles, leaf=50)
+    rows = [("good", good), ("cut", good[:200]), ("head", good[:40]), ("magic", b"x" * 300), ("far", good[:8] + b"\xff" * 16 + good[24:]), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, archive binary")
+    made = pmtiles.read_tiles(df, "k", "archive")
+    got = made.collect()
+    assert sorted((r["x"], r["y"], r["length"]) for r in got if r["k"] == "good") == sorted((x, y, 900) for _, x, y, _ in tiles)
+    assert {r["k"]: r["issue"] for r in got if r["k"] != "good" and r["issue"]} == {"cut": "TooShort", "head": "TooShort", "magic": "BadMagic", "far": "TooShort", "none": "TooShort"}
+    steps = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow roots(" in line or "MapInArrow leaves(" in line]
+    assert steps and not any("archive#" in s.split(")#")[0] for s in steps)

@@ -1,6 +1,7 @@
 """What Python holds of a batch is bounded by bytes, not by the batch."""
 
 import random
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -55,3 +56,9 @@ def test_codes_come_in_slices():
     two = lambda v: sum(v > t for t in pixels.THRESHOLDS)
     assert told[0]["codes"] == bytes(192 + two(b) * 16 + two(g) * 4 + two(r) for r, g, b in zip(*(rgb[0][k::3] for k in range(3)), strict=True))
     assert [(r["codes"], r["issue"]) for r in told[9:]] == [(None, None), (None, "length"), (b"", None)]
+
+
+def test_deflated_sizes_stay_in_arrow():
+    rows = [random.Random(k).randbytes(1000) for k in range(3)]
+    got = codec.deflated_size.func(pa.array([*rows, None, b""], pa.binary()))
+    assert got.to_pylist() == [*(len(zlib.compress(r, 9)) for r in rows), None, 8] and got.type == pa.int64()

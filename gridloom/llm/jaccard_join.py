@@ -36,6 +36,8 @@ N, BUCKETS, CHUNK, ORDERS, MOST_CHARS = 5, 1 << 20, 4096, 3, 1_000_000
 #: the bounds takes about a thousandth of what a row costs in a round), and how often at most.
 WORDS, NEAREST, OPEN, STARS = 8, 4, 1024, 6
 SKETCH = [f"q{k}" for k in range(WORDS)]
+#: Bytes of a side that is broadcast, by rows times width. Spark's hash table takes three times as much, and the driver holds it more than once while it is built.
+SENT = 8 << 20
 #: A bucket's level is how many of these it exceeds: the median count, and so many times its square root and so many more.
 LEVELS = ((1, 1), (2, 2), (3, 4), (4, 8), (6, 16), (12, 64), (24, 256))
 _M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -171,7 +173,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         near = e.union(e.select("b", "a")) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = small(stored(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least"))
+        least = small(stored(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least"), SENT)
         out = near.join(least, "a").where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out if large else out.union(least.select("a", F.col("m").alias("b")))
         return stored(out.where("a <> b").distinct(), "star")
@@ -202,13 +204,20 @@ def _close(x: str, y: str) -> str:
     return f"{_LENGTHS} and {_DIFFER} <= ({{x}}n + {{y}}n) div 7".format(x=x, y=y)
 
 
-def _star(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b, na, nb): each class b of rows (t, c, n, company, sketch) and the few nearest of the centres of its groups: their most central class, in the first turn, and one by a hash."""
-    about = F.struct("c", "n", *SKETCH)
+def _star(rows: DataFrame, sketches: DataFrame, company: DataFrame, turn: int) -> DataFrame:
+    """(a, b, na, nb): each class b of rows (t, c, n) and the few nearest of the centres of its groups: their most central class by (c, company), in the first turn, and one by a hash.
+
+    Sketches (c, q0, ...) join the distinct pairs, not the rows of every shingle, and are shuffled: they grow with the corpus."""
+    about = F.struct("c", "n")
     chance = F.max_by(about, F.xxhash64("c", "t", F.lit(turn))).alias("one")
-    centres = rows.groupBy("t").agg(chance, F.max_by(about, F.struct("company", "c")).alias("two") if turn == 0 else F.min_by(about, F.xxhash64("c", "t", F.lit(turn))).alias("two"))
-    centres = stored(centres.select("t", F.explode(F.array("one", "two")).alias("o")).select("t", *(F.col(f"o.{x}").alias(f"o_{x}") for x in ("c", "n", *SKETCH))), "centres")
-    met = rows.withColumnsRenamed({x: f"m_{x}" for x in ("c", "n", *SKETCH)}).join(centres, "t").where("m_c <> o_c").where(_close("m_", "o_"))
+    led = rows.join(small(company, SENT), "c") if turn == 0 else rows
+    centres = led.groupBy("t").agg(chance, F.max_by(about, F.struct("company", "c")).alias("two") if turn == 0 else F.min_by(about, F.xxhash64("c", "t", F.lit(turn))).alias("two"))
+    centres = stored(centres.select("t", F.explode(F.array("one", "two")).alias("o")).select("t", F.col("o.c").alias("o_c"), F.col("o.n").alias("o_n")), "centres")
+    met = rows.select("t", F.col("c").alias("m_c"), F.col("n").alias("m_n")).join(centres, "t").where("m_c <> o_c").where(_LENGTHS.format(x="m_", y="o_"))
+    met = met.select("m_c", "m_n", "o_c", "o_n").distinct()
+    for x in ("o_", "m_"):
+        met = met.join(sketches.withColumnsRenamed({k: f"{x}{k}" for k in ("c", *SKETCH)}), f"{x}c")
+    met = met.where(_close("m_", "o_"))
     met = met.select(F.col("m_c").alias("b"), F.col("m_n").alias("nb"), F.struct(F.expr(_DIFFER.format(x="m_", y="o_")).alias("d"), F.col("o_c").alias("a"), F.col("o_n").alias("na")).alias("x"))
     # A class meets no more centres than two for each shingle of its prefix.
     near = met.groupBy("b", "nb").agg(F.slice(F.array_sort(F.collect_set("x")), 1, NEAREST).alias("xs"))
@@ -219,7 +228,7 @@ def _star(rows: DataFrame, turn: int) -> DataFrame:
 def _met_enough(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) whose prefixes of the first order share enough; shingles of a that fall together in 48 bits count in full."""
     named = stored(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "near-classes")
-    pre = groups.join(small(named), "c", "left_semi").groupBy("c").agg(F.collect_list("t").alias("pre"))  # a set's prefix each
+    pre = groups.join(small(named, SENT), "c", "left_semi").groupBy("c").agg(F.collect_list("t").alias("pre"))  # a set's prefix each
     pre = stored(pre, "near-prefixes")
     a, b = pre.select(F.col("c").alias("a"), F.col("pre").alias("a_pre")), pre.select(F.col("c").alias("b"), F.col("pre").alias("b_pre"))
     met = F.expr(_can_link("size(array_intersect(a_pre, b_pre))", slack="(size(a_pre) - size(array_distinct(a_pre)))"))
@@ -264,7 +273,7 @@ def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFra
     # 48 bits of a shingle will do here: chance meetings are only candidates.
     pre = docs.mapInArrow(prefixes, f"doc_id {kind}, tag long, c long, n int, pre array<bigint>, " + ", ".join(f"{q} long" for q in SKETCH))
     copied = stored(reps.where("k > 1").select("c", F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "copied-classes")
-    pre = pre.join(small(copied), "c", "left").where("_tag is null or (doc_id <=> _id and tag = _tag)").select("c", "n", "pre", *SKETCH)
+    pre = pre.join(small(copied, SENT), "c", "left").where("_tag is null or (doc_id <=> _id and tag = _tag)").select("c", "n", "pre", *SKETCH)
     pre = stored(_one_row(pre, repeats), "class-prefixes")
     rows = pre.select("c", "n", F.posexplode("pre").alias("i", "t"))
     # A class has a shingle once, so two rows are two classes. Tables by shingle grow with the corpus: these joins are shuffles at every size.
@@ -272,29 +281,30 @@ def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFra
     groups = stored(rows.join(met, "t").select("t", "c", "n", "i", "k"), "prefix-groups")
     # Copies of a text are nearer to it than to each other, so a class whose shingles have most company is one to hold others against.
     company = groups.groupBy("c").agg((F.sum("k") / (F.max("n") / 4.0 + 1)).alias("company"))
-    about = stored(company.join(pre.select("c", *SKETCH), "c"), "company")
+    company, sketches = stored(company, "company"), pre.select("c", *SKETCH)
     groups = groups.select("t", "c", "n", "i")
-    known, comp, sets, before = groups.join(small(about), "c"), None, None, float("inf")
+    known, comp, sets, before = groups, None, None, float("inf")
     for turn in range(STARS):
-        first = stored(_star(known, turn), "star-pairs")
+        first = stored(_star(known, sketches, company, turn), "star-pairs")
         sets = _sets(docs, reps, repeats, first, n, orders, crowded, sets)
         links = _verified(first, sets, orders)
         if turn and links.isEmpty():
             break
         comp = components(links if comp is None else _edges(comp).union(links))
         # Groups with several components: size, and the largest component.
-        here = known.drop("comp", "major").join(small(comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        here = known.drop("comp", "major").join(small(comp, SENT), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         parts = here.groupBy("t", "comp").agg(F.count("*").alias("k")).groupBy("t")
         parts = parts.agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("m")).where("m.k < k")
         parts = stored(parts.select("t", F.col("m.comp").alias("major"), "k", (F.col("k") - F.col("m.k")).alias("others")), "open-groups")
-        known = stored(here.join(small(parts.select("t", "major")), "t"), "open-rows")
+        known = stored(here.join(small(parts.select("t", "major"), SENT), "t"), "open-rows")
         rows, pairs = parts.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("others")), F.lit(0))).first()
         if pairs <= OPEN * rows or 2 * pairs > before:
             break
         before = pairs
 
     # The last round. The first shingle that linked sets share meets the bound on positions, so no other meeting need become a row.
-    x, y = (known.select("t", *(F.col(k).alias(f"{side}{k}") for k in ("c", "n", "i", "comp", "major", *SKETCH))) for side in "xy")
+    wide = stored(known.join(sketches, "c"), "open-sketches")
+    x, y = (wide.select("t", *(F.col(k).alias(f"{side}{k}") for k in ("c", "n", "i", "comp", "major", *SKETCH))) for side in "xy")
     across = x.where("xcomp <> xmajor").join(y, "t").where("xcomp < ycomp or ycomp = ymajor").where(_close("x", "y")).where(_NEAR.format(x="x", y="y"))
     pair = across.selectExpr("least(xc, yc) as a", "greatest(xc, yc) as b", "if(xc < yc, xn, yn) as na", "if(xc < yc, yn, xn) as nb").distinct()
     second = stored(_met_enough(stored(pair, "near-pairs"), groups), "cross-pairs")
@@ -305,9 +315,9 @@ def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFra
             comp = components(_edges(comp).union(more))
 
     whole = F.col("n") > 0
-    f = feats.join(small(comp), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    f = feats.join(small(comp, SENT), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = stored(f.where(whole).groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k"), "least-ids")
-    f = f.join(small(least), "comp", "left")
+    f = f.join(small(least, SENT), "comp", "left")
     return f.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.when(whole, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -321,8 +331,8 @@ def _sets(docs, reps, repeats, pairs, n, orders, crowded, had) -> DataFrame:
     need = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     if had is not None:
         need = need.join(had.select("c"), "c", "left_anti")
-    need = stored(reps.join(small(stored(need, "needed")), "c").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "needed-ids")
-    texts = docs.join(small(need), docs["doc_id"].eqNullSafe(need["_id"]) & (docs["tag"] == need["_tag"])).select("text")
+    need = stored(reps.join(small(stored(need, "needed"), SENT), "c").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "needed-ids")
+    texts = docs.join(small(need, SENT), docs["doc_id"].eqNullSafe(need["_id"]) & (docs["tag"] == need["_tag"])).select("text")
     shared = spark.sparkContext.broadcast(crowded)
     names = [f"p{k}" for k in range(2, orders + 1)]
 
@@ -345,7 +355,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, orders: int) -> DataFrame:
 
     def side(of: DataFrame, c: str, cols: list[str]) -> DataFrame:
         """The sets that of's column c names, and no others: those are few."""
-        own = sets.join(small(stored(of.select(F.col(c).alias("c")).distinct(), "side")), "c", "left_semi")
+        own = sets.join(small(stored(of.select(F.col(c).alias("c")).distinct(), "side"), SENT), "c", "left_semi")
         return own.select(F.col("c").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in cols))
 
     meet = F.lit(True)
@@ -361,7 +371,7 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """documents, of each component only those with the smallest doc_id; rows of one doc_id are told apart by their texts."""
     go = _labelled(documents, **options).where("not (component_id <=> doc_id)").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
     go = stored(go, "go")
-    return documents.join(small(go), documents["doc_id"].eqNullSafe(go["_id"]) & (F.xxhash64(documents["text"]) == go["_tag"]), "left_anti")
+    return documents.join(small(go, SENT), documents["doc_id"].eqNullSafe(go["_id"]) & (F.xxhash64(documents["text"]) == go["_tag"]), "left_anti")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,21 @@ def test_sketches_differ_no_more_than_sets():
         other = np.concatenate((own[min(d, len(own) - 1) :], rng.integers(0, 2**63, d).astype(np.uint64)))
         apart = len(np.setxor1d(own, other))
         assert 0 < np.bitwise_count((jaccard_join.sketch(own) ^ jaccard_join.sketch(other)).view(np.uint64)).sum() <= apart
+
+
+def test_sides_that_are_sent_stay_narrow(spark, monkeypatch):
+    """Sketches were broadcast from the driver with each class, several times over; no side that may be sent holds them, and each has the operator's own bound."""
+    rng = random.Random(7)
+    texts = _family(rng, 40, 60, (1, 3))
+    sent, bounds = [], set()
+
+    def watched(df, most_bytes=32 << 20):
+        sent.append(df.columns)
+        bounds.add(most_bytes)
+        return df
+
+    monkeypatch.setattr(jaccard_join, "small", watched)
+    got = dict(_components(spark, list(enumerate(texts))))
+    assert [got[k] for k in range(len(texts))] == _brute(texts)
+    assert sent and max(map(len, sent)) <= 3 and not any(set(c) & set(jaccard_join.SKETCH) for c in sent)
+    assert bounds == {jaccard_join.SENT} and jaccard_join.SENT <= 8 << 20

@@ -141,41 +141,42 @@ def order_violations(df: DataFrame, group: list[str], seq: str, key: list[str],
 
 
 def _best_shifts(px: pa.ListArray, steps: list[tuple[int, int]]) -> dict[str, np.ndarray]:
-    """dx, dy, pct and n of each list of pixels (side, gx, gy, code). Pixels are looked up in the other side's sorted places, so memory follows the pixels, whatever the extent."""
-    ends, flat = px.offsets.to_numpy(), px.values
+    """dx, dy, pct and n of each list of pixels (side, gx, gy, code). Pixels are looked up in the other side's sorted places, so memory follows the pixels, whatever the extent. All columns of numbers are made for SOME_IMAGES lists at a time, so a full batch costs no more than itself."""
+    if len(px) > SOME_IMAGES:
+        found = [_best_shifts(px.slice(k, SOME_IMAGES), steps) for k in range(0, len(px), SOME_IMAGES)]
+        return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+    ends, flat = px.offsets.to_numpy(), px.flatten()
     side, gx, gy, code = (flat.field(k).fill_null(0).to_numpy(zero_copy_only=False) for k in range(4))
     there, coded = (np.ones(len(flat), bool) if not any(f.null_count for f in fs) else np.logical_and.reduce([f.is_valid().to_numpy(zero_copy_only=False) for f in fs]) for fs in ((flat.field(1), flat.field(2)), (flat.field(3),)))
     image = np.repeat(np.arange(len(px)), np.diff(ends))
     out = {"dx": np.zeros(len(px), np.int32), "dy": np.zeros(len(px), np.int32), "pct": np.full(len(px), np.inf), "n": np.zeros(len(px), np.int64)}
-    for first in range(0, len(px), SOME_IMAGES):
-        m = min(SOME_IMAGES, len(px) - first)
-        own = slice(ends[first] - ends[0], ends[first + m] - ends[0])
-        of = lambda k: np.flatnonzero(there[own] & (side[own] == k)) + own.start  # noqa: E731, B023
-        a, b = of(0), of(1)
-        if not len(a) or not len(b):
-            continue
-        xs, ys = np.unique(gx[b]), np.unique(gy[b])
-        key = lambda i, x, y: ((image[i] - first) * len(xs) + x) * len(ys) + y  # noqa: E731, B023
-        # Of pixels at one place the last one stands.
-        a = a[np.lexsort((gy[a], gx[a], image[a]))]
-        a = a[np.append((np.diff(image[a]) != 0) | (np.diff(gx[a]) != 0) | (np.diff(gy[a]) != 0), True)]
-        at = key(b, np.searchsorted(xs, gx[b]), np.searchsorted(ys, gy[b]))
-        order = np.argsort(at, kind="stable")
-        order = order[np.append(np.diff(at[order]) != 0, True)]
-        at, b = at[order], b[order]
-        found = lambda places, v: ((p := np.searchsorted(places, v).clip(max=len(places) - 1)), places[p] == v)
-        columns, rows = ({d: found(places, v[a].astype(np.int64) + d) for d in {s[k] for s in steps}} for places, v, k in ((xs, gx, 1), (ys, gy, 0)))
-        for dy, dx in steps:
-            (x, x_met), (y, y_met) = columns[dx], rows[dy]
-            near, met = found(at, key(a, x, y))
-            met &= x_met & y_met
-            i, j = a[met], b[near[met]]
-            n = np.bincount(image[i] - first, minlength=m)
-            differ = np.bincount(image[i[(code[i] != code[j]) & coded[i] & coded[j]]] - first, minlength=m)
-            pct = np.array([round(v, 6) for v in (differ * 100.0 / np.maximum(n, 1)).tolist()])
-            new = np.flatnonzero((n > 0) & (pct < out["pct"][first : first + m]))
-            for k, v in (("dx", dx), ("dy", dy), ("pct", pct[new]), ("n", n[new])):
-                out[k][first + new] = v
+    m = len(px)
+    of = lambda k: np.flatnonzero(there & (side == k))
+    a, b = of(0), of(1)
+    if not len(a) or not len(b):
+        return out
+    xs, ys = np.unique(gx[b]), np.unique(gy[b])
+    key = lambda i, x, y: (image[i] * len(xs) + x) * len(ys) + y
+    # Of pixels at one place the last one stands.
+    a = a[np.lexsort((gy[a], gx[a], image[a]))]
+    a = a[np.append((np.diff(image[a]) != 0) | (np.diff(gx[a]) != 0) | (np.diff(gy[a]) != 0), True)]
+    at = key(b, np.searchsorted(xs, gx[b]), np.searchsorted(ys, gy[b]))
+    order = np.argsort(at, kind="stable")
+    order = order[np.append(np.diff(at[order]) != 0, True)]
+    at, b = at[order], b[order]
+    found = lambda places, v: ((p := np.searchsorted(places, v).clip(max=len(places) - 1)), places[p] == v)
+    columns, rows = ({d: found(places, v[a].astype(np.int64) + d) for d in {s[k] for s in steps}} for places, v, k in ((xs, gx, 1), (ys, gy, 0)))
+    for dy, dx in steps:
+        (x, x_met), (y, y_met) = columns[dx], rows[dy]
+        near, met = found(at, key(a, x, y))
+        met &= x_met & y_met
+        i, j = a[met], b[near[met]]
+        n = np.bincount(image[i], minlength=m)
+        differ = np.bincount(image[i[(code[i] != code[j]) & coded[i] & coded[j]]], minlength=m)
+        pct = np.array([round(v, 6) for v in (differ * 100.0 / np.maximum(n, 1)).tolist()])
+        new = np.flatnonzero((n > 0) & (pct < out["pct"]))
+        for k, v in (("dx", dx), ("dy", dy), ("pct", pct[new]), ("n", n[new])):
+            out[k][new] = v
     return out
 
 

@@ -2,7 +2,9 @@
 
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,19 @@ def test_shift_search_equals_every_pair(spark):
     df = lambda p: spark.createDataFrame([(*k, c) for k, c in p.items()], "image long, gx int, gy int, code int")
     got = {r["image"]: (r["pct"], r["dy"], r["dx"], r["n"]) for r in tiles.shift_search(df(a), df(b), "image").collect()}
     assert got == want
+
+
+def test_shift_step_costs_some_images_at_a_time():
+    """Columns of numbers were made for a whole batch; they are now made for some images, however many a batch holds."""
+
+    def peak(n):
+        lists = pa.array([[{"side": k % 2, "gx": k // 2, "gy": 0, "code": k % 7} for k in range(200)]] * n, pa.list_(pa.struct([(c, pa.int32()) for c in ("side", "gx", "gy", "code")])))
+        tracemalloc.start()
+        got = tiles._best_shifts(lists, [(0, 0), (0, 1)])
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got["n"]) == n and set(got["n"].tolist()) == {100}
+        return most
+
+    peak(1)
+    assert peak(10 * tiles.SOME_IMAGES) < 1.15 * peak(tiles.SOME_IMAGES)

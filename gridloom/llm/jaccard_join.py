@@ -204,6 +204,20 @@ def _close(x: str, y: str) -> str:
     return f"{_LENGTHS} and {_DIFFER} <= ({{x}}n + {{y}}n) div 7".format(x=x, y=y)
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Rows (t, c, n, i) of which others have the same t, with their number k and whether t may be the first shingle that c shares with a set it links with.
+
+    The first shingle shared has all others behind it on both sides, so a class n long that has it at i links with no set longer than (4n - 7i) / 3.
+    Where two rows share t, each is held against the other; where more do, against the least n and the most reach among them.
+    Rows are dealt once: the counts use every column, so that they and the join read the same shuffle."""
+    reach = F.col("n") * 4 - F.col("i") * 7
+    rows = rows.repartition("t")  # a shuffle at every size, as rows grow with the corpus
+    about = rows.groupBy("t").agg(F.count("c").alias("k"), F.sum("n").alias("ns"), F.sum(reach).alias("reaches"), F.min("n").alias("least"), F.max(reach).alias("most")).where("k > 1")
+    other_n, other_reach = (F.when(F.col("k") == 2, F.col(both) - own).otherwise(F.col(bound)) for both, own, bound in (("ns", F.col("n"), "least"), ("reaches", reach, "most")))
+    first = (3 * other_n <= reach) & (3 * F.col("n") <= other_reach)
+    return rows.join(about, "t").select("t", "c", "n", "i", "k", first.alias("first"))
+
+
 def _star(rows: DataFrame, sketches: DataFrame, company: DataFrame, turn: int) -> DataFrame:
     """(a, b, na, nb): each class b of rows (t, c, n) and the few nearest of the centres of its groups: their most central class by (c, company), in the first turn, and one by a hash.
 
@@ -274,19 +288,19 @@ def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFra
     pre = docs.mapInArrow(prefixes, f"doc_id {kind}, tag long, c long, n int, pre array<bigint>, " + ", ".join(f"{q} long" for q in SKETCH))
     copied = stored(reps.where("k > 1").select("c", F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "copied-classes")
     pre = pre.join(small(copied, SENT), "c", "left").where("_tag is null or (doc_id <=> _id and tag = _tag)").select("c", "n", "pre", *SKETCH)
-    pre = stored(_one_row(pre, repeats), "class-prefixes")
-    rows = pre.select("c", "n", F.posexplode("pre").alias("i", "t"))
-    # A class has a shingle once, so two rows are two classes. Tables by shingle grow with the corpus: these joins are shuffles at every size.
-    met = stored(rows.groupBy("t").agg(F.count("*").alias("k")).where("k > 1"), "met")
-    groups = stored(rows.join(met, "t").select("t", "c", "n", "i", "k"), "prefix-groups")
+    # From here on a class goes by a number, which rises along the stored rows: in shuffles it takes a third of the bytes of the hash, h.
+    pre = stored(_one_row(pre, repeats).withColumnRenamed("c", "h").withColumn("c", F.monotonically_increasing_id()), "class-prefixes")
+    hashes = pre.select("c", "h")
+    groups = stored(_grouped(pre.select("c", "n", F.posexplode("pre").alias("i", "t"))), "prefix-groups")
+    first_met = groups.where("first").drop("first")
     # Copies of a text are nearer to it than to each other, so a class whose shingles have most company is one to hold others against.
-    company = groups.groupBy("c").agg((F.sum("k") / (F.max("n") / 4.0 + 1)).alias("company"))
+    company = first_met.groupBy("c").agg((F.sum("k") / (F.max("n") / 4.0 + 1)).alias("company"))
     company, sketches = stored(company, "company"), pre.select("c", *SKETCH)
-    groups = groups.select("t", "c", "n", "i")
-    known, comp, sets, before = groups, None, None, float("inf")
+    first_met, groups = first_met.drop("k"), groups.select("t", "c")
+    known, comp, sets, before = first_met, None, None, float("inf")
     for turn in range(STARS):
         first = stored(_star(known, sketches, company, turn), "star-pairs")
-        sets = _sets(docs, reps, repeats, first, n, orders, crowded, sets)
+        sets = _sets(docs, reps, hashes, repeats, first, n, orders, crowded, sets)
         links = _verified(first, sets, orders)
         if turn and links.isEmpty():
             break
@@ -309,12 +323,14 @@ def _labelled(documents: DataFrame, n: int = N, orders: int = ORDERS) -> DataFra
     pair = across.selectExpr("least(xc, yc) as a", "greatest(xc, yc) as b", "if(xc < yc, xn, yn) as na", "if(xc < yc, yn, xn) as nb").distinct()
     second = stored(_met_enough(stored(pair, "near-pairs"), groups), "cross-pairs")
     if not second.isEmpty():
-        sets = _sets(docs, reps, repeats, second, n, orders, crowded, sets)
+        sets = _sets(docs, reps, hashes, repeats, second, n, orders, crowded, sets)
         more = _verified(second, sets, orders)
         if not more.isEmpty():
             comp = components(_edges(comp).union(more))
 
     whole = F.col("n") > 0
+    comp = hashes.join(small(comp, SENT), "c").select(F.col("h").alias("of"), F.col("comp").alias("c"))
+    comp = stored(comp.join(hashes, "c").select(F.col("of").alias("c"), F.col("h").alias("comp")), "components-by-hash")
     f = feats.join(small(comp, SENT), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = stored(f.where(whole).groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k"), "least-ids")
     f = f.join(small(least, SENT), "comp", "left")
@@ -325,27 +341,29 @@ def _edges(comp: DataFrame) -> DataFrame:
     return comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).where("a <> b")
 
 
-def _sets(docs, reps, repeats, pairs, n, orders, crowded, had) -> DataFrame:
+def _sets(docs, reps, hashes, repeats, pairs, n, orders, crowded, had) -> DataFrame:
     """(c, s, p2, p3, ...) of the classes in pairs that `had` lacks, and had: the whole sets and their prefixes under the other orders."""
     spark = docs.sparkSession
     need = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     if had is not None:
         need = need.join(had.select("c"), "c", "left_anti")
-    need = stored(reps.join(small(stored(need, "needed"), SENT), "c").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "needed-ids")
-    texts = docs.join(small(need, SENT), docs["doc_id"].eqNullSafe(need["_id"]) & (docs["tag"] == need["_tag"])).select("text")
+    need = stored(hashes.join(small(stored(need, "needed"), SENT), "c"), "needed-hashes")
+    need = reps.withColumnRenamed("c", "h").join(small(need, SENT), "h").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "c")
+    need = stored(need, "needed-ids")
+    texts = docs.join(small(need, SENT), docs["doc_id"].eqNullSafe(need["_id"]) & (docs["tag"] == need["_tag"])).select("c", "text")
     shared = spark.sparkContext.broadcast(crowded)
     names = [f"p{k}" for k in range(2, orders + 1)]
 
     def run(batches):
         for batch in batches:
-            own = batch.column(0).to_pylist()
+            own = batch.column(1).to_pylist()
             for a, b in pieces_of([x or "" for x in own], MOST_CHARS):
                 sets = shingle_sets([x or "" for x in own[a:b]], n)
-                columns = [pa.array([_named(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-                columns += [pa.array([(prefix(s, k, shared.value) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())) for k in range(2, orders + 1)]
+                columns = [batch.column(0)[a:b], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                columns += [pa.array([(prefix(s, k, shared.value) >> np.uint64(48)).astype(np.uint16).view(np.int16) for s in sets], pa.list_(pa.int16())) for k in range(2, orders + 1)]
                 yield pa.RecordBatch.from_arrays(columns, ["c", "s", *names])
 
-    new = stored(_one_row(texts.mapInArrow(run, "c long, s array<bigint>, " + ", ".join(f"{p} array<int>" for p in names)), repeats), "sets")
+    new = stored(_one_row(texts.mapInArrow(run, "c long, s array<bigint>, " + ", ".join(f"{p} array<smallint>" for p in names)), repeats), "sets")
     return new if had is None else new.unionByName(had)
 
 
@@ -359,7 +377,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, orders: int) -> DataFrame:
         return own.select(F.col("c").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in cols))
 
     meet = F.lit(True)
-    for p in names:  # prefixes hold 32 bits of a shingle: those of a that fall together count in full, so no pair is lost
+    for p in names:  # prefixes hold 16 bits of a shingle: those of a that fall together count in full, so no pair is lost
         meet = meet & F.expr(_can_link(f"size(array_intersect(a_{p}, b_{p}))", slack=f"(size(a_{p}) - size(array_distinct(a_{p})))"))
     left = stored(pairs.join(side(pairs, "a", names), "a").join(side(pairs, "b", names), "b").where(meet).select("a", "b"), "filtered-pairs")
     both = F.size(F.array_intersect("a_s", "b_s"))
